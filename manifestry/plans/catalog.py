@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import rule_queries
+from . import rule_queries, term_queries
 
-MODULES = (rule_queries,)
+MODULES = (rule_queries, term_queries)
 
 
 def queries() -> dict:
