@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import rule_queries, term_queries
+from . import metric_queries, rule_queries, term_queries
 
-MODULES = (rule_queries, term_queries)
+MODULES = (rule_queries, term_queries, metric_queries)
 
 
 def queries() -> dict:
