@@ -41,7 +41,7 @@ def bound(value: Column, use) -> Column:
 
 def present(c: Column) -> Column:
     """Trimmed; null if nothing is left."""
-    return F.nullif(F.regexp_replace(c.cast("string"), r"^\s+|\s+$", ""), F.lit(""))
+    return F.nullif(F.btrim(c.cast("string"), F.lit(" \t\n\r\f\x0b")), F.lit(""))
 
 
 def first_present(*columns: Column) -> Column:
@@ -89,10 +89,20 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(0.0)).otherwise(F.levenshtein(a, b) / longest)
 
 
+def _shape(pattern: str) -> str:
+    """What a text must look like for a date pattern: the parser is asked only then, as its refusals are dear."""
+    out, parts = pattern, {"yyyy": "[0-9]{4}", "MMMM": "[A-Z]{3,9}", "MMM": "[A-Z]{3}", "M": "(?:0?[1-9]|1[0-2])", "d": "(?:0?[1-9]|[12][0-9]|3[01])"}
+    for i, k in enumerate(parts):
+        out = out.replace(k, f"<{i}>")
+    for i, v in enumerate(parts.values()):
+        out = out.replace(f"<{i}>", v)
+    return f"^{out}$"
+
+
 def parse_date(c: Column) -> Column:
     """The first pattern that reads the cleaned text; null if none does."""
     clean = F.upper(F.regexp_replace(present(c), r"\s+", " "))
-    return bound(clean, lambda x: F.to_date(F.coalesce(*(F.try_to_timestamp(x, F.lit(p)) for p in DATE_PATTERNS))))
+    return bound(clean, lambda x: F.to_date(F.coalesce(*(F.when(x.rlike(_shape(p)), F.try_to_timestamp(x, F.lit(p))) for p in DATE_PATTERNS))))
 
 
 def to_number(c: Column) -> Column:

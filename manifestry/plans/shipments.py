@@ -65,9 +65,15 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey
 """
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it comes in fewer partitions than there are (one small file); else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view over the tables of ``sf_dir``: one equi-join, everything else is projection."""
-    return spark.sql(VIEW, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return spark.sql(VIEW, orders=spread(spark.read.parquet(f"{sf_dir}/orders.parquet")), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
 
 
 def oracle_view() -> str:
