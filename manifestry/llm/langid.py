@@ -22,6 +22,8 @@ from .common import is_fold, map_batches
 ORDER, DISCOUNT = 4, 0.75
 #: Bounds of the fit: training rows of each language (about; by a hash of their ids), and characters of each row.
 MAX_ROWS, MAX_CHARS = 400, 40_000
+#: Most languages that get a model: those with the most training rows.
+MAX_LANGUAGES = 200
 #: Words whose cross-entropies a task remembers before it starts afresh.
 REMEMBERED = 200_000
 #: Share of the training rows that the calibrated threshold rejects.
@@ -208,9 +210,13 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -
     of the id below a share of its range, and none of more than ``max_chars``: the stated bound of what reaches
     the driver."""
     train = docs.where(~is_fold("doc_id", 5, 0) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "lang", "text")
-    shares = train.groupBy("lang").agg(F.count("*").alias("n"))
+    shares = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     place = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "doc_id"), 11) / float(1 << 53)
-    rows = train.join(shares, "lang").where(place < F.lit(float(max_rows)) / F.col("n")).select("lang", "text").collect()
+    # each language's share of the range stands in the filter itself, so texts are neither joined nor shuffled
+    cut = F.lit(0.0)
+    for r in shares:
+        cut = F.when(F.col("lang") == r.lang, F.lit(min(1.0, max_rows / r.n))).otherwise(cut)
+    rows = train.where(place < cut).select("lang", "text").collect() if shares else []
     texts: dict = {}
     for r in rows:
         texts.setdefault(r.lang, []).append(r.text)
