@@ -21,6 +21,9 @@ PIECE_CHARS = 20_000
 #: A safe cut: before a single space between two letters or digits.  The space can only begin a match there
 #: (`` ?\\p{L}+`` or `` ?\\p{N}+``), for no match with a letter or digit goes on over a space.
 SAFE_CUT = regex.compile(r"(?<=[\p{L}\p{N}])(?= [\p{L}\p{N}])")
+#: White space so long that the library's pattern engine runs out of stack on it.  The pattern takes such a run
+#: as one match, but for its last character where more text follows.
+LONG_BLANK = regex.compile(r"\p{White_Space}{5000,}")
 
 
 @cache
@@ -43,9 +46,18 @@ def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
 
 
 def encode(enc, text: str | None) -> list[int]:
-    ids: list[int] = []
-    for piece in pieces(text or ""):
-        ids += enc.encode_ordinary(piece)
+    """The ids of the text, as the library gives them for the whole."""
+    text, ids, start = text or "", [], 0
+
+    def ordinary(part: str) -> None:
+        for piece in pieces(part):
+            ids.extend(enc.encode_ordinary(piece))
+
+    for blank in LONG_BLANK.finditer(text):
+        ordinary(text[start : blank.start()])
+        start = blank.end() - (blank.end() < len(text))
+        ids.extend(enc._encode_single_piece(text[blank.start() : start]))
+    ordinary(text[start:])
     return ids
 
 

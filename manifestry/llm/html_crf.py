@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -30,9 +31,11 @@ summary table tbody td textarea tfoot th thead title tr ul""".split())
 VOID = frozenset("hr br img input meta link".split())
 #: An open element of the first kind is closed by a start tag of the second.
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}, "head": {"body"}}
+#: What follows a tag's name: quotes count after a = only, and a tag that is never closed reaches to the end, so
+#: that the time to read a page grows with its length whatever it holds.
+_INSIDE = r"((?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|xmp)\b{_INSIDE}.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*){_INSIDE}",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -45,17 +48,28 @@ pagination pager rating form search contentinfo complementary tags meta byline""
 FOR = frozenset("article content post entry main story text prose".split())
 
 
+@dataclass(frozen=True)
+class Open:
+    """An open element and what its ancestors add up to, so that depth costs nothing."""
+
+    tag: str
+    tags: frozenset  # its own and its ancestors'
+    against: bool  # a word of class, id or role of any of them is in AGAINST
+    main: bool  # or in FOR
+
+
 @dataclass(frozen=True)
 class Block:
     text: str
-    path: tuple[tuple[str, frozenset], ...]  # ancestors, outermost first: tag and words of class, id, role
+    inside: Open | None  # the innermost open element
     linked: float  # share of the text inside links
 
 
 def blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order, character references decoded and white space made single."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset]] = []
+    stack: list[Open] = []
+    is_open: Counter = Counter()
     text: list[str] = []
     in_link, linked = False, 0
 
@@ -64,7 +78,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                out.append(Block(whole, tuple(stack), min(1.0, linked / len(whole))))
+                out.append(Block(whole, stack[-1] if stack else None, min(1.0, linked / len(whole))))
             text.clear()
         linked = 0
 
@@ -79,7 +93,7 @@ def blocks(page: str) -> list[Block]:
     for m in TOKEN.finditer(page):
         read(page[at : m.start()])
         at = m.end()
-        tag = m[3]
+        tag = m[4]
         if tag is None:
             if m[1]:
                 text.append(" ")
@@ -87,22 +101,25 @@ def blocks(page: str) -> list[Block]:
         tag = tag.lower()
         if tag not in BLOCK:
             if tag == "a":
-                in_link = not m[2]
+                in_link = not m[3]
             elif tag == "br":
                 text.append(" ")
             continue
         flush()
         in_link = False
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+        if m[3]:
+            while is_open[tag]:
+                top = stack.pop().tag
+                is_open[top] -= 1
+                if top == tag:
                     break
         elif tag not in VOID:
-            while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
-                stack.pop()
-            words = frozenset(w for a in ATTRIBUTE.finditer(m[4]) for w in WORD.findall((a[1] or a[2] or a[3] or "").lower())) if m[4] else frozenset()
-            stack.append((tag, words))
+            while stack and tag in CLOSED_BY.get(stack[-1].tag, ()):
+                is_open[stack.pop().tag] -= 1
+            words = {w for a in ATTRIBUTE.finditer(m[5]) for w in WORD.findall((a[1] or a[2] or a[3] or "").lower())}
+            up = stack[-1] if stack else Open("", frozenset(), False, False)
+            stack.append(Open(tag, up.tags if tag in up.tags else up.tags | {tag}, up.against or not AGAINST.isdisjoint(words), up.main or not FOR.isdisjoint(words)))
+            is_open[tag] += 1
     read(page[at:])
     flush()
     return out
@@ -110,13 +127,12 @@ def blocks(page: str) -> list[Block]:
 
 def block_features(b: Block) -> list[str]:
     n = b.text.count(" ") + 1
-    tags = {t for t, _ in b.path}
-    words = frozenset().union(*(w for _, w in b.path)) if b.path else frozenset()
-    out = ["bias", "own=" + (b.path[-1][0] if b.path else "none"), "words=" + ("1" if n < 4 else "4" if n < 11 else "11" if n < 26 else "26"), "links=" + ("0" if b.linked == 0 else "some" if b.linked < 0.5 else "most")]
-    out += ["in=" + t for t in tags if t not in ("html", "body")]
-    if words & AGAINST:
+    at = b.inside or Open("none", frozenset(), False, False)
+    out = ["bias", "own=" + at.tag, "words=" + ("1" if n < 4 else "4" if n < 11 else "11" if n < 26 else "26"), "links=" + ("0" if b.linked == 0 else "some" if b.linked < 0.5 else "most")]
+    out += ["in=" + t for t in sorted(at.tags) if t not in ("html", "body")]
+    if at.against:
         out.append("against")
-    if words & FOR:
+    if at.main:
         out.append("for")
     if b.text[-1] in ".!?…\"'”»":
         out.append("sentence")
@@ -257,7 +273,7 @@ def trained() -> Crf:
         found, left = blocks(page), list(kept)
         labels = []
         for b in found:
-            mine = bool(left) and b.text == left[0] and not any(t in ("head", "title") for t, _ in b.path)
+            mine = bool(left) and b.text == left[0] and not (b.inside and b.inside.tags & {"head", "title"})
             labels.append(int(mine))
             if mine:
                 left.pop(0)

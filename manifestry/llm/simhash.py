@@ -48,10 +48,9 @@ def fingerprint(raw: bytes | None) -> int:
     h = shingle_hashes(raw)
     if not len(h):
         return 0
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     counts = np.zeros(BITS, dtype=np.int64)
-    for i in range(0, len(bits), 100_000):
-        counts += bits[i : i + 100_000].sum(axis=0, dtype=np.int64)
+    for i in range(0, len(h), 100_000):  # a long text's bits are never all unpacked at once
+        counts += np.unpackbits(h[i : i + 100_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import brute
@@ -181,6 +182,9 @@ def test_op3_as_the_library(spark, odd, none):
     for text in (LONG, "a  b c " * 500, "it's 5 o'clock\n\n x" * 200):
         assert "".join(bpe.pieces(text, 50)) == text
         assert [i for p in bpe.pieces(text, 50) for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+    for text in (" " * 6000, "ab" + " " * 6000 + "cd \n", "x" + "\u3000" * 6000 + "7", "\n\t " * 4000 + "!", "\x1c" * 6000 + " b"):
+        assert bpe.encode(enc, text) == enc.encode_ordinary(text)
+    assert enc.decode_bytes(bpe.encode(enc, " " * 1_000_000 + "x")).endswith(b"  x")  # the library alone runs out of stack here
     full = bpe.encode_documents(odd.where("doc_id = 6"), path, pattern).first()
     assert bytes(full.decoded).decode() == TEXTS[6] and full.ids == enc.encode_ordinary(TEXTS[6])
 
@@ -214,6 +218,11 @@ def test_op6_held_out_pages_and_odd_ones(spark):
     assert len(got) == 8 and texts[1] == texts[2] == "" and texts[5] == "one\ntwo" and texts[7].count("\n") == 4999
     assert all(r.n_chars == len(r.text) for r in got)
     assert [b.text for b in html_crf.blocks("<p>a &lt; b <b>c<br>d &amp;&amp; e")] == ["a < b c d && e"]
+    assert [b.text for b in html_crf.blocks("<p it's>one</p><p title='a>b'>two</p><p title=\"c>three</p>")] == ["one", "two", "three"]
+    start = time.time()
+    for hostile in ("<div " * 50_000, '<a href="' * 50_000, "<!" * 100_000, "<script " * 50_000, "<a = " * 50_000, "<div>x" * 20_000 + "</p>" * 20_000):
+        html_crf.main_text(hostile, model)
+    assert time.time() - start < 30
 
 
 def test_op6_viterbi_is_the_best_path():
@@ -309,6 +318,12 @@ def test_op8_formats(spark):
     assert low.upper() == up.upper() != "UND.34@MAIL7.EXAMPLE.COM"
 
 
+def test_op8_very_long_runs(spark):
+    texts = ["a" * 200_000 + "@x.com", "x@" + "a." * 100_000 + "1", "12" * 100_000, "1." * 100_000, "+1 " * 50_000, "DE" + "44" * 50_000, "ab.cd@mail.example.org " * 3000]
+    rows = pseudonym.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), found="n").orderBy("doc_id").collect()
+    assert [len(r.text) for r in rows] == list(map(len, texts)) and [r.n for r in rows] == [0] * 6 + [3000]
+
+
 def test_op8_is_a_permutation(spark):
     """Different values stay different, on whole small domains."""
     values = [f"{i:03d}-45-6789" for i in range(300)] + [f"10.0.{i}.{j}" for i in range(12) for j in range(12)] + [f"2020-{m:02d}-{d:02d}" for m in range(1, 13) for d in range(1, 29)]
