@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents, all columns, without those that are not the first (smallest id) of their component.
 
-    Documents without an id are kept, as are further rows of a kept id only once each by their content.
+    Rows that share an id are one document, of which one row stays; documents without an id are all kept.
     """
     keep = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
