@@ -34,8 +34,10 @@ CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "
 #: What follows a tag's name: quotes count after a = only, and a tag that is never closed reaches to the end, so
 #: that the time to read a page grows with its length whatever it holds.
 _INSIDE = r"((?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)"
+#: What follows <svg up to its own />; the slash that ends an unquoted value belongs to the value.
+_SELF_CLOSED = r"(?<=<svg)(?:=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)|/(?!>)|[^>/])*+/>"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|xmp)\b{_INSIDE}.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*){_INSIDE}",
+    rf"<!--(?:-?>|.*?(?:-->|\Z))|<(script|style|noscript|template|svg|xmp)(?=[\s/>])(?:{_SELF_CLOSED}|{_INSIDE}.*?(?:</\1\s*>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*){_INSIDE}",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
