@@ -9,7 +9,8 @@ probability is their mixture, weighted by their shares of the training documents
 
 As contexts end at the word, a text's code length is a sum over its words, so the corpus is carried as
 distinct words: each batch of documents sends its distinct words, dealt by how they begin, and gets back
-their counts and log probabilities.  The tries are dealt by the two bytes next to the symbol, which all longer
+their counts and log probabilities.  A bucket of words that begin alike beyond a bound is split by a hash of
+the whole word.  The tries are dealt by the two bytes next to the symbol, which all longer
 contexts of a chain share; only the 256 x 256 counts of shorter contexts are held by every task.  Nothing of
 the corpus passes through the driver but sums and those tables.
 
@@ -39,7 +40,9 @@ END = b"\n"
 BATCH_ROWS = 5_000
 #: Most tries, and the least share of the training documents that a value needs to have its own.
 MOST_TRIES, LEAST_SHARE = 6, 0.01
-_ARRAYS = "batch string, bucket int, words binary, train binary, ids binary"
+#: Bytes of words, over all batches, that meet in one group; a bucket with more is split.
+MOST_BYTES = 4 << 20
+_ARRAYS = "batch string, bucket int, words binary, train binary, ids binary, size bigint"
 
 
 def _pack(array: np.ndarray) -> bytes:
@@ -89,7 +92,7 @@ def _batches(buckets: int, tries: int):
         trie = np.array(batch["trie"].to_pylist(), dtype=np.int64)  # -1: held out
         vocabulary = list(set().union(*found))
         home = np.fromiter((zlib.crc32(w[:4]) % buckets for w in vocabulary), dtype=np.int32, count=len(vocabulary))
-        order = np.argsort(home, kind="stable").tolist()
+        order = np.lexsort((_hashes(vocabulary), home)).tolist()  # within a bucket as split_buckets() cuts it
         vocabulary = [vocabulary[i] for i in order]
         home = home[order]
         at = dict(zip(vocabulary, range(len(vocabulary)))).__getitem__
@@ -100,17 +103,58 @@ def _batches(buckets: int, tries: int):
         of = trie[doc]
         counts = np.bincount((ids * tries + of)[of >= 0], weights=times[of >= 0], minlength=len(vocabulary) * tries).astype(np.int64).reshape(-1, tries)
         cuts = np.searchsorted(home, np.arange(buckets + 1)).tolist()
-        rows = [(name, b, zstandard.compress(b" ".join(vocabulary[lo:hi]), 1), _pack_sparse(counts[lo:hi]), None) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo]
+        rows = [(name, b, zstandard.compress(b" ".join(vocabulary[lo:hi]), 1), _pack_sparse(counts[lo:hi]), None, _size(vocabulary[lo:hi])) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo]
         sink = pa.BufferOutputStream()
         keep = pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"]], names=["doc_id", "held_out"])
         with pa.ipc.new_stream(sink, keep.schema) as out:
             out.write_batch(keep)
-        rows.append((name, -1, sink.getvalue().to_pybytes(), _pack(np.bincount(doc, minlength=len(found)).astype(np.int32)), _pack(np.concatenate([np.diff(ids, prepend=0), times]).astype(np.int32))))
-        return pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["batch", "bucket", "words", "train", "ids"])
+        rows.append((name, -1, sink.getvalue().to_pybytes(), _pack(np.bincount(doc, minlength=len(found)).astype(np.int32)), _pack(np.concatenate([np.diff(ids, prepend=0), times]).astype(np.int32)), 0))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))], names=["batch", "bucket", "words", "train", "ids", "size"])
 
     return run
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words))
+
+
+def _size(words: list[bytes]) -> int:
+    return sum(map(len, words)) + len(words)
+
+
+def split_buckets(words: DataFrame, tries: int) -> DataFrame:
+    """The batches' rows of words, so that about MOST_BYTES have one bucket at most.
+
+    Buckets are numbered anew in the same order; each part of one holds a range of the words' hashes, so a batch's
+    words keep their order and each word has one bucket.
+    """
+    pieces = {r.bucket: -(-r.n // MOST_BYTES) for r in words.groupBy("bucket").agg(F.sum("size").alias("n")).collect()}  # a row for each bucket
+    if all(n <= 1 for n in pieces.values()):
+        return words
+    first = dict(zip(sorted(pieces), np.cumsum([0, *(pieces[b] for b in sorted(pieces))]).tolist()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist(list(split(row)), schema=batch.schema)
+
+    def split(row: dict) -> Iterator[dict]:
+        base, n = first[row["bucket"]], pieces[row["bucket"]]
+        if n == 1:
+            yield row | {"bucket": base}
+            return
+        own = zstandard.decompress(row["words"]).split(b" ")
+        cell, times = _unpack_sparse(row["train"])
+        train = np.zeros((len(own), tries), dtype=np.int64)
+        train.ravel()[cell] = times
+        cuts = np.searchsorted(_hashes(own) * n >> 32, np.arange(n + 1)).tolist()
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if b > a:
+                yield row | {"bucket": base + i, "words": zstandard.compress(b" ".join(own[a:b]), 1), "train": _pack_sparse(train[a:b]), "size": _size(own[a:b])}
+
+    return checkpoint(words.mapInArrow(run, words.schema))
+
+
 def _counted(words: list, train: list, tries: int) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
     """A bucket's distinct words in order, their training counts in each trie, and the places of each batch's words."""
     split = [zstandard.decompress(w).split(b" ") for w in words]
@@ -324,7 +368,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, kinds
     trie = F.when(held, F.lit(-1)).otherwise(trie).alias("trie")
     kind = docs.schema["doc_id"].dataType.simpleString()
     packed = checkpoint(id_and_bytes(docs, "doc_id", "text", held.alias("held_out"), trie).mapInArrow(_batches(buckets, tries), _ARRAYS))
-    words = packed.where("bucket >= 0").drop("ids")
+    words = split_buckets(packed.where("bucket >= 0").drop("ids"), tries).drop("size")
     grams = checkpoint(words.groupBy("bucket").applyInPandas(lambda pdf: _gram_rows(pdf, parts, tries), "bucket int, part int, grams binary, counts binary, tokens bigint, types bigint"))
     total = grams.where("part < 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     # at most 256 x 256 cells for each trie: counts of a symbol after a byte
