@@ -29,6 +29,8 @@ SUFFIX_FORMS = {
 }
 TIERS = ("shipment", "organisation", "standard")  # most specific first
 TOP_K, FLOOR = 5, 0.55
+#: Spans of a group after which it is cut, at the next place where none reaches across.
+MOST_SPANS = 4096
 
 
 def unit_names() -> dict[str, str]:
@@ -119,11 +121,23 @@ def dice_top_k(queries: DataFrame, terms: DataFrame, k: int = TOP_K, floor: floa
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "term")).cast("long")).where(F.col("place") <= k)
 
 
+def runs(spans: DataFrame) -> DataFrame:
+    """(group, run, start, end): the distinct spans that aren't empty, a group's cut about every MOST_SPANS.
+
+    A cut is made only where no span reaches across, so spans of different runs never overlap.
+    """
+    w = Window.partitionBy("group").orderBy("start", "end")
+    reached = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(F.col("start") < F.col("reached"), None).otherwise(F.col("place"))
+    placed = spans.select("group", "start", "end").where("start < end").distinct().withColumn("reached", reached).withColumn("place", F.row_number().over(w) - 1)
+    return placed.withColumn("run", F.floor(F.max(apart).over(w) / MOST_SPANS)).select("group", "run", "start", "end")
+
+
 def resolve_overlaps(spans: DataFrame) -> DataFrame:
     """(group, start, end) that stay when overlapping ones are settled: longest first, then leftmost.
 
-    The choice depends on what was chosen before, so it is made for each group (one field's spans) in a small
-    Python function; groups are independent and spread by Spark.
+    The choice depends on what was chosen before, so it is made for each run of a group (one field's spans) in a
+    small Python function; runs are independent and spread by Spark.
     """
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         order = pdf.assign(size=pdf["start"] - pdf["end"]).sort_values(["size", "start", "end"]).drop_duplicates(["start", "end"])
@@ -133,7 +147,7 @@ def resolve_overlaps(spans: DataFrame) -> DataFrame:
                 taken.append((row.start, row.end))
         return pd.DataFrame({"group": pdf["group"].iloc[0], "start": [a for a, _ in taken], "end": [b for _, b in taken]})
 
-    return spans.groupBy("group").applyInPandas(keep, "group bigint, start bigint, end bigint")
+    return runs(spans).groupBy("group", "run").applyInPandas(keep, "group bigint, start bigint, end bigint")
 
 
 def apply_spans(text: Column, spans: Column) -> Column:
