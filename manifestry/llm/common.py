@@ -56,10 +56,13 @@ def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], lis
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; set here only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder the cluster names in spark.checkpoint.dir. Where it is unset, only a local master, whose one
+    process has no others to share with, gets one of its own; a cluster raises an error."""
     if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="manifestry-checkpoints-")
@@ -73,6 +76,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """64 bits of all columns of a row; rows of equal id and hash are taken as equal. Maps, which Spark cannot
+    hash, are left out."""
+    return F.xxhash64(*(docs[f"`{f.name}`"] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,7 +3,9 @@
 Two fingerprints that differ in at most 3 of 64 bits differ in at most 1 bit of one of their two 32-bit
 segments.  So each distinct fingerprint is indexed under every one-wildcard variant of each segment, and
 those that meet under a variant are compared in full.  Rows without an id are linked like any other but
-carry a null id; a null or empty text has fingerprint zero; an empty table gives an empty result.
+carry a null id; a null or empty text has fingerprint zero; repeated rows and rows that share an id are
+each given their own fingerprint's answer; other columns, of whatever name, are not read; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, id_and_bytes, map_batches, partitions, words_of
+from .common import checkpoint, fresh, id_and_bytes, map_batches, partitions, row_hash, words_of
 from .components import connected_components
 
 BITS, SEGMENTS, SEED = 64, 2, 42
@@ -25,6 +27,8 @@ WIDTH = BITS // SEGMENTS
 MAX_DISTANCE = 2 * SEGMENTS - 1
 #: Fingerprints of one bucket that are compared pair by pair inside a task; a larger bucket is split and looked up.
 DENSE = 4096
+#: Tasks over which a hot key's rows are dealt before they are split by value.
+SALTS = 32
 #: Longest run that is compared at once with all other runs of a batch.
 SHORT = 48
 
@@ -55,12 +59,12 @@ def fingerprint(raw: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long) of every document."""
+    """doc_id, row (a hash of the whole row) and fp (the fingerprint's 64 bits as a signed long) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(
-        id_and_bytes(docs),
-        f"doc_id {kind}, fp bigint",
-        lambda b: [b["doc_id"], np.array([fingerprint(raw) for raw in b["raw"].to_pylist()], dtype=np.uint64).view(np.int64)],
+        id_and_bytes(docs, "doc_id", "text", row_hash(docs).alias("row")),
+        f"doc_id {kind}, row bigint, fp bigint",
+        lambda b: [b["doc_id"], b["row"], np.array([fingerprint(raw) for raw in b["raw"].to_pylist()], dtype=np.uint64).view(np.int64)],
     )
 
 
@@ -116,15 +120,32 @@ def _near_in_run(key: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     segment, bit = divmod(key >> WIDTH, WIDTH)
     flip = np.uint64(1 << (segment * WIDTH + bit))
     masks = _masks(1 - segment)
-    left, right = [], []
+    label, left, right = np.arange(len(u)), [], []
     for change in np.concatenate([masks, [flip], masks[np.bitwise_count(masks) < MAX_DISTANCE] | flip]):
         goal = u ^ change
         at = np.searchsorted(u, goal)
         at[at == len(u)] = 0
-        hit = (u[at] == goal) & (u < goal)
-        left.append(u[hit])
-        right.append(goal[hit])
-    return np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
+        hit = np.flatnonzero((u[at] == goal) & (u < goal))
+        hit = hit[label[hit] != label[at[hit]]]  # only links between parts that no link joins so far
+        if len(hit):
+            keep = hit[forest(label[hit], label[at[hit]])]
+            left.append(keep)
+            right.append(at[keep])
+            label = _joined(label, label[keep], label[at[keep]])
+    x, y = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (left, right))
+    return u[x].view(np.int64), u[y].view(np.int64)
+
+
+def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The labels after parts x[i] and y[i] are joined, each part named by its least label."""
+    parent = np.arange(len(label))
+    while (parent[x] != parent[y]).any():
+        low = np.minimum(parent[x], parent[y])
+        np.minimum.at(parent, parent[x], low)
+        np.minimum.at(parent, parent[y], low)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    return parent[label]
 
 
 def forest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -199,30 +220,47 @@ def near_links(fps: DataFrame) -> DataFrame:
         ).distinct().withColumn("is_hot", F.lit(True))
         other = F.when(F.shiftright("key", WIDTH) < WIDTH, low("fp", 1)).otherwise(low("fp", 0))
         bytes_of = F.array(*(F.shiftright(other, 8 * i).bitwiseAND(F.lit(255)).bitwiseOR(F.lit((i + 1) << 8)) for i in range(4)))
-        index = index.join(keys, "key", "left").select("key", F.explode(F.when(F.col("is_hot"), bytes_of).otherwise(F.array("sub"))).alias("sub"), "fp")
+        # the rows of one key are dealt over SALTS tasks for this join; each hot key has thousands of them
+        index = index.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+        keys = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        index = index.join(keys, ["key", "salt"], "left").select("key", F.explode(F.when(F.col("is_hot"), bytes_of).otherwise(F.array("sub"))).alias("sub"), "fp")
     dealt = index.repartition(partitions(spark), "key", "sub").sortWithinPartitions("key", "sub", "fp")
     return dealt.mapInArrow(_links, "a bigint, b bigint").where("a <> b").distinct()
 
 
+def classes(rows: DataFrame) -> DataFrame:
+    """fp and component (a fingerprint that stands for all reachable ones) of every distinct fingerprint of rows."""
+    nodes = checkpoint(rows.select("fp").distinct())
+    parts = connected_components(near_links(nodes))
+    return nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of every document.
 
     Documents of equal fingerprint are one node, whose smallest id stands for it, so copies cost one row each.
     """
-    rows = checkpoint(fingerprints(docs))
-    nodes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = connected_components(near_links(nodes.select("fp")))
-    linked = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = linked.join(least, "component").select("fp", "component_id")
+    rows = checkpoint(fingerprints(docs).drop("row"))
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    linked = checkpoint(classes(rows).join(least, "fp"))
+    ids = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
     return rows.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, without those that are not the first (smallest id) of their component.
+    """The documents, all columns, one row of each component of near copies.
 
-    Rows that share an id are one document, of which one row stays; documents without an id are all kept.
+    It is the row with the smallest id, of rows with that id the one with the smallest hash of the whole row; of
+    rows equal in every column one stays.  So rows that share an id but not a text both stay, unless their
+    texts are near copies.  Rows without an id are all kept; an empty table gives an empty result; further
+    columns, of whatever name, are kept as they are.
     """
-    keep = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = checkpoint(fingerprints(docs).where(F.col("doc_id").isNotNull()))
+    first = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("first")).join(classes(rows), "fp")
+    row, key = fresh(docs, "row"), fresh(docs, "kept_id")
+    keep = first.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(key), F.col("first.row").alias(row + "_kept"))
+    marked = docs.where(F.col("doc_id").isNotNull()).withColumn(row, row_hash(docs))
+    kept = marked.join(keep, (F.col("doc_id") == F.col(key)) & (F.col(row) == F.col(row + "_kept")), "left_semi")
+    if not rows.groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", row])
+    return kept.drop(row).unionByName(docs.where(F.col("doc_id").isNull()))
