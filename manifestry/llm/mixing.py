@@ -3,8 +3,10 @@
 Documents are counted by source and exact length.  A source whose target is above its size takes every
 document once; the remaining budget (below the size) is met by choosing a number of documents of each length:
 the proportional share first, then bounded knapsack over what is left.  Which documents of a length are taken
-follows a seeded hash of their ids.  A null text or id is a document like any other (size 0; its own hash);
-repeated rows are documents of their own; an empty table gives an empty result.
+follows a seeded hash of their ids, of equal ids of the whole row.  A null text or id is a document like any
+other (size 0; its own hash); repeated rows, and rows that share an id, are documents of their own with their own
+decision; of rows equal in every column it does not matter which is taken; further columns, of whatever name, only
+enter that hash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,21 +16,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches
+from .common import checkpoint, fresh, map_batches, row_hash
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST_REPEATS, SEED = 1.5, 2, 17
+#: Words up to which a budget that the proportional share missed is met anew; below it the nearest sum is found.
+MOST_WINDOW = 1 << 24
 #: Parts of the hash range into which the documents of one source and length are dealt.
 PARTS = 1024
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) and order (a seeded hash) of every document."""
+    """doc_id, source, row (a hash of the whole row), size (words) and order (a seeded hash) of every document."""
     kind, key = docs.schema["doc_id"].dataType.simpleString(), docs.schema["source"].dataType.simpleString()
     counted = map_batches(
-        docs.select("doc_id", "source", F.col("text").cast("binary").alias("raw")),
-        f"doc_id {kind}, source {key}, size bigint",
-        lambda b: [b["doc_id"], b["source"], [len(raw.split()) if raw else 0 for raw in b["raw"].to_pylist()]],
+        docs.select("doc_id", "source", row_hash(docs).alias("row"), F.col("text").cast("binary").alias("raw")),
+        f"doc_id {kind}, source {key}, row bigint, size bigint",
+        lambda b: [b["doc_id"], b["source"], b["row"], [len(raw.split()) if raw else 0 for raw in b["raw"].to_pylist()]],
     )
     return counted.withColumn("order", F.xxhash64(F.lit(SEED), "doc_id"))
 
@@ -36,21 +40,31 @@ def sizes(docs: DataFrame) -> DataFrame:
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -> DataFrame:
     """source, source_size, target: weighted shares of ``share`` times all words, none above ``most`` times its source.
 
-    One row for each source takes part. A source is at its limit if its limit for each unit of weight is below
-    the level at which the rest, filled evenly by weight, uses up the budget; that level follows from sums
-    over the sources in order of this ratio.
+    One row for each source takes part, and they never meet in one task: their places by code point follow from
+    a range partitioning and the number of rows before each part, and the level to which the sources are filled
+    from sums over all, anew while sources reach their limit (each time at least one, mostly nearly all at once).
     """
     per = sized.groupBy("source").agg(F.sum("size").cast("double").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").cast("binary").asc_nulls_last())) - 1
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (place % len(weights) + 1).cast("int"))
-    per = per.withColumn("w", w).withColumn("limit", F.lit(float(most)) * F.col("source_size")).withColumn("ratio", F.col("limit") / F.col("w"))
-    up = Window.orderBy("ratio", F.col("source").cast("binary")).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.withColumn("below", F.coalesce(F.sum("limit").over(up), F.lit(0.0))).withColumn("w_from", F.sum("w").over(every) - F.coalesce(F.sum("w").over(up), F.lit(0.0)))
-    per = per.withColumn("budget", F.least(F.lit(float(share)) * F.sum("source_size").over(every), F.sum("limit").over(every)))
-    level = (F.col("budget") - F.col("below")) / F.col("w_from")
-    per = per.withColumn("full", F.col("ratio") <= level).withColumn("level", F.max(F.when(~F.col("full"), level)).over(every))
-    return per.select("source", F.col("source_size").cast("long").alias("source_size"), F.when(F.col("full"), F.col("limit")).otherwise(F.col("w") * F.col("level")).alias("target"))
+    ordered = checkpoint(per.orderBy(F.col("source").cast("binary").asc_nulls_last()).withColumn("of", F.spark_partition_id()))
+    before, n = [], 0
+    for r in ordered.groupBy("of").agg(F.count("*").alias("n")).orderBy("of").collect():  # a row for each partition
+        before.append((r["of"], n))
+        n += r["n"]
+    offsets = F.broadcast(sized.sparkSession.createDataFrame(before, "of int, offset bigint"))
+    own = F.row_number().over(Window.partitionBy("of").orderBy(F.col("source").cast("binary").asc_nulls_last())) - 1
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    placed = ordered.join(offsets, "of").withColumn("place", own + F.col("offset")).withColumn("w", w).withColumn("limit", F.lit(float(most)) * F.col("source_size"))
+    placed = checkpoint(placed.select("source", "source_size", "w", "limit"))
+    every = placed.agg(F.coalesce(F.sum("source_size"), F.lit(0.0)).alias("size"), F.coalesce(F.sum("limit"), F.lit(0.0)).alias("limit")).first()
+    budget, level, full = min(share * every["size"], every["limit"]), -1.0, F.lit(False)
+    while True:
+        rest = placed.agg(F.coalesce(F.sum(F.when(full, F.col("limit"))), F.lit(0.0)).alias("limit"), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0.0)).alias("w")).first()
+        new = (budget - rest["limit"]) / rest["w"] if rest["w"] else level
+        if new <= level:
+            break
+        level = new
+        full = F.col("limit") <= F.col("w") * F.lit(level)
+    return placed.select("source", F.col("source_size").cast("long").alias("source_size"), F.when(full, F.col("limit")).otherwise(F.col("w") * F.lit(level)).alias("target"))
 
 
 def choose_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -58,27 +72,49 @@ def choose_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.nd
 
     The proportional share, rounded down, keeps the mix of lengths; the rest (less than one of each length) is
     cut by whole documents from the longest down, and the last part, below the longest length, is met by
-    bounded knapsack: a bit set of the reachable sums after each length.
+    bounded knapsack.  Where that misses the budget by as much as the lengths' common divisor, documents are given
+    back, twice as many of each length every time, and the larger rest is met anew: until it is met, or all are
+    given back, and the sum is the nearest of all.  Only beyond MOST_WINDOW words does the search end
+    before: there a gap may stay that giving back that many words did not close.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = np.floor(counts * (budget / total)).astype(np.int64) if total else np.zeros_like(counts)
-    rest = budget - int((lengths * take).sum())
+    share = np.floor(counts * (budget / total)).astype(np.int64) if total else np.zeros_like(counts)
+    rest = budget - int((lengths * share).sum())
     longest = int(lengths.max(initial=0))
     for i in np.argsort(-lengths, kind="stable"):
         if rest > 2 * longest and lengths[i] > 0:
-            more = min(int(counts[i] - take[i]), (rest - 2 * longest) // int(lengths[i]))
-            take[i] += more
+            more = min(int(counts[i] - share[i]), (rest - 2 * longest) // int(lengths[i]))
+            share[i] += more
             rest -= more * int(lengths[i])
-    free = [i for i in np.argsort(-lengths, kind="stable") if 0 < lengths[i] <= rest and take[i] < counts[i]]
+    unit = int(np.gcd.reduce(lengths[counts > 0])) if total else 0
+    back, best, least = 0, share, rest + 1
+    while unit and least >= unit:
+        base = np.maximum(share - back, 0)
+        window = budget - int((lengths * base).sum())
+        if back and window > MOST_WINDOW:
+            break
+        take = base + _knapsack(lengths, counts - base, window)
+        if (gap := budget - int((lengths * take).sum())) < least:
+            best, least = take, gap
+        if not base.any():
+            break
+        back = 2 * back or 1
+    return best
+
+
+def _knapsack(lengths: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
+    """Bounded knapsack: how many of each length come nearest to ``rest`` from below, by a bit set of the reachable
+    sums after each step (1, 2, 4, ... copies of a length)."""
+    take = np.zeros_like(counts)
     mask, reach, steps = (1 << (rest + 1)) - 1, 1, []
-    for i in free:
+    for i in np.argsort(-lengths, kind="stable"):
         if reach >> rest & 1:
             break
-        left, part, piece = min(int(counts[i] - take[i]), rest // int(lengths[i])), 1, 0
-        while left:  # 1, 2, 4, ... copies: any number of them can be put together
+        left, part = (min(int(counts[i]), rest // int(lengths[i])) if lengths[i] > 0 else 0), 1
+        while left > 0:
             piece = min(part, left)
             steps.append((i, piece, reach))
             reach |= reach << (piece * int(lengths[i])) & mask
@@ -101,7 +137,8 @@ def _choose(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes of it) of every document.
+    """doc_id, size, source_size, target and taken (words the mix takes of it) of every document; with source, copies
+    (how often it is taken) and row (a hash of the whole row).
 
     Documents of one source and length are never gathered: they are counted by part of the hash range, and only
     those of the part that holds the last one taken are ordered among themselves.
@@ -120,14 +157,22 @@ def mix(docs: DataFrame) -> DataFrame:
     )
     rows = sized.join(plan, ["key", "size", "part"])
     settled = rows.where((F.col("here") == 0) | (F.col("here") == F.col("n"))).withColumn("again", F.col("here") > 0)
-    ranked = rows.where((F.col("here") > 0) & (F.col("here") < F.col("n"))).withColumn("again", F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("order", "doc_id")) <= F.col("here"))
+    ranked = rows.where((F.col("here") > 0) & (F.col("here") < F.col("n"))).withColumn("again", F.row_number().over(Window.partitionBy("key", "size", "part").orderBy("order", "doc_id", "row")) <= F.col("here"))
     return settled.unionByName(ranked).join(goals, "key").select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("again").cast("long"))).alias("taken"), "source", (F.col("whole") + F.col("again").cast("long")).alias("copies")
+        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("again").cast("long"))).alias("taken"), "source", (F.col("whole") + F.col("again").cast("long")).alias("copies"), "row"
     )
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them, all columns. Rows that share an id share the least decision."""
-    copies = mix(docs).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.min("copies").alias("mixed_copies")).where("mixed_copies > 0")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mixed_id"]))
-    return joined.withColumn("mixed_again", F.explode(F.expr("sequence(1, mixed_copies)"))).select(*(docs[c] for c in docs.columns))
+    """The documents as often as the mix takes them, all columns.
+
+    Each row is taken as often as ``mix`` decided for it; rows equal in every column are put together and
+    taken as often as all of them.
+    """
+    key, row, n = fresh(docs, "mixed_id"), fresh(docs, "mixed_row"), fresh(docs, "mixed_n")
+    copies = checkpoint(mix(docs).groupBy(F.col("doc_id").alias(key), F.col("row").alias(row)).agg(F.sum("copies").alias(n), F.count("*").alias("rows")))
+    marked = docs.withColumn(row, row_hash(docs))
+    if not copies.where("rows > 1").isEmpty():
+        marked = marked.dropDuplicates(["doc_id", row])
+    joined = marked.join(copies.where(F.col(n) > 0).drop("rows"), marked["doc_id"].eqNullSafe(copies[key]) & (marked[row] == copies[row]))
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n)))).select(*(marked[f"`{c}`"] for c in docs.columns))
