@@ -2,9 +2,10 @@
 
 A model holds, for every character n-gram of a word (a space on both sides) up to ORDER, its interpolated log
 probability, and for every context its back-off weight, in arrays sorted by the n-gram's 64-bit hash.  A text's
-cross-entropy in a language is the sum over its words divided by its characters; the lowest wins.  It may be
-rejected by a threshold calibrated on the training rows.  Null text, or one without a letter, is ``und`` with
-score 0; repeated rows are treated alike; an empty table gives an empty result.
+cross-entropy in a language is the sum over its words divided by its characters; the lowest wins, of equal ones
+the language first by name.  It may be rejected by a threshold calibrated on training rows that the models were not
+fitted on.  Null text, or one without a letter, is ``und`` with score 0; a very long text is scored whole; repeated
+rows are treated alike; further columns, of whatever name, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ from pyspark.sql import functions as F
 from .common import is_fold, map_batches
 
 ORDER, DISCOUNT = 4, 0.75
-#: Bounds of the fit: training rows of each language (about; by a hash of their ids), and characters of each row.
-MAX_ROWS, MAX_CHARS = 400, 40_000
-#: Most languages that get a model: those with the most training rows.
-MAX_LANGUAGES = 200
+#: Bounds of the fit: training rows of each language (about; by a hash of their ids), and characters of each row;
+#: with many languages both shrink, to LEAST_ROWS and LEAST_CHARS at least, so that all texts together have about
+#: MAX_TOTAL characters.
+MAX_ROWS, MAX_CHARS, MAX_TOTAL = 400, 40_000, 64_000_000
+LEAST_ROWS, LEAST_CHARS = 25, 2_000
+#: Every how many of a language's training rows one is left out of the fit, to calibrate the rejection.
+LEFT_OUT = 5
 #: Words whose cross-entropies a task remembers before it starts afresh.
 REMEMBERED = 200_000
-#: Share of the training rows that the calibrated threshold rejects.
+#: Share of the rows left out of the fit that the calibrated threshold rejects.
 REJECTED = 0.005
 LETTERS = regex.compile(r"\p{L}+")
 _FLOOR = np.log(1e-7)
@@ -205,33 +209,44 @@ def decide(identifier: Identifier, entropies: np.ndarray) -> tuple[list[str], np
     return ["und" if n else identifier.languages[b] for n, b in zip(none, best)], score, none | (e.min(axis=1) > identifier.reject_above)
 
 
-def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Identifier:
-    """Models from rows outside fold 0 of 5 that have a language; about ``max_rows`` of each language, by a hash
-    of the id below a share of its range, and none of more than ``max_chars``: the stated bound of what reaches
-    the driver."""
-    train = docs.where(~is_fold("doc_id", 5, 0) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "lang", "text")
-    shares = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, max_total: int = MAX_TOTAL) -> Identifier:
+    """Models from rows outside fold 0 of 5 that have a language.
+
+    Of each language about ``max_rows`` are taken, by a hash of the id below a share of its range, all if there
+    are fewer; of a longer text than ``max_chars`` the characters before that are learnt from.  These, and a
+    row for each language, are what reaches the driver: about ``max_total`` characters, unless the languages are
+    so many that LEAST_ROWS of LEAST_CHARS each are more.  Every language with a letter in a training row is learnt.
+    """
+    train = docs.where(~is_fold("doc_id", 5, 0) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    if not sizes:
+        return Identifier([], [])
+    max_rows = int(max(min(max_rows, max_total / len(sizes) / max_chars), min(max_rows, LEAST_ROWS)))
+    max_chars = int(max(min(max_chars, max_total / len(sizes) / max_rows), min(max_chars, LEAST_CHARS)))
     place = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "doc_id"), 11) / float(1 << 53)
     # each language's share of the range stands in the filter itself, so texts are neither joined nor shuffled
-    cut = F.lit(0.0)
-    for r in shares:
-        cut = F.when(F.col("lang") == r.lang, F.lit(min(1.0, max_rows / r.n))).otherwise(cut)
-    rows = train.where(place < cut).select("lang", "text").collect() if shares else []
+    cut = F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_rows / n)))), F.col("lang"))
+    rows = train.where(place < cut).select("lang", F.substring("text", 1, max_chars).alias("text"), place.alias("place"), "doc_id").collect()
     texts: dict = {}
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (r.place, r.doc_id, r.text)):
         texts.setdefault(r.lang, []).append(r.text)
     languages = sorted(k for k, v in texts.items() if any(letters_of(t) for t in v))
-    models = []
+    models, aside = [], []
     for k in languages:
+        learnt = [t for i, t in enumerate(texts[k]) if i % LEFT_OUT != LEFT_OUT - 1]
+        if any(letters_of(t) for t in learnt):
+            aside.append([t for i, t in enumerate(texts[k]) if i % LEFT_OUT == LEFT_OUT - 1])
+        else:
+            learnt = texts[k]
+            aside.append([])
         counts: Counter = Counter()
-        for t in texts[k]:
+        for t in learnt:
             counts.update(letters_of(t))
         models.append(fit_model(counts))
     found = Identifier(languages, models)
-    if not models:
-        return found
-    lowest = np.concatenate([_Scorer(found).cross_entropies(texts[k])[:, i] for i, k in enumerate(languages)])
-    return Identifier(languages, models, float(np.quantile(lowest[~np.isnan(lowest)], 1 - REJECTED) * 1.25))
+    lowest = np.concatenate([np.zeros(0), *(_Scorer(found).cross_entropies(v)[:, i] for i, v in enumerate(aside) if v)])
+    lowest = lowest[~np.isnan(lowest)]
+    return Identifier(languages, models, float(np.quantile(lowest, 1 - REJECTED)) if len(lowest) else np.inf)
 
 
 def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:
