@@ -2,7 +2,13 @@
 
 ``wrap`` stores a payload losslessly as 8-bit samples of an ISO media file.  ``walk`` goes through nested boxes,
 ``tracks`` decodes the sample tables to codec, duration and the byte ranges of samples and keyframes, without
-touching the payload.  A null text is taken as empty (one frame of padding); equal texts give equal files.
+touching the payload.  Fragments (``moof``) are read as well: the runs of samples (``trun``) add to their track.
+
+A null text is taken as empty (one frame of padding); equal texts give equal files; a long text's tables have a
+row for each frame.  Of a damaged file, or one that is no ISO media file, what the boxes still say is given:
+a table whose count does not fit its box, or samples that are not within the file, give no track; nothing is
+raised.  Repeated rows are treated alike; further columns, of whatever name, are not read; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +28,8 @@ from .common import id_and_bytes, map_batches
 FRAME, CHUNK, KEY_EVERY, RATE, PADDING = 576, 16, 12, 8000, 255
 #: Boxes whose content is boxes, and the bytes before the first of them.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"udta": 0, b"moof": 0, b"traf": 0, b"mvex": 0}
+#: Levels of boxes that are entered.
+DEEPEST = 32
 _MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -75,9 +83,13 @@ def wrap(payload: bytes) -> bytes:
 
 def walk(media: bytes, start: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
     """(path, first byte of the content, end) of every box, parents first. A size of 0 reaches to the end; 1
-    has the size in 8 further bytes. A size that doesn't fit its parent ends the walk of that parent."""
-    end = len(media) if end is None else end
-    while start + 8 <= end:
+    has the size in 8 further bytes. A size that doesn't fit its parent ends the walk of that parent; boxes below
+    DEEPEST levels are not entered."""
+    todo = [(start, len(media) if end is None else end, path)]
+    while todo:
+        start, end, path = todo.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", media, start)
         head = 8
         if size == 1 and start + 16 <= end:
@@ -85,12 +97,12 @@ def walk(media: bytes, start: int = 0, end: int | None = None, path: tuple = ())
         elif size == 0:
             size = end - start
         if size < head or start + size > end:
-            return
+            continue
         here = (*path, kind)
         yield here, start + head, start + size
-        if kind in CONTAINERS:
-            yield from walk(media, start + head + CONTAINERS[kind], start + size, here)
-        start += size
+        todo.append((start + size, end, path))
+        if kind in CONTAINERS and len(here) < DEEPEST:
+            todo.append((start + head + CONTAINERS[kind], start + size, here))
 
 
 @dataclass(frozen=True)
@@ -103,39 +115,158 @@ class Track:
     keys: np.ndarray  # indices of the samples that are keyframes
 
 
+def _none() -> np.ndarray:
+    return np.zeros(0, dtype=np.int64)
+
+
+class _Box:
+    """The content of a full box: numbers at places after its version and flags, none beyond its end."""
+
+    def __init__(self, media: bytes, at: tuple[int, int]):
+        self.media, self.at, self.end = media, *at
+        self.version = media[self.at] if self.at < self.end else 0
+        self.flags = self.number(0) & 0xFFFFFF if self.end - self.at >= 4 else 0
+
+    def number(self, at: int, kind: str = ">I") -> int:
+        if self.at + at + struct.calcsize(kind) > self.end:
+            raise _Damaged
+        return struct.unpack_from(kind, self.media, self.at + at)[0]
+
+    def array(self, at: int, n: int, kind: str = ">u4") -> np.ndarray:
+        if self.at + at + n * np.dtype(kind).itemsize > self.end:
+            raise _Damaged
+        return np.frombuffer(self.media, dtype=kind, count=n, offset=self.at + at).astype(np.int64)
+
+
+class _Damaged(Exception):
+    """A table that does not fit its box."""
+
+
 def tracks(media: bytes) -> list[Track]:
-    """Every track's sample tables; a file without whole tables has no tracks."""
-    found: list[dict] = []
+    """Every track's samples, by its sample tables and the fragments; damaged tracks are left out."""
+    found, fragments, defaults = [], [], {}
     for path, a, b in walk(media):
-        if path[-1] == b"trak":
+        kind = path[-1]
+        if kind == b"trak":
             found.append({})
-        elif found and b"trak" in path:
-            found[-1][path[-1]] = (a, b)
-    return [t for boxes in found if (t := _track(media, boxes)) is not None]
+        elif b"trak" in path and found:
+            found[-1].setdefault(kind, (a, b))
+        elif kind == b"trex":
+            defaults.setdefault(_number(media, (a, b), 4), (a, b))
+        elif kind == b"moof":
+            first = a - 8 if media[a - 4 : a] == b"moof" else a - 16
+            fragments.append([first, []])
+        elif kind == b"traf" and fragments:
+            fragments[-1][1].append([])
+        elif b"traf" in path and fragments and fragments[-1][1]:
+            fragments[-1][1][-1].append((kind, (a, b)))
+    out = []
+    for boxes in found:
+        try:
+            out.append(_track(media, boxes, fragments, defaults))
+        except _Damaged:
+            continue
+    return [t for t in out if t is not None]
+
+
+def _number(media: bytes, at: tuple[int, int], place: int) -> int | None:
+    try:
+        return _Box(media, at).number(place)
+    except _Damaged:
+        return None
 
 
-def _track(media: bytes, boxes: dict) -> Track | None:
+def _track(media: bytes, boxes: dict, fragments: list, defaults: dict) -> Track | None:
     if not {b"mdhd", b"stsd", b"stsc", b"stsz"} <= boxes.keys() or not boxes.keys() & {b"stco", b"co64"}:
         return None
-    u32 = lambda kind, at: struct.unpack_from(">I", media, boxes[kind][0] + at)[0]
-    array = lambda kind, at, n, of=">u4": np.frombuffer(media, dtype=of, count=n, offset=boxes[kind][0] + at).astype(np.int64)
-    v1 = media[boxes[b"mdhd"][0]] == 1
-    timescale = u32(b"mdhd", 20 if v1 else 12)
-    duration = struct.unpack_from(">Q", media, boxes[b"mdhd"][0] + 24)[0] if v1 else u32(b"mdhd", 16)
-    codec = media[boxes[b"stsd"][0] + 12 : boxes[b"stsd"][0] + 16].decode("latin-1")
-    n = u32(b"stsz", 8)
-    sizes = np.full(n, u32(b"stsz", 4), dtype=np.int64) if u32(b"stsz", 4) else array(b"stsz", 12, n)
-    chunk_at = array(b"co64", 8, u32(b"co64", 4), ">u8") if b"co64" in boxes else array(b"stco", 8, u32(b"stco", 4))
-    runs = array(b"stsc", 8, 3 * u32(b"stsc", 4)).reshape(-1, 3)
-    per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunk_at) + 1)))
-    chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)[:n]
-    before = np.cumsum(sizes) - sizes
-    first = np.searchsorted(chunk, np.arange(len(per_chunk)))
-    offsets = chunk_at[chunk] + before - before[np.minimum(first, max(n - 1, 0))][chunk]
-    keys = array(b"stss", 8, u32(b"stss", 4)) - 1 if b"stss" in boxes else np.arange(n)
+    of = {k: _Box(media, v) for k, v in boxes.items()}
+    head = of[b"mdhd"]
+    timescale, duration = (head.number(20), head.number(24, ">Q")) if head.version == 1 else (head.number(12), head.number(16))
+    codec = bytes(of[b"stsd"].array(12, 4, ">u1").astype(np.uint8)).decode("latin-1")
+    same, n = of[b"stsz"].number(4), of[b"stsz"].number(8)
+    if same and n * same > len(media):
+        raise _Damaged
+    sizes = np.full(n, same, dtype=np.int64) if same else of[b"stsz"].array(12, n)
+    chunks = of[b"co64"] if b"co64" in of else of[b"stco"]
+    chunk_at = chunks.array(8, chunks.number(4), ">u8" if b"co64" in of else ">u4")
+    runs = of[b"stsc"].array(8, 3 * of[b"stsc"].number(4)).reshape(-1, 3)
+    chunks_of = np.diff(np.append(runs[:, 0], len(chunk_at) + 1))
+    if len(runs) and (runs[0, 0] != 1 or (chunks_of < 0).any() or (runs[:, 1] * chunks_of).sum() < n) or not len(runs) and n:
+        raise _Damaged
+    per_chunk = np.minimum(np.repeat(runs[:, 1], chunks_of), n)
+    first = np.minimum(np.cumsum(per_chunk) - per_chunk, n)
+    chunk = np.repeat(np.arange(len(per_chunk)), np.minimum(per_chunk, n - first))
+    before = np.append(np.cumsum(sizes) - sizes, sizes.sum())
+    offsets = chunk_at[chunk] + before[:-1] - before[first][chunk]
+    keys = of[b"stss"].array(8, of[b"stss"].number(4)) - 1 if b"stss" in of else np.arange(n)
+    if len(keys) and (keys.min() < 0 or keys.max() >= n):
+        raise _Damaged
+    name = None
+    if b"tkhd" in of:
+        name = of[b"tkhd"].number(20 if of[b"tkhd"].version == 1 else 12)
+    more = [_fragment(media, start, boxes, defaults.get(name)) for start, pieces in fragments for boxes in pieces if name is not None and _owner(media, boxes) == name]
+    for o, s, k in more:
+        keys = np.concatenate([keys, k + len(offsets)])
+        offsets, sizes = np.concatenate([offsets, o]), np.concatenate([sizes, s])
+    if len(offsets) and (offsets.min() < 0 or sizes.sum() > len(media) or (offsets > len(media) - sizes).any()):
+        raise _Damaged
     return Track(codec, timescale, duration, offsets, sizes, keys)
 
 
+def _owner(media: bytes, boxes: list) -> int | None:
+    return next((_number(media, at, 4) for kind, at in boxes if kind == b"tfhd"), None)
+
+
+def _fragment(media: bytes, start: int, boxes: list, default: tuple[int, int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets and sizes of the samples of one ``traf``, and which are keyframes (not marked as depending on others).
+
+    Places count from the base that ``tfhd`` states or else from the ``moof``; a run without one goes on where the
+    one before ended.  Sizes and flags not in the run are those of ``tfhd``, or else of ``trex``.
+    """
+    size, flags, base = 0, 0, start
+    if default is not None:
+        size, flags = _Box(media, default).number(16), _Box(media, default).number(20)
+    offsets, sizes, keys, seen = [_none()], [_none()], [_none()], 0
+    at = base
+    for kind, place in boxes:
+        box = _Box(media, place)
+        if kind == b"tfhd":
+            p = 8
+            for bit, name, width in ((0x1, "base", 8), (0x2, "entry", 4), (0x8, "length", 4), (0x10, "size", 4), (0x20, "flags", 4)):
+                if box.flags & bit:
+                    value = box.number(p, ">Q" if width == 8 else ">I")
+                    p += width
+                    if name == "base":
+                        base = at = value
+                    elif name == "size":
+                        size = value
+                    elif name == "flags":
+                        flags = value
+        elif kind == b"trun":
+            n, p = box.number(4), 8
+            if box.flags & 0x1:
+                at = base + box.number(p, ">i")
+                p += 4
+            first = None
+            if box.flags & 0x4:
+                first = box.number(p)
+                p += 4
+            fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if box.flags & bit]
+            if not fields and n * max(size, 1) > len(media):
+                raise _Damaged
+            table = box.array(p, n * len(fields)).reshape(n, len(fields))
+            s = table[:, fields.index(0x200)] if 0x200 in fields else np.full(n, size, dtype=np.int64)
+            f = table[:, fields.index(0x400)] if 0x400 in fields else np.full(n, flags, dtype=np.int64)
+            if first is not None and n:
+                f = np.concatenate([[first], f[1:]])
+            offsets.append(at + np.cumsum(s) - s)
+            sizes.append(s)
+            keys.append(seen + np.flatnonzero(f & 0x10000 == 0))
+            seen += n
+            at += int(s.sum())
+    return np.concatenate(offsets), np.concatenate(sizes), np.concatenate(keys)
+
+
 def payload_of(media: bytes, track: Track) -> bytes:
     """The samples' bytes in order; samples that lie end to end are taken in one piece."""
     if not len(track.offsets):
@@ -169,7 +300,7 @@ def describe(media: DataFrame) -> DataFrame:
         rows = []
         for m in batch["media"].to_pylist():
             found = tracks(m or b"")
-            t = found[0] if found else Track("", 0, 0, *(np.zeros(0, dtype=np.int64) for _ in range(3)))
+            t = found[0] if found else Track("", 0, 0, _none(), _none(), _none())
             p = payload_of(m, t)
             rows.append((t.codec, t.timescale, t.duration, len(t.sizes), [{"offset": a, "size": b} for a, b in keyframe_ranges(t)], len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m or b""), hashlib.sha256(m or b"").hexdigest()))
         return [batch["doc_id"], batch["n_bytes"], *([r[k] for r in rows] for k in range(10))]
