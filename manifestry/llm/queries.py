@@ -11,6 +11,8 @@ from . import bpe, html_crf, langid, media, mixing, pairwise, ppm, pseudonym, qu
 from .common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Key of the queries over the public test tables; a deployment sets pseudonym.KEY_SETTING instead.
+TABLE_KEY = "public test tables"
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +36,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``feature``: codec, timescale, duration, samples, keyframes, and a digest of the keyframes' byte ranges."""
+    """``feature``: codec, timescale, duration, samples, keyframes, and a digest of the keyframes' byte ranges, which
+    stand in columns of their own as well."""
     seen = media.describe(media.store(read(spark, sf_dir, "documents")))
     ranges = F.array_join(F.transform("keyframes", lambda k: F.concat_ws("+", k["offset"], k["size"])), ",")
     feature = F.concat_ws("|", F.trim("codec"), "timescale", "duration", "samples", F.size("keyframes"), F.md5(ranges))
-    return seen.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return seen.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "codec", "timescale", "duration", "samples", "keyframes")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +57,12 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def table_key(spark: SparkSession) -> str:
+    return spark.conf.get(pseudonym.KEY_SETTING, None) or TABLE_KEY
+
+
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonym.pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), found="n_replaced")
+    return pseudonym.pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), key=table_key(spark), found="n_replaced")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
