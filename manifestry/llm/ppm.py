@@ -1,353 +1,327 @@
 """LM scoring by prediction by partial matching (PPM, escape method D with symbol exclusion) over bytes.
 
 The model is a trie of byte contexts with counts from the training documents.  A text is its words, A-Z
-lowered, each followed by a space, and an end symbol; a byte's context is the ORDER bytes before it, but no
-further back than the space before its word.  A byte unseen in a context escapes to the next shorter one, from
-which all bytes seen in the longer one are excluded; after the empty context all other bytes are alike.  There
-is one trie for each of the common values of a column (here the language of the training rows); a text's
-probability is their mixture, weighted by their shares of the training documents, whatever its own value.
-
-As contexts end at the word, a text's code length is a sum over its words, so the corpus is carried as
-distinct words: each batch of documents sends its distinct words, dealt by how they begin, and gets back
-their counts and log probabilities.  A bucket of words that begin alike beyond a bound is split by a hash of
-the whole word.  The tries are dealt by the two bytes next to the symbol, which all longer
-contexts of a chain share; only the 256 x 256 counts of shorter contexts are held by every task.  Nothing of
-the corpus passes through the driver but sums and those tables.
-
-A null or empty text is the end symbol alone; repeated rows are scored alike and count each time in training;
-an empty table gives an empty result; other columns are not read.
+lowered, each followed by a space, and an end symbol; a byte's context is the ORDER bytes before it, over
+words' ends back to the start of the text (where a space is taken to stand before it).  A byte unseen in a
+context escapes to the next shorter one, from which all bytes seen in the longer one are excluded; after the
+empty context all other bytes are alike.  There is one trie for each of the common values of a column (here the
+language of the training rows); a text's probability is their mixture, weighted by their shares of the
+training documents, whatever its own value.
+
+Documents are put together in batches of about BATCH_BYTES.  Each batch counts its distinct grams (a byte and its
+context) and words; these are summed over all batches by their key.  The tries are then worked out order by order
+from the shortest contexts up, by grouping, windows over one context (256 rows at most) and a join with the order
+below.  Last, keys and log probabilities are dealt in buckets of about BUCKET_KEYS, each batch is answered what
+it asked for, and its documents are summed.  Nothing of the corpus passes through the driver but totals.
+
+A null or empty text is the end symbol alone; very long texts are cut between words into pieces that keep the
+bytes before them as context, and summed again; repeated rows are scored alike and count each time in training; an
+empty table gives an empty result; other columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
 
-import zlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, id_and_bytes, is_fold, partitions
+from .common import checkpoint, id_and_bytes, is_fold
 
 ORDER = 5
 #: The end symbol: a byte that no word can hold.
 END = b"\n"
-#: Documents in one batch (also bounded by the bytes of an Arrow batch).
-BATCH_ROWS = 5_000
+#: Stands before a text: a space, and before it nothing.
+START = b"\0" * (ORDER - 1) + b" "
+#: Bytes of text in one batch, in one piece of a long text, and in what a task works on at once.
+BATCH_BYTES, PIECE_BYTES, AT_ONCE = 24 << 20, 4 << 20, 2 << 20
 #: Most tries, and the least share of the training documents that a value needs to have its own.
 MOST_TRIES, LEAST_SHARE = 6, 0.01
-#: Bytes of words, over all batches, that meet in one group; a bucket with more is split.
-MOST_BYTES = 4 << 20
-_ARRAYS = "batch string, bucket int, words binary, train binary, ids binary, size bigint"
+#: Keys of the model in one bucket, and keys asked by all the batches that meet with it in one group.
+BUCKET_KEYS, GROUP_KEYS = 200_000, 4_000_000
+#: A key is a gram (its symbol in the lowest 8 bits, its context above) with the trie above it, or a word's hash.
+GRAM_BITS = 8 * (ORDER + 1)
+GRAM, HELD, WORD = (1 << GRAM_BITS) - 1, 7, 1 << 62
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+_BATCH = "batch string, docs binary, keys binary, counts binary, size bigint"
 
 
 def _pack(array: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(array).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(array).tobytes(), 3)
 
 
 def _unpack(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), dtype=kind)
 
 
-def _pack_sparse(table: np.ndarray) -> bytes:
-    """A table of counts, by its cells that aren't 0."""
-    flat = table.ravel()
-    at = np.flatnonzero(flat)
-    return _pack(np.concatenate([np.diff(at, prepend=0), flat[at]]).astype(np.int64))
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    """By differences, the lowest bytes of all first, so that what they have in common packs well."""
+    steps = np.diff(keys, prepend=0).astype("<i8")
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
 
 
-def _unpack_sparse(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = _unpack(data, np.int64)
-    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(raw.T).view("<i8").ravel())
 
 
-# -- batches of documents -> distinct words ---------------------------------------------------------------
+# -- documents -> batches of distinct keys ----------------------------------------------------------------
 
-def tokens_of(raw: bytes | None) -> list[bytes]:
-    """The text's words, A-Z lowered, then one end."""
-    return [*(raw.lower().split() if raw else ()), END]
+def pieces_of(raw: bytes | None) -> Iterator[tuple[bytes, bytes]]:
+    """(bytes before, bytes) of each piece of the text's spelling: its words, each with a space, then one end."""
+    raw, before, start = (raw or b"").lower(), START, 0
+    while True:
+        cut = _BLANK.search(raw, start + PIECE_BYTES) if len(raw) - start > PIECE_BYTES else None
+        words = raw[start : cut.start()].split() if cut else raw[start:].split()
+        spelled = b" ".join([*words, b""]) if words else b""
+        if not cut:
+            yield before, spelled + END
+            return
+        if spelled:
+            yield before, spelled
+            before = (before + spelled)[-ORDER:]
+        start = cut.end()
 
 
-def _batches(buckets: int, tries: int):
-    """A row for each bucket of a batch's distinct words, and one (bucket -1) that holds its documents.
+def grams_of(pieces: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """The code of each byte of the pieces, in order, with its context."""
+    raw = np.frombuffer(b"".join(x for piece in pieces for x in piece), dtype=np.uint8).astype(np.int64)
+    code = raw.copy()
+    for k in range(1, ORDER + 1):
+        code[k:] += raw[:-k] << (8 * k)
+    lengths = np.fromiter((len(s) + ORDER for _, s in pieces), dtype=np.int64, count=len(pieces))
+    place = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return code[place >= ORDER]
 
-    ``words`` are joined by spaces, ``train`` counts each in the batch's training documents of each trie.  The
-    documents' row has in ``ids`` the places of each one's distinct words among the batch's in bucket order, and
-    how often it has them; in ``train`` how many these are; and in ``words`` an Arrow stream of ids and folds.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, serial = TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for start in range(0, whole.num_rows, BATCH_ROWS):
-                yield one(whole.slice(start, BATCH_ROWS), f"{task}-{serial}")
-                serial += 1
-
-    def one(batch: pa.RecordBatch, name: str) -> pa.RecordBatch:
-        found = [tokens_of(raw) for raw in batch["raw"].to_pylist()]
-        trie = np.array(batch["trie"].to_pylist(), dtype=np.int64)  # -1: held out
-        vocabulary = list(set().union(*found))
-        home = np.fromiter((zlib.crc32(w[:4]) % buckets for w in vocabulary), dtype=np.int32, count=len(vocabulary))
-        order = np.lexsort((_hashes(vocabulary), home)).tolist()  # within a bucket as split_buckets() cuts it
-        vocabulary = [vocabulary[i] for i in order]
-        home = home[order]
-        at = dict(zip(vocabulary, range(len(vocabulary)))).__getitem__
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        ids = np.fromiter((i for words in found for i in map(at, words)), dtype=np.int64, count=int(sizes.sum()))
-        key, times = np.unique(np.repeat(np.arange(len(found)), sizes) << 32 | ids, return_counts=True)
-        doc, ids = key >> 32, key & 0xFFFFFFFF
-        of = trie[doc]
-        counts = np.bincount((ids * tries + of)[of >= 0], weights=times[of >= 0], minlength=len(vocabulary) * tries).astype(np.int64).reshape(-1, tries)
-        cuts = np.searchsorted(home, np.arange(buckets + 1)).tolist()
-        rows = [(name, b, zstandard.compress(b" ".join(vocabulary[lo:hi]), 1), _pack_sparse(counts[lo:hi]), None, _size(vocabulary[lo:hi])) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo]
-        sink = pa.BufferOutputStream()
-        keep = pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"]], names=["doc_id", "held_out"])
-        with pa.ipc.new_stream(sink, keep.schema) as out:
-            out.write_batch(keep)
-        rows.append((name, -1, sink.getvalue().to_pybytes(), _pack(np.bincount(doc, minlength=len(found)).astype(np.int32)), _pack(np.concatenate([np.diff(ids, prepend=0), times]).astype(np.int32)), 0))
-        return pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))], names=["batch", "bucket", "words", "train", "ids", "size"])
+class _Hashes(dict):
+    """A word's key."""
 
-    return run
+    def __missing__(self, word: bytes) -> int:
+        key = self[word] = xxhash.xxh3_64_intdigest(word) & (WORD - 1) | WORD
+        return key
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words))
+def words_of(spelled: bytes) -> list[bytes]:
+    return [*spelled.split(), END] if spelled.endswith(END) else spelled.split()
 
 
-def _size(words: list[bytes]) -> int:
-    return sum(map(len, words)) + len(words)
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def split_buckets(words: DataFrame, tries: int) -> DataFrame:
-    """The batches' rows of words, so that about MOST_BYTES have one bucket at most.
+def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.sort(codes)
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    return codes[first], np.diff(np.append(first, len(codes)))
 
-    Buckets are numbered anew in the same order; each part of one holds a range of the words' hashes, so a batch's
-    words keep their order and each word has one bucket.
-    """
-    pieces = {r.bucket: -(-r.n // MOST_BYTES) for r in words.groupBy("bucket").agg(F.sum("size").alias("n")).collect()}  # a row for each bucket
-    if all(n <= 1 for n in pieces.values()):
-        return words
-    first = dict(zip(sorted(pieces), np.cumsum([0, *(pieces[b] for b in sorted(pieces))]).tolist()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist(list(split(row)), schema=batch.schema)
-
-    def split(row: dict) -> Iterator[dict]:
-        base, n = first[row["bucket"]], pieces[row["bucket"]]
-        if n == 1:
-            yield row | {"bucket": base}
-            return
-        own = zstandard.decompress(row["words"]).split(b" ")
-        cell, times = _unpack_sparse(row["train"])
-        train = np.zeros((len(own), tries), dtype=np.int64)
-        train.ravel()[cell] = times
-        cuts = np.searchsorted(_hashes(own) * n >> 32, np.arange(n + 1)).tolist()
-        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-            if b > a:
-                yield row | {"bucket": base + i, "words": zstandard.compress(b" ".join(own[a:b]), 1), "train": _pack_sparse(train[a:b]), "size": _size(own[a:b])}
-
-    return checkpoint(words.mapInArrow(run, words.schema))
-
-
-def _counted(words: list, train: list, tries: int) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
-    """A bucket's distinct words in order, their training counts in each trie, and the places of each batch's words."""
-    split = [zstandard.decompress(w).split(b" ") for w in words]
-    names = sorted(set().union(*split))
-    place = dict(zip(names, range(len(names)))).__getitem__
-    at = [np.fromiter(map(place, w), dtype=np.int64, count=len(w)) for w in split]
-    total = np.zeros(len(names) * tries, dtype=np.int64)
-    for i, n in zip(at, train):
-        cell, times = _unpack_sparse(n)
-        total[i[cell // tries] * tries + cell % tries] += times  # a batch has each word once
-    return names, total.reshape(-1, tries), at
-
-
-# -- words -> grams (context and symbol) ------------------------------------------------------------------
-
-def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Code of each byte with its context, and the word it belongs to.
-
-    A code holds ORDER context bytes and the symbol in the lowest 8 bits; before the space that opens a word
-    stand zeros.  The end symbol has no closing space.
-    """
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
-    raw = np.frombuffer(b"".join(b" %b " % w for w in words), dtype=np.uint8).astype(np.int64)
-    word = np.repeat(np.arange(len(words)), lengths)
-    place = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    code = raw.copy()
-    for k in range(1, ORDER + 1):
-        code[k:] += np.where(place[k:] >= k, raw[:-k], 0) << (8 * k)
-    ok = place >= 1
-    end = [i for i, w in enumerate(words) if w == END]
-    if end:
-        ok &= ~((word == end[0]) & (place == 2))
-    return code[ok], word[ok]
-
-
-def _gram_rows(pdf: pd.DataFrame, parts: int, tries: int) -> pd.DataFrame:
-    """A bucket's distinct grams with training counts, dealt by the two context bytes next to the symbol."""
-    bucket = int(pdf["bucket"].iloc[0])
-    names, n, _ = _counted(pdf["words"].tolist(), pdf["train"].tolist(), tries)
-    code, word = grams_of(names)
-    keys, inverse = np.unique(code, return_inverse=True)
-    counts = np.column_stack([np.bincount(inverse, weights=n[word, k], minlength=len(keys)) for k in range(tries)]).astype(np.int64)
-    home = part_of(keys, parts)
-    order = np.argsort(home, kind="stable")
-    cuts = np.searchsorted(home[order], np.arange(parts + 1)).tolist()
-    rows = [(bucket, p, _pack(np.diff(keys[order[a:b]], prepend=0)), _pack_sparse(counts[order[a:b]]), 0, 0) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-    # with part -1: the bucket's counts of the orders 1 and 0, and its tokens and words in training
-    low = np.column_stack([np.bincount(keys & 0xFFFF, weights=counts[:, k], minlength=1 << 16) for k in range(tries)]).astype(np.int64)
-    rows.append((bucket, -1, b"", _pack_sparse(low), int(n.sum()), int((n.sum(axis=1) > 0).sum())))
-    return pd.DataFrame(rows, columns=["bucket", "part", "grams", "counts", "tokens", "types"])
+class _Batch:
+    """Documents put together until they have BATCH_BYTES: their pieces, and the counts of their keys so far."""
 
+    def __init__(self, name: str, kind: pa.DataType):
+        self.name, self.kind, self.size = name, kind, 0
+        self.rows: list[tuple] = []
+        self.open: dict = {}  # trie -> pieces not counted yet, and their size
+        self.keys, self.counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        self.waiting = 0
 
-def part_of(code: np.ndarray, parts: int) -> np.ndarray:
-    near = (code >> 8) & 0xFFFF
-    return ((near * 40503) & 0xFFFF) * parts >> 16
+    def add(self, uid: str, doc_id, held: bool, trie: int, before: bytes, spelled: bytes) -> None:
+        self.rows.append((uid, doc_id, held, before, spelled))
+        self.size += len(spelled)
+        self.open.setdefault(trie, []).append((before, spelled))
+        self.waiting += len(spelled)
+        if self.waiting >= AT_ONCE:
+            self.count()
 
+    def count(self) -> None:
+        hashed = _Hashes()
+        for trie, pieces in self.open.items():
+            keys, n = _runs(grams_of(pieces))
+            self.keys.append(keys + ((trie if trie >= 0 else HELD) << GRAM_BITS))
+            self.counts.append(n if trie >= 0 else np.zeros_like(n))
+            words = np.fromiter((k for _, s in pieces for k in map(hashed.__getitem__, words_of(s))), dtype=np.int64)
+            keys, n = _runs(words)
+            self.keys.append(keys)
+            self.counts.append(n if trie >= 0 else np.zeros_like(n))
+        keys, counts = _summed(np.concatenate(self.keys), np.concatenate(self.counts))
+        self.keys, self.counts, self.open, self.waiting = [keys], [counts], {}, 0
 
-# -- the trie: log probability of every gram --------------------------------------------------------------
+    def packed(self) -> tuple:
+        self.count()
+        uid, ids, held, before, spelled = zip(*self.rows)
+        table = pa.RecordBatch.from_arrays([pa.array(uid), pa.array(ids, type=self.kind), pa.array(held), pa.array(before, type=pa.binary()), pa.array(spelled, type=pa.large_binary())], names=["uid", "doc_id", "held_out", "before", "spelled"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+            out.write_batch(table)
+        return self.name, sink.getvalue().to_pybytes(), _pack_sorted(self.keys[0]), _pack(self.counts[0]), len(self.keys[0])
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task, serial, name = TaskContext.get().partitionId(), 0, 0
+    now: _Batch | None = None
+
+    def row(batch: _Batch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in zip(batch.packed(), (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))], names=["batch", "docs", "keys", "counts", "size"])
 
-def _level(code: np.ndarray, counts: np.ndarray, order: int) -> tuple:
-    """Trained grams of an order: codes, counts, and their contexts' codes, totals, kinds and first gram."""
-    keys, inverse = np.unique(code & ((1 << (8 * (order + 1))) - 1), return_inverse=True)
-    n = np.bincount(inverse, weights=counts, minlength=len(keys))
-    context, at = np.unique(keys >> 8, return_inverse=True)
-    return keys, n, context, np.bincount(at, weights=n, minlength=len(context)), np.bincount(at, minlength=len(context)).astype(float), at
+    for some in batches:
+        for doc_id, raw, held, trie in zip(*(some[c] for c in ("doc_id", "raw", "held_out", "trie"))):
+            serial += 1
+            for before, spelled in pieces_of(raw.as_py()):
+                now = now or _Batch(f"{task}-{name}", some["doc_id"].type)
+                now.add(f"{task}-{serial}", doc_id.as_py(), held.as_py(), trie.as_py(), before, spelled)
+                if now.size >= BATCH_BYTES:
+                    yield row(now)
+                    now, name = None, name + 1
+    if now:
+        yield row(now)
 
 
-def _where(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(of), dtype=bool), np.zeros(len(of), dtype=np.int64)
-    at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
-    return keys[at] == of, at
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n) of every batch."""
+    for some in batches:
+        for keys, counts in zip(some["keys"].to_pylist(), some["counts"].to_pylist()):
+            keys, counts = _unpack_sorted(keys), _unpack(counts, np.int64)
+            for a in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), pa.array(counts[a : a + 100_000])], names=["key", "n"])
 
 
-def log_probabilities(query: np.ndarray, code: np.ndarray, counts: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """log10 P(symbol | context) of each queried gram.
+# -- the tries: log probability of every gram -------------------------------------------------------------
 
-    ``code`` and ``counts`` hold at least all trained grams whose contexts end in the two bytes of a queried
-    one; ``low`` is the 256 x 256 table of counts of a symbol after a byte.
+def log_probabilities(grams: DataFrame, tries: int) -> DataFrame:
+    """gram and s0, s1, ...: log10 P(symbol | context) of each gram in each trie, from its counts n0, n1, ...
+
+    For each order k and trie: n counts the gram of k context bytes, t and d are the total and the kinds of
+    symbols in its context, s is the log probability if prediction starts at this order, and w if it goes on
+    below it after an escape from this context (with what was seen there excluded).
     """
-    symbol = query & 0xFF
-    out, todo = np.zeros(len(query)), np.ones(len(query), dtype=bool)
-    # what the contexts one order higher exclude here: for each query their total at this order, and their kinds
-    off_total, off_kinds = np.zeros(len(query)), np.zeros(len(query))
-    seen_above, above = np.zeros(len(query), dtype=bool), None
-    for order in range(ORDER, 1, -1):
-        level = _level(code, counts, order)
-        keys, n, context, total, kinds, _ = level
-        mask = (1 << (8 * (order + 1))) - 1
-        if above is not None:
-            # counts at this order of the symbols seen after each longer context, summed by that context
-            a_keys, _, a_context, _, a_kinds, a_at = above
-            _, i = _where(keys, a_keys & mask)
-            excluded = np.bincount(a_at, weights=n[i] if len(n) else None, minlength=len(a_context))
-            ok, i = _where(a_context, (query & ((1 << (8 * (order + 2))) - 1)) >> 8)
-            off_total, off_kinds = (np.where(ok, v[i] if len(v) else 0, 0) for v in (excluded, a_kinds))
-        todo = _step(out, todo, *_where(keys, query & mask), n, *_where(context, (query & mask) >> 8), total, kinds, off_total, off_kinds)
-        above = level
-    # order 1: the last byte; from the order-2 contexts
-    near, single = low.astype(float), low.sum(axis=0).astype(float)
-    last = (query >> 8) & 0xFF
-    a_keys, _, a_context, _, a_kinds, a_at = above
-    excluded = np.bincount(a_at, weights=near[(a_keys >> 8) & 0xFF, a_keys & 0xFF], minlength=len(a_context))
-    ok, i = _where(a_context, (query >> 8) & 0xFFFF)
-    off_total, off_kinds = (np.where(ok, v[i] if len(v) else 0, 0) for v in (excluded, a_kinds))
-    total, kinds = near.sum(axis=1), (near > 0).sum(axis=1).astype(float)
-    every = np.arange(len(query))
-    todo = _step(out, todo, near[last, symbol] > 0, every, near[last, symbol], total[last] > 0, every, total[last], kinds[last], off_total, off_kinds)
-    # order 0: all symbols; then the rest of the alphabet, evenly
-    off_total, off_kinds = (near > 0) @ single, kinds
-    todo = _step(out, todo, single[symbol] > 0, every, single[symbol], np.full(len(query), single.sum() > 0), every, np.full(len(query), single.sum()), np.full(len(query), float((single > 0).sum())), off_total[last], off_kinds[last])
-    out[todo] -= np.log10(max(256 - (single > 0).sum(), 1))
-    return out
-
-
-def _step(out, todo, known, at, n, has, where, total, kinds, off_total, off_kinds) -> np.ndarray:
-    """One order: adds the symbol's or the escape's log probability; gives back which are still open."""
-    if not len(n) or not len(total):
-        return todo
-    t, d = total[where] - off_total, kinds[where] - off_kinds
-    open_ = todo & has & (d > 0)
-    base = np.log10(np.where(open_, t, 1))
-    hit = open_ & known
-    out[hit] += np.log10(n[at[hit]] - 0.5) - base[hit]
-    miss = open_ & ~known
-    out[miss] += np.log10(d[miss] / 2) - base[miss]
-    return todo & ~hit
-
-
-def _score_grams(pdf: pd.DataFrame, low: np.ndarray) -> pd.DataFrame:
-    """One part of the tries: counts summed over the buckets, and each bucket's grams' log probabilities."""
-    tries = low.shape[2]
-    sent = [np.cumsum(_unpack(g, np.int64)) for g in pdf["grams"]]
-    keys, inverse = np.unique(np.concatenate(sent), return_inverse=True)
-    starts = np.cumsum([0, *map(len, sent)])
-    total = np.zeros(len(keys) * tries, dtype=np.int64)
-    for start, n in zip(starts, pdf["counts"]):
-        cell, times = _unpack_sparse(n)
-        total[inverse[start + cell // tries] * tries + cell % tries] += times
-    total = total.reshape(-1, tries)
-    p = np.empty((len(keys), tries), dtype=np.float32)
-    for k in range(tries):
-        known = total[:, k] > 0
-        p[:, k] = log_probabilities(keys, keys[known], total[known, k], low[:, :, k])
-    return pd.DataFrame({"bucket": pdf["bucket"], "part": pdf["part"], "logs": [_pack(p[inverse[a:b]]) for a, b in zip(starts[:-1], starts[1:])]})
-
-
-# -- back to words and documents --------------------------------------------------------------------------
-
-def _score_words(pdf: pd.DataFrame, parts: int, tries: int) -> pd.DataFrame:
-    """One bucket: from its batches' words and the logs of its grams, each batch's counts and word logs."""
-    own, logs = pdf[pdf["part"] < 0], pdf[pdf["part"] >= 0].sort_values("part")
-    names, n, at = _counted(own["words"].tolist(), own["train"].tolist(), tries)
-    code, word = grams_of(names)
-    keys, inverse = np.unique(code, return_inverse=True)
-    value = np.empty((len(keys), tries))
-    value[np.argsort(part_of(keys, parts), kind="stable")] = np.concatenate([_unpack(x, np.float32).reshape(-1, tries) for x in logs["logs"]])
-    p = np.column_stack([np.bincount(word, weights=value[inverse, k], minlength=len(names)) for k in range(tries)]).astype(np.float32)
-    n = n.sum(axis=1)
-    return pd.DataFrame({"batch": own["batch"], "bucket": own["bucket"], "counts": [_pack(n[i]) for i in at], "logs": [_pack(p[i]) for i in at]})
-
-
-def _score_batch(pdf: pd.DataFrame, tokens: int, types: int, prior: np.ndarray) -> pd.DataFrame:
-    """One batch: its documents' sums, from the words of all buckets in order."""
-    docs = pdf[pdf["bucket"] < 0].iloc[0]
-    words = pdf[pdf["bucket"] >= 0].sort_values("bucket")
-    c = np.concatenate([_unpack(x, np.int64) for x in words["counts"]])
-    p = np.concatenate([_unpack(x, np.float32).reshape(-1, len(prior)) for x in words["logs"]]).astype(float)
-    base = np.log10((c + 1.0) / (tokens + 1.0 * (types + 1)))
-    sizes = _unpack(docs["train"], np.int32)
-    both = _unpack(docs["ids"], np.int32)
-    ids, times = np.cumsum(both[: len(both) // 2], dtype=np.int64), both[len(both) // 2 :].astype(float)
-    starts = np.cumsum(sizes) - sizes  # every document has its end, so none is empty
-    summed = lambda v: np.add.reduceat(v, starts)
-    each = np.column_stack([summed(p[ids, k] * times) for k in range(len(prior))]) + np.log10(prior)
-    most = each.max(axis=1)
-    keep = pa.ipc.open_stream(docs["words"]).read_all()
+    per = lambda make: [c for k in range(tries) for c in make(k)]
+    n, t, d, s, w = (lambda k, x=x: F.col(f"{x}{k}") for x in "ntdsw")
+    least = lambda v: F.greatest(v, F.lit(1))
+
+    def summed(order: int) -> DataFrame:
+        if order == ORDER:
+            return grams
+        return grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("gram")).agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(tries)))
+
+    def in_context(df: DataFrame, more: list[Column]) -> DataFrame:
+        """With t and d of the context, and further sums over it."""
+        over = Window.partitionBy(F.shiftright("gram", 8))
+        return df.select("*", *(F.sum(f"n{k}").over(over).alias(f"t{k}") for k in range(tries)), *(F.sum((n(k) > 0).cast("bigint")).over(over).alias(f"d{k}") for k in range(tries)), *(F.sum(c).over(over).alias(name) for c, name in more))
+
+    # the empty context, of at most 256 symbols; all others are alike
+    now = in_context(summed(0), [])
+    now = now.select("gram", *per(lambda k: (n(k), t(k), d(k), (-F.log10(least(256 - d(k)))).alias(f"w{k}"))))
+    now = now.select("*", *per(lambda k: (F.when(t(k) == 0, w(k)).when(n(k) > 0, F.log10((n(k) - 0.5) / t(k))).otherwise(F.log10(d(k) / 2 / t(k)) + w(k)).alias(f"s{k}"),)))
+    for order in range(1, ORDER + 1):
+        below = now.select(F.col("gram").alias("below"), *per(lambda k: (F.col(f"{x}{k}").alias(f"b{x}{k}") for x in "ntdsw")))
+        if order <= 2:  # at most 256 and 65,536 rows
+            below = F.broadcast(below)
+        joined = summed(order).join(below, F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)) == F.col("below"))
+        now = in_context(joined, [(F.when(n(k) > 0, F.col(f"bn{k}")).otherwise(0), f"off{k}") for k in range(tries)])
+
+        def escaped(k: int) -> Column:
+            kinds, total = F.col(f"bd{k}") - d(k), F.col(f"bt{k}") - F.col(f"off{k}")
+            go_on = F.log10(kinds / 2 / total) + F.col(f"bw{k}")
+            return F.when(kinds == 0, F.col(f"bw{k}")).when(F.col(f"bn{k}") > 0, F.log10((F.col(f"bn{k}") - 0.5) / total)).otherwise(go_on)
+
+        now = now.select("gram", *per(lambda k: (n(k), t(k), d(k), F.col(f"bs{k}"), F.when(n(k) == 0, escaped(k)).alias(f"w{k}"))))
+        now = now.select("gram", *per(lambda k: (n(k), t(k), d(k), w(k), F.when(d(k) == 0, F.col(f"bs{k}")).when(n(k) > 0, F.log10((n(k) - 0.5) / t(k))).otherwise(F.log10(d(k) / 2 / t(k)) + w(k)).alias(f"s{k}"))))
+    return now.select("gram", *(s(k) for k in range(tries)))
+
+
+# -- answers ----------------------------------------------------------------------------------------------
+
+def _asked(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's distinct grams and words in order of their bucket, and the buckets."""
+    words = keys >= WORD
+    own = np.concatenate([np.unique(keys[~words] & GRAM), keys[words]])
+    home = own % buckets
+    order = np.argsort(home, kind="stable")
+    return own[order], home[order]
+
+
+def _questions(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batches:
+            for batch, keys in zip(some["batch"].to_pylist(), some["keys"].to_pylist()):
+                own, home = _asked(_unpack_sorted(keys), buckets)
+                cuts = np.searchsorted(home, np.arange(buckets + 1)).tolist()
+                rows = [(batch, b, _pack_sorted(own[x:y])) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+                for a in range(0, len(rows), 100):
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*rows[a : a + 100]), (pa.string(), pa.int64(), pa.binary()))], names=["batch", "bucket", "keys"])
+
+    return run
+
+
+def _bucket_of(pdf: pd.DataFrame, tries: int) -> pd.DataFrame:
+    """One bucket of the model: its keys in order and their values (words have theirs in s0)."""
+    pdf = pdf.sort_values("key")
+    keys = pdf["key"].to_numpy()
+    values = pdf[[f"s{k}" for k in range(tries)]].to_numpy(dtype=np.float64)
+    at = int(np.searchsorted(keys, WORD))
+    return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "keys": [_pack_sorted(keys)], "grams": [_pack(values[:at].astype(np.float32))], "words": [_pack(values[at:, 0])]})
+
+
+def _answers(pdf: pd.DataFrame, tries: int) -> pd.DataFrame:
+    """One bucket and the questions of some batches to it."""
+    model, asked = pdf[pdf["batch"].isna()].iloc[0], pdf[pdf["batch"].notna()]
+    keys = _unpack_sorted(model["keys"])
+    grams, words = _unpack(model["grams"], np.float32).reshape(-1, tries), _unpack(model["words"], np.float64)
+    out = []
+    for batch, own in zip(asked["batch"], asked["keys"]):
+        at = np.searchsorted(keys, _unpack_sorted(own))
+        cut = int(np.searchsorted(at, len(grams)))
+        out.append((batch, model["bucket"], _pack(grams[at[:cut]]), _pack(words[at[cut:] - len(grams)])))
+    return pd.DataFrame(out, columns=["batch", "bucket", "grams", "words"])
+
+
+def _score_batch(pdf: pd.DataFrame, buckets: int, tries: int) -> pd.DataFrame:
+    """One batch: sums over each of its pieces, in each trie, and of the words' log10(count + 1)."""
+    own = pdf[pdf["docs"].notna()].iloc[0]
+    answers = pdf[pdf["docs"].isna()].sort_values("bucket")
+    keys, _ = _asked(_unpack_sorted(own["keys"]), buckets)
+    is_word = keys >= WORD
+    grams, logs = keys[~is_word], np.concatenate([_unpack(x, np.float32) for x in answers["grams"]]).reshape(-1, tries)
+    order = np.argsort(grams)
+    grams, logs = grams[order], logs[order]
+    value = dict(zip(keys[is_word].tolist(), np.concatenate([_unpack(x, np.float64) for x in answers["words"]]).tolist()))
+    hashed, out = _Hashes(), []
+    docs = pa.ipc.open_stream(own["docs"]).read_all().to_pydict()
+    pieces = list(zip(docs["before"], docs["spelled"]))
+    start = 0
+    while start < len(pieces):
+        end, size = start, 0
+        while end < len(pieces) and size < AT_ONCE:
+            size += len(pieces[end][1])
+            end += 1
+        some = pieces[start:end]
+        at = np.searchsorted(grams, grams_of(some))
+        lengths = np.fromiter((len(s) for _, s in some), dtype=np.int64, count=len(some))
+        sums = np.column_stack([np.add.reduceat(logs[at, k], np.cumsum(lengths) - lengths, dtype=np.float64) for k in range(tries)])
+        for (_, spelled), total in zip(some, sums.tolist()):
+            known = [value[hashed[word]] for word in words_of(spelled)]
+            out.append((len(known), sum(v > 0 for v in known), sum(known), *total))
+        start = end
     return pd.DataFrame({
-        "doc_id": pd.Series(keep["doc_id"].to_pylist(), dtype=object),
-        "held_out": keep["held_out"].to_pandas(),
-        "n_tokens": summed(times).astype(np.int64),
-        "n_known": summed(times * (c > 0)[ids]).astype(np.int64),
-        "train_tokens": np.int64(tokens),
-        "base_score": summed(base[ids] * times),
-        "score": most + np.log10((10 ** (each - most[:, None])).sum(axis=1)),
+        "uid": docs["uid"], "doc_id": pd.Series(docs["doc_id"], dtype=object), "held_out": docs["held_out"],
+        **{name: [r[i] for r in out] for i, name in enumerate(("n_tokens", "n_known", "counted", *(f"s{k}" for k in range(tries))))},
     })
 
 
 def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, kinds: str | None = "lang") -> DataFrame:
     """doc_id, held_out (in the fold that isn't learnt from), n_tokens, n_known, train_tokens, base_score (add-one
-    unigrams) and score (PPM), both log10 probabilities of the whole text."""
-    spark = docs.sparkSession
-    buckets, parts = partitions(spark), partitions(spark)
+    unigrams) and score (PPM), both log10 probabilities of the whole text.  Words are told apart by 62 bits of a hash."""
     held = is_fold("doc_id", modulus, remainder)
     # a trie for each common value among the training rows, and one for all others
     named: list = []
@@ -361,34 +335,35 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, kinds
         if len(shares) > 1 and shares[-1] == 0:
             shares.pop()
     tries = len(shares)
-    prior = (np.array(shares, dtype=float) + 0.5) / (sum(shares) + 0.5 * tries)
+    prior = [(x + 0.5) / (sum(shares) + 0.5 * tries) for x in shares]
     trie = F.lit(tries - 1)
     for k, value in enumerate(named):
         trie = F.when(F.col(kinds).eqNullSafe(F.lit(value)), F.lit(k)).otherwise(trie)
     trie = F.when(held, F.lit(-1)).otherwise(trie).alias("trie")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    packed = checkpoint(id_and_bytes(docs, "doc_id", "text", held.alias("held_out"), trie).mapInArrow(_batches(buckets, tries), _ARRAYS))
-    words = split_buckets(packed.where("bucket >= 0").drop("ids"), tries).drop("size")
-    grams = checkpoint(words.groupBy("bucket").applyInPandas(lambda pdf: _gram_rows(pdf, parts, tries), "bucket int, part int, grams binary, counts binary, tokens bigint, types bigint"))
-    total = grams.where("part < 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
-    # at most 256 x 256 cells for each trie: counts of a symbol after a byte
-    low = np.zeros((1 << 16) * tries, dtype=np.int64)
-    for r in grams.where("part < 0").select("counts").mapInArrow(_cells, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        low[r.cell] = r.n
-    table = spark.sparkContext.broadcast(low.reshape(256, 256, tries))
-    logs = grams.where("part >= 0").select("bucket", "part", "grams", "counts").groupBy("part").applyInPandas(lambda pdf: _score_grams(pdf, table.value), "bucket int, part int, logs binary")
-    both = words.withColumn("part", F.lit(-1)).withColumn("logs", F.lit(None).cast("binary")).unionByName(logs, allowMissingColumns=True)
-    answers = both.groupBy("bucket").applyInPandas(lambda pdf: _score_words(pdf, parts, tries), "batch string, bucket int, counts binary, logs binary")
-    n, v = int(total.n), int(total.v)
-    return packed.where("bucket < 0").unionByName(answers, allowMissingColumns=True).groupBy("batch").applyInPandas(
-        lambda pdf: _score_batch(pdf, n, v, prior), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    packed = checkpoint(id_and_bytes(docs, "doc_id", "text", held.alias("held_out"), trie).mapInArrow(_batches, _BATCH))
+    counted = checkpoint(packed.select("keys", "counts").mapInArrow(_counts, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
+    words = counted.where(F.col("key") >= WORD)
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
+    of = F.shiftright("key", GRAM_BITS)
+    grams = counted.where(F.col("key") < WORD).groupBy(F.col("key").bitwiseAND(F.lit(GRAM)).alias("gram")).agg(*(F.sum(F.when(of == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(tries)))
+    values = log_probabilities(checkpoint(grams), tries).withColumnRenamed("gram", "key").unionByName(words.select("key", F.log10(F.col("n") + 1).alias("s0"), *(F.lit(0.0).alias(f"s{k}") for k in range(1, tries))))
+    # buckets by the size of the model, and of each as many copies as the questions need
+    asked = packed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
+    buckets = counted.count() // BUCKET_KEYS // 2 * 2 + 1  # odd, so that all bytes of a key count
+    copies = asked // buckets // GROUP_KEYS + 1
+    model = values.withColumn("bucket", F.col("key") % buckets).groupBy("bucket").applyInPandas(lambda pdf: _bucket_of(pdf, tries), "bucket bigint, keys binary, grams binary, words binary")
+    model = model.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    questions = packed.select("batch", "keys").mapInArrow(_questions(buckets), "batch string, bucket bigint, keys binary").withColumn("copy", (F.crc32(F.col("batch").cast("binary")) % copies).cast("int"))
+    both = questions.unionByName(model, allowMissingColumns=True).groupBy("bucket", "copy")
+    answers = both.applyInPandas(lambda pdf: _answers(pdf, tries), "batch string, bucket bigint, grams binary, words binary")
+    sums = ", ".join(f"s{k} double" for k in range(tries))
+    pieces = packed.select("batch", "docs", "keys").unionByName(answers, allowMissingColumns=True).groupBy("batch").applyInPandas(
+        lambda pdf: _score_batch(pdf, buckets, tries), f"uid string, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, counted double, {sums}"
     )
-
-
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict = {}
-    for batch in batches:
-        for data in batch["counts"].to_pylist():
-            for cell, n in zip(*(v.tolist() for v in _unpack_sparse(data))):
-                total[cell] = total.get(cell, 0) + n
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), type=pa.int32()), pa.array(list(total.values()), type=pa.int64())], names=["cell", "n"])
+    whole = pieces.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "counted", *(f"s{k}" for k in range(tries)))))
+    each = [F.col(f"s{k}") + float(np.log10(prior[k])) for k in range(tries)]
+    most = F.greatest(*each) if tries > 1 else each[0]
+    score = most + F.log10(sum((F.pow(F.lit(10.0), e - most) for e in each), F.lit(0.0)))
+    size = float(np.log10(total.n + total.v + 1))
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total.n)).cast("bigint").alias("train_tokens"), (F.col("counted") - F.col("n_tokens") * size).alias("base_score"), score.alias("score"))

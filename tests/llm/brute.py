@@ -64,19 +64,19 @@ def components(fps):
 class Ppm:
     """One trie of byte contexts, by dictionaries; escape by half the kinds, symbols of longer contexts excluded."""
 
-    def __init__(self, counts, order=5):
+    def __init__(self, texts, order=5):
         self.order, self.trie = order, [collections.defaultdict(collections.Counter) for _ in range(order + 1)]
-        for w, n in counts.items():
-            s = self.spelled(w)
+        for t in texts:
+            s = self.spelled(t)
             for i in range(order, len(s)):
                 for k in range(order + 1):
-                    self.trie[k][s[i - k : i]][s[i]] += n
+                    self.trie[k][s[i - k : i]][s[i]] += 1
 
-    def spelled(self, w):
-        return b"\0" * (self.order - 1) + b" " + w + (b"" if w == b"\n" else b" ")
+    def spelled(self, text):
+        return b"\0" * (self.order - 1) + b" " + b"".join(w + b" " for w in words(text, True)) + b"\n"
 
-    def log10(self, w):
-        s, total = self.spelled(w), 0.0
+    def log10(self, text):
+        s, total = self.spelled(text), 0.0
         for i in range(self.order, len(s)):
             out, excluded, found = 0.0, set(), False
             for k in range(self.order, -1, -1):

@@ -1,14 +1,18 @@
 """Inputs on which an operator once did less than the whole job."""
 
-import collections
 import math
 import random
 
 import pytest
-import zstandard
-from pyspark.sql import functions as F
 
 from manifestry.llm import html_crf, ppm
+from manifestry.llm.common import read
+
+
+@pytest.fixture
+def docs_small(spark):
+    return read(spark, "/root/testdata/sf0.001", "documents")
+
 
 # -- 6 ----------------------------------------------------------------------------------------------------
 
@@ -31,33 +35,39 @@ def test_op6_text_after_what_has_no_closing_tag(page, wanted):
 
 # -- 10 ---------------------------------------------------------------------------------------------------
 
-def test_op10_words_that_begin_alike_are_split(spark, monkeypatch):
-    """Nearly all words share their first four bytes; split, no bucket is far above the bound and the scores are the same."""
+def test_op10_many_buckets_and_copies_give_the_same(spark, monkeypatch):
+    """Nearly all words share their first four bytes; with bounds of a few keys for a bucket and a group, the scores are the same."""
     rng = random.Random(7)
     word = lambda: "http" + "".join(rng.choice("abcdefgh/.") for _ in range(rng.randint(3, 12)))
     rows = [(i, " ".join(word() if rng.random() < 0.9 else "and" for _ in range(40)), "ab"[i % 2]) for i in range(300)] + [(300, None, "a"), (301, "", "b")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
     before = {r.doc_id: r for r in ppm.score_documents(docs).collect()}
-    packed = docs.select("doc_id", F.col("text").cast("binary").alias("raw"), F.lit(False).alias("held_out"), F.lit(0).alias("trie")).mapInArrow(ppm._batches(8, 2), ppm._ARRAYS)
-    words = packed.where("bucket >= 0").drop("ids").localCheckpoint()
-    whole = words.collect()
-    monkeypatch.setattr(ppm, "MOST_BYTES", 4096)
-    rows = ppm.split_buckets(words, 2).collect()
-    read = lambda r: zstandard.decompress(r.words).split(b" ")
-    sizes, of = collections.Counter(), collections.defaultdict(set)
-    for r in rows:
-        assert r.size == sum(len(w) + 1 for w in read(r))
-        sizes[r.bucket] += r.size
-        for w in read(r):
-            of[w].add(r.bucket)
-    largest = lambda rows: max(sum(r.size for r in rows if r.bucket == b) for b in {r.bucket for r in rows})
-    assert largest(whole) > 20 * 4096 and max(sizes.values()) < 1.3 * 4096
-    assert all(len(buckets) == 1 for buckets in of.values())
-    for name in {r.batch for r in whole}:
-        in_order = lambda rows: [w for r in sorted((r for r in rows if r.batch == name), key=lambda r: r.bucket) for w in read(r)]  # noqa: B023,E731
-        assert in_order(rows) == in_order(whole)
+    monkeypatch.setattr(ppm, "BUCKET_KEYS", 2_000)
+    monkeypatch.setattr(ppm, "GROUP_KEYS", 1_000)
     after = {r.doc_id: r for r in ppm.score_documents(docs).collect()}
     assert before.keys() == after.keys() and len(after) == 302
     for i, r in before.items():
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (after[i].held_out, after[i].n_tokens, after[i].n_known, after[i].train_tokens)
         assert math.isclose(r.score, after[i].score, rel_tol=1e-6) and math.isclose(r.base_score, after[i].base_score, rel_tol=1e-9)
+
+
+def test_op10_score_sees_the_order_of_words(spark, docs_small):
+    text = next(r.text for r in docs_small.collect() if len(r.text or "") > 2000)
+    mixed = " ".join(sorted(text.split()))
+    rows = [(10**6, text, "en"), (10**6 + 1, mixed, "en")]
+    both = docs_small.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    got = {r.doc_id: r for r in ppm.score_documents(both).where("doc_id >= 1000000").collect()}
+    assert got[10**6].n_tokens == got[10**6 + 1].n_tokens and math.isclose(got[10**6].base_score, got[10**6 + 1].base_score, rel_tol=1e-9)
+    assert abs(got[10**6].score - got[10**6 + 1].score) > 1
+
+
+def test_op10_pieces_of_a_long_text(monkeypatch):
+    texts = [b"", b" \n", b"One two  three\tfour", b"ab " * 50 + b"x" * 300 + b"  end ", b" " * 200 + b"late"]
+    whole = {t: list(ppm.pieces_of(t)) for t in texts}
+    assert all(len(p) == 1 and p[0][0] == ppm.START for p in whole.values())
+    monkeypatch.setattr(ppm, "PIECE_BYTES", 20)
+    for t in texts:
+        cut = list(ppm.pieces_of(t))
+        assert b"".join(s for _, s in cut) == whole[t][0][1] and all(s for _, s in cut)
+        assert ppm.grams_of(cut).tolist() == ppm.grams_of(whole[t]).tolist()
+        assert [w for _, s in cut for w in ppm.words_of(s)] == ppm.words_of(whole[t][0][1])
