@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,8 +93,10 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(0.0)).otherwise(F.levenshtein(a, b) / longest)
 
 
-def _shape(pattern: str) -> str:
+def date_shape(pattern: str) -> str:
     """What a text must look like for a date pattern: the parser is asked only then, as its refusals are dear."""
+    if pattern == "yyyyMMdd":
+        return "^[0-9]{8}$"
     out, parts = pattern, {"yyyy": "[0-9]{4}", "MMMM": "[A-Z]{3,9}", "MMM": "[A-Z]{3}", "M": "(?:0?[1-9]|1[0-2])", "d": "(?:0?[1-9]|[12][0-9]|3[01])"}
     for i, k in enumerate(parts):
         out = out.replace(k, f"<{i}>")
@@ -102,7 +108,7 @@ def _shape(pattern: str) -> str:
 def parse_date(c: Column) -> Column:
     """The first pattern that reads the cleaned text; null if none does."""
     clean = F.upper(F.regexp_replace(present(c), r"\s+", " "))
-    return bound(clean, lambda x: F.to_date(F.coalesce(*(F.when(x.rlike(_shape(p)), F.try_to_timestamp(x, F.lit(p))) for p in DATE_PATTERNS))))
+    return bound(clean, lambda x: F.to_date(F.coalesce(*(F.when(x.rlike(date_shape(p)), F.try_to_timestamp(x, F.lit(p))) for p in DATE_PATTERNS))))
 
 
 def to_number(c: Column) -> Column:
@@ -144,13 +150,41 @@ def grade(value: Column, confidence: Column) -> Column:
     )
 
 
+@cache
+def _compatible() -> tuple[str, dict[str, str]]:
+    """Characters whose compatibility form (NFKC) holds some that a key keeps: as a class for patterns, and their forms."""
+    forms = {}
+    for code in range(0x80, 0x20000):
+        ch = chr(code)
+        if not 0xD800 <= code < 0xE000 and (form := unicodedata.normalize("NFKC", ch)) != ch and re.search("[A-Z0-9가-힣.]", form.upper()):
+            forms[ch] = form
+    runs = []
+    for code in map(ord, forms):
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]", forms
+
+
+def compatible(c: Column) -> Column:
+    """Compatibility forms of single characters (full-width letters, units in one character, jamo) written out, as far
+    as keys keep them; letters and marks that stand apart are put together to one that keys drop.  Only texts that
+    hold such a character are taken apart; all others cost one test of a pattern."""
+    some, forms = _compatible()
+    table = F.create_map(*(F.lit(x) for pair in forms.items() for x in pair))
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda ch: F.when(ch.rlike(some), F.element_at(table, ch)).otherwise(ch)), "")
+    return F.regexp_replace(F.when(c.rlike(some), spelled).otherwise(c), r"[A-Za-z][\u0300-\u036F]+", "\u00C0")
+
+
 def normalize_key(c: Column) -> Column:
-    """Upper case, only A-Z, 0-9, Hangul and dots, single spaces (compatibility forms are left to the source)."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(c), r"[^A-Z0-9가-힣.]", " "), " +", " "))
+    """Upper case of the compatibility forms, only A-Z, 0-9, Hangul and dots, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(compatible(c)), r"[^A-Z0-9가-힣.]", " "), " +", " "))
 
 
 def loose_key(c: Column) -> Column:
-    return F.regexp_replace(F.upper(c), r"[^A-Z0-9가-힣]", "")
+    """The normalized key without dots and spaces."""
+    return F.regexp_replace(F.upper(compatible(c)), r"[^A-Z0-9가-힣]", "")
 
 
 def grams(key: Column, n: int = 3, left: int = 1, right: int = 1) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from . import verdict
 from .catalog import RULES
 from .checks import NOT_EVALUATED, PASS, VIOLATED
+from .review import conditions_of
 
 NO_DEADLINE = 999.0
 CREDIT_FIELDS = ("port_of_loading", "port_of_discharge", "consignee", "notify_party", "description_of_goods", "latest_shipment_date", "expiry_date", "incoterms")
@@ -17,28 +19,30 @@ BL_FIELDS = (
 )
 
 
-def rule_pivot(fact: DataFrame) -> DataFrame:
-    """A column for each rule: 1 violated, 0 passed, null skipped or held; and the unclipped sum of weights."""
-    value = F.when(F.col("status") == VIOLATED, 1.0).when(F.col("status") == PASS, 0.0)
-    return fact.groupBy("shipment_id").agg(*(F.max(F.when(F.col("rule_id") == r.id, value)).alias(r.id.lower()) for r in RULES), F.round(F.coalesce(F.sum(F.when(F.col("status") == VIOLATED, F.col("weight"))), F.lit(0.0)), 4).alias("weight_sum"))
+def rule_pivot(judged: DataFrame) -> DataFrame:
+    """A column for each rule: 1 violated, 0 passed, null skipped or held; and the unclipped sum of weights.
 
+    The outcomes stand in the order of the catalog, so each column is read at its place.
+    """
+    value = lambda status: F.when(status == VIOLATED, 1.0).when(status == PASS, 0.0)
+    return judged.select("shipment_id", *(value(F.get("outcomes", F.lit(i))["status"]).alias(r.id.lower()) for i, r in enumerate(RULES)), F.round(verdict.weight(verdict.is_bad), 4).alias("weight_sum"))
 
-def core(fact: DataFrame, shipments: DataFrame) -> DataFrame:
-    """Counts, ratios and day gaps; no deadline is 999, a gap that can't be judged null."""
-    n = lambda c: F.count(F.when(c, 1))
-    per = fact.groupBy("shipment_id").agg(
-        n((F.col("status") == VIOLATED) & (F.col("severity") == "critical")).alias("n_critical"), n((F.col("status") == VIOLATED) & (F.col("severity") == "warning")).alias("n_warning"),
-        F.round(F.coalesce(F.sum(F.when(F.col("status") == VIOLATED, F.col("weight"))), F.lit(0.0)), 4).alias("weight_sum"), F.round(n(F.col("status") == NOT_EVALUATED) / F.count("*"), 6).alias("skipped_ratio"),
-    )
+
+def core(shipments: DataFrame) -> DataFrame:
+    """Counts, ratios and day gaps, all within the row; no deadline is 999, a gap that can't be judged null."""
     missing = sum((F.col(f).isNull().cast("int") for f in BL_FIELDS), F.lit(0))
     terms = sum((F.col("lc_" + f).isNotNull().cast("int") for f in CREDIT_FIELDS), F.lit(0))
-    rows = shipments.select(
-        "shipment_id", F.round(missing / len(BL_FIELDS), 6).alias("missing_ratio"), terms.cast("long").alias("n_credit_terms"),
+    bad = lambda severity: verdict.number(lambda r: verdict.is_bad(r) & (r["severity"] == severity))
+    rows = shipments.select("*", F.round(missing / len(BL_FIELDS), 6).alias("missing_ratio"), terms.cast("long").alias("n_credit_terms"),
         F.coalesce(F.datediff("day_lc_expiry_date", "as_of").cast("double"), F.lit(NO_DEADLINE)).alias("days_to_expiry"),
         F.datediff("day_lc_latest_shipment_date", "day_on_board_date").cast("double").alias("days_to_latest_shipment"),
         (F.size(F.filter(F.split("held", ","), lambda x: x != ""))).cast("long").alias("n_held_fields"),
     )
-    return per.join(rows, "shipment_id")
+    own = ("missing_ratio", "n_credit_terms", "days_to_expiry", "days_to_latest_shipment", "n_held_fields")
+    return verdict.judged(rows, RULES, *own).select(
+        "shipment_id", bad("critical").alias("n_critical"), bad("warning").alias("n_warning"), F.round(verdict.weight(verdict.is_bad), 4).alias("weight_sum"),
+        F.round(verdict.number(lambda r: r["status"] == NOT_EVALUATED) / F.size("outcomes"), 6).alias("skipped_ratio"), *own,
+    )
 
 
 def consistency(shipments: DataFrame) -> DataFrame:
@@ -53,10 +57,10 @@ def consistency(shipments: DataFrame) -> DataFrame:
     )
 
 
-def complexity(shipments: DataFrame) -> DataFrame:
-    """Half the number of documents asked for (six are all), half the length of the terms (800 letters are all)."""
-    n, length = F.coalesce(F.size(F.split("lc_documents", ";")), F.lit(0)), F.coalesce(F.length("lc_description_of_goods"), F.lit(0))
-    return shipments.select("shipment_id", F.round(0.5 * F.least(n / 6, F.lit(1.0)) + 0.5 * F.least(length / 800, F.lit(1.0)), 6).alias("complexity"))
+def complexity(rows: DataFrame, key: str, conditions: Column) -> DataFrame:
+    """Of a credit's further conditions (a semicolon list): half their number (six are all), half their length (800 letters are all)."""
+    n, length = F.coalesce(F.size(conditions_of(conditions)), F.lit(0)), F.coalesce(F.length(conditions), F.lit(0))
+    return rows.select(key, F.round(0.5 * F.least(n / 6, F.lit(1.0)) + 0.5 * F.least(length / 800, F.lit(1.0)), 6).alias("complexity"))
 
 
 def time_margin(shipments: DataFrame) -> DataFrame:

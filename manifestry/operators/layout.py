@@ -27,9 +27,9 @@ REGIONS = {
 LINE_GAP = 15
 #: Titles by which a document's kind is known; the longest one found in its first twelve lines decides.
 TITLES = {
-    "bill_of_lading": ["BILL OF LADING", "MULTIMODAL TRANSPORT", "SEA WAYBILL", "COMBINED TRANSPORT"],
-    "commercial_invoice": ["COMMERCIAL INVOICE", "INVOICE"],
-    "packing_list": ["PACKING LIST"],
+    "bill_of_lading": ["BILL OF LADING", "MULTIMODAL TRANSPORT", "SEA WAYBILL", "COMBINED TRANSPORT", "선하증권"],
+    "commercial_invoice": ["COMMERCIAL INVOICE", "INVOICE", "상업송장", "송장"],
+    "packing_list": ["PACKING LIST", "PACKING SPECIFICATION", "포장명세서", "포장 명세서"],
 }
 TITLE_LINES = 12
 

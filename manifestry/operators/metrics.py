@@ -72,24 +72,34 @@ def order_key(seed: str, key: str) -> Column:
     return F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
 
 
-def stratified(rows: DataFrame, key: str, by: str, share: float, seed: str = "s") -> DataFrame:
-    """About ``share`` of each stratum: rows whose place in the fixed order, as a fraction, is below it."""
-    place = F.conv(F.substring(order_key(seed, key), 1, 8), 16, 10).cast("long") / float(1 << 32)
-    return rows.where(place < share).select(key, by)
+def _ranked(rows: DataFrame, key: str, by: str, seed: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with their rank r in the fixed order of their class, and (by, n) of the classes.
 
-
-def balanced(rows: DataFrame, key: str, y: str, seed: str = "b") -> DataFrame:
-    """As many of each class as the smallest has, in the fixed order.
-
-    The cut of each class is a quantile of its keys' order: classes are few and large, so ranks are taken within
-    slices of the order and offset by the slices before.
+    Classes are few and large, so ranks are taken within slices of the order and offset by the slices before.
     """
     keyed = rows.withColumn("o", order_key(seed, key)).withColumn("slice", F.substring("o", 1, 2))
-    per = keyed.groupBy(y, "slice").agg(F.count("*").alias("n"))
-    before = per.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(y).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(y, "slice", "before")
-    least = per.groupBy(y).agg(F.sum("n").alias("n")).agg(F.min("n").alias("least"))
-    ranked = keyed.join(before, [y, "slice"]).withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy(y, "slice").orderBy("o", key)))
-    return ranked.join(F.broadcast(least)).where(F.col("r") <= F.col("least")).select(key, y)
+    per = keyed.groupBy(by, "slice").agg(F.count("*").alias("n"))
+    before = per.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(by, "slice", "before")
+    ranked = keyed.join(before, [by, "slice"]).withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy(by, "slice").orderBy("o", key)))
+    return ranked, per.groupBy(by).agg(F.sum("n").alias("n"))
+
+
+def stratified(rows: DataFrame, key: str, by: str, n: int, seed: str = "s") -> DataFrame:
+    """n rows, shared out by the sizes of the strata (rounded half to even; the last stratum takes what is left), the
+    first of each in the fixed order; all rows if there are no more than n. Rows without a stratum only count in the total."""
+    ranked, strata = _ranked(rows, key, by, seed)
+    every = strata.agg(F.sum("n").alias("total"), F.max(by).alias("last"))
+    share = strata.where(F.col(by).isNotNull()).crossJoin(F.broadcast(every)).withColumn("k", F.bround(n * F.col("n") / F.col("total")).cast("long"))
+    others = share.agg(F.coalesce(F.sum(F.when(F.col(by) != F.col("last"), F.col("k"))), F.lit(0)).alias("others"))
+    k = F.when(F.col("total") <= n, F.col("n")).when(F.col(by) == F.col("last"), n - F.col("others")).otherwise(F.col("k"))
+    wanted = share.crossJoin(F.broadcast(others)).select(F.col(by).alias("stratum"), F.greatest(F.lit(0), F.least(k, F.col("n"))).alias("take"))
+    return ranked.join(wanted, F.col(by) == F.col("stratum")).where(F.col("r") <= F.col("take")).select(key, by)
+
+
+def balanced(rows: DataFrame, key: str, y: str, seed: str = "b") -> DataFrame:
+    """As many of each class as the smallest has, in the fixed order."""
+    ranked, classes = _ranked(rows, key, y, seed)
+    return ranked.join(F.broadcast(classes.agg(F.min("n").alias("least")))).where(F.col("r") <= F.col("least")).select(key, y)
 
 
 def group_split(rows: DataFrame, group: str, seed: str = "g") -> DataFrame:
@@ -103,9 +113,31 @@ def latest(rows: DataFrame, by: str, when: str, tie: str, *columns: str) -> Data
     return rows.groupBy(by).agg(F.max(F.struct(when, tie, *columns)).alias("m")).select(by, "m.*")
 
 
+#: Equal parts of a group's range of values, of which only those that hold a quantile are put in order.
+SLICES = 1024
+
+
 def quantiles(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """p50, p95 and maximum of each group, interpolated."""
-    return rows.groupBy(by).agg(F.round(F.percentile(value, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"), F.max(value).alias("most"), F.count("*").alias("n"))
+    """p50 (the mean of both middle values), p95 (the value at the place nearest to 0.95 of the way), maximum and
+    number of each group's values; null ones don't count.
+
+    A group is never put in order as a whole: its values are counted in equal slices of its range, and only the
+    slices that hold one of the three places are ranked.
+    """
+    known = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).cast("double").alias("v"), F.col(value).alias("own"))
+    per = known.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.max("own").alias("most"), F.count("*").alias("n"))
+    part = F.coalesce(F.least(F.lit(SLICES - 1), F.floor(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")) * SLICES)), F.lit(0))
+    cut = known.join(per.select(F.col("g").alias("of"), "low", "high"), F.col("g").eqNullSafe(F.col("of"))).select("g", "v", part.alias("slice"))
+    upto = Window.partitionBy("g").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = cut.groupBy("g", "slice").agg(F.count("*").alias("here")).withColumn("before", F.coalesce(F.sum("here").over(upto), F.lit(0)))
+    places = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2), F.bround(0.95 * (F.col("n") - 1)).cast("long"))
+    wanted = per.select(F.col("g").alias("of"), places.alias("places"))
+    held = slices.join(wanted, F.col("g").eqNullSafe(F.col("of"))).where(F.exists("places", lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("here"))))
+    held = held.select(F.col("g").alias("of"), F.col("slice").alias("in"), "before", "places")
+    ranked = cut.join(held, F.col("g").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("in"))).withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("g", "slice").orderBy("v")) - 1)
+    at = lambda i: F.max(F.when(F.col("at") == F.get("places", F.lit(i)), F.col("v")))
+    found = ranked.groupBy("g").agg(F.round((at(0) + at(1)) / 2, 6).alias("p50"), F.round(at(2), 6).alias("p95"))
+    return found.join(per.select(F.col("g").alias("of"), "most", "n"), F.col("g").eqNullSafe(F.col("of"))).select(F.col("g").alias(by), "p50", "p95", "most", "n")
 
 
 def islands(rows: DataFrame, by: str, place: str, tie: str, gap: float) -> DataFrame:

@@ -8,36 +8,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from . import checks
-from .verdict import HELD
+from . import checks, verdict
 
 SEVERITIES = ("critical", "warning", "info")
 #: Share of clean shipments that may have a critical violation, and the least recall of any critical rule.
-FALSE_ALARMS, LEAST_RECALL = 0.05, 0.85
-REATTACH_AT = 0.6
+FALSE_ALARMS, LEAST_RECALL = 0.05, 0.95
+REATTACH_AT = 0.8
+# The defects whose recall has to be measured and high, and the rules that look for them.
+CRITICAL_KINDS = {"D002": "late_shipment", "D003": "port_mismatch", "D004": "port_mismatch", "D005B": "consignee_mismatch", "D008": "expired"}
 
 
 def _count(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 
 
-def summary(fact: DataFrame) -> DataFrame:
+def summary(judged: DataFrame) -> DataFrame:
     """For each shipment: violated rules by severity, held ones apart (they are no violations yet), and the worst severity."""
-    bad, held = F.col("status") == checks.VIOLATED, F.col("status") == HELD
-    counts = fact.groupBy("shipment_id").agg(*(_count(bad & (F.col("severity") == v)).alias(v) for v in SEVERITIES), _count(held).alias("deferred"))
+    of = lambda v: verdict.number(lambda r: verdict.is_bad(r) & (r["severity"] == v)).alias(v)
+    counts = judged.select("shipment_id", *map(of, SEVERITIES), verdict.number(lambda r: r["status"] == verdict.HELD).alias("deferred"))
     worst = F.coalesce(*(F.when(F.col(v) > 0, v) for v in SEVERITIES))
     return counts.withColumn("total", sum((F.col(v) for v in SEVERITIES), F.col("deferred"))).withColumn("worst", worst)
 
 
-def passed_rules(fact: DataFrame) -> DataFrame:
+def passed_rules(judged: DataFrame) -> DataFrame:
     """Ids of the rules that each shipment passed, in order; a rule that was not evaluated has not passed."""
-    ids = F.array_sort(F.collect_list(F.when(F.col("status") == checks.PASS, F.col("rule_id"))))
-    return fact.groupBy("shipment_id").agg(F.array_join(ids, ",").alias("passed"))
+    ids = F.array_sort(F.transform(F.filter("outcomes", lambda r: r["status"] == checks.PASS), lambda r: r["rule_id"]))
+    return judged.select("shipment_id", F.array_join(ids, ",").alias("passed"))
 
 
-def fired(fact: DataFrame) -> DataFrame:
+def fired(judged: DataFrame) -> DataFrame:
     """(shipment_id, fired): 1 if any critical rule is violated."""
-    return fact.groupBy("shipment_id").agg(F.max(((F.col("status") == checks.VIOLATED) & (F.col("severity") == "critical")).cast("int")).alias("fired"))
+    return judged.select("shipment_id", F.exists("outcomes", lambda r: verdict.is_bad(r) & (r["severity"] == "critical")).cast("int").alias("fired"))
 
 
 def false_alarms(rows: DataFrame) -> DataFrame:
@@ -66,15 +67,21 @@ def binary_metrics(rows: DataFrame) -> DataFrame:
     )
 
 
-def gate(metrics: DataFrame, alarms: DataFrame, recalls: DataFrame, target_f1: float) -> DataFrame:
-    """All three targets have to be met; without any recall measured the gate stays shut. Each input is one row or one row for each rule."""
-    worst = recalls.agg(F.min("recall").alias("worst_recall"))
+def critical_recalls(recalls: DataFrame) -> DataFrame:
+    """The least recall (of rule_id, recall) for each kind of critical defect that was measured."""
+    kind = F.element_at(F.create_map(*(F.lit(x) for pair in CRITICAL_KINDS.items() for x in pair)), F.col("rule_id"))
+    return recalls.where(F.col("rule_id").isin(*CRITICAL_KINDS)).groupBy(kind.alias("kind")).agg(F.min("recall").alias("recall"))
+
+
+def gate(metrics: DataFrame, alarms: DataFrame, recalls: DataFrame, target_f1: float, least_kinds: int = 1) -> DataFrame:
+    """All three targets have to be met; with fewer than ``least_kinds`` recalls measured the gate stays shut. Each input is one row or one row for each kind."""
+    worst = recalls.agg(F.when(F.count("recall") >= least_kinds, F.min("recall")).alias("worst_recall"))
     parts = [metrics.select((F.col("f1") >= target_f1).alias("meets_f1")), alarms.select((F.col("rate") <= FALSE_ALARMS).alias("meets_false_alarms")), worst.select(F.coalesce(F.col("worst_recall") >= LEAST_RECALL, F.lit(False)).alias("meets_recall"))]
     tagged = [p.withColumn("k", F.lit(1)) for p in parts]
     return tagged[0].join(tagged[1], "k").join(tagged[2], "k").drop("k").withColumn("passes", F.col("meets_f1") & F.col("meets_false_alarms") & F.col("meets_recall"))
 
 
-def bootstrap_f1(rows: DataFrame, key: str, y: Column, hit: Column, draws: int = 100) -> DataFrame:
+def bootstrap_f1(rows: DataFrame, key: str, y: Column, hit: Column, draws: int = 1000) -> DataFrame:
     """F1 and its 95 % interval by Poisson resampling: a row's weight in a draw follows from a hash of its key and the draw.
 
     No row is drawn again or moved: each counts itself in every draw on the map side, and only draws x 3 sums shuffle.

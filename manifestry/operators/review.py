@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 
-# Words that mark a condition as to be met by documents, or as beyond them.
-DOCUMENTARY = ["DOCUMENT", "CERTIFICATE", "INVOICE", "COPY", "COPIES", "SIGNED", "STAMPED", "PRESENTED"]
-FACTUAL = ["VESSEL", "INSPECTION", "QUALITY", "SHALL BE", "MUST BE", "ARRIVAL"]
+# Words that mark a credit's condition as one that documents show, or as one that they can't.
+VERIFIABLE = ["BILL OF LADING", "INVOICE", "CERTIFICATE", "PACKING LIST", "MARKED", "STATED", "SHOW", "EVIDENCE"]
+UNVERIFIABLE = ["NOTIFY", "CONFIRM", "ARRANGE", "INFORM", "ADVISE", "BY EMAIL", "BY FAX", "APPLICANT"]
+TIMING = "WITHIN.*DAYS OF"
+# States of a shipment whose bill of lading has been issued.
+ISSUED = ["SUBMITTED", "MONITORING", "CLOSED"]
 
 
 def payload(values: DataFrame) -> DataFrame:
@@ -32,21 +35,43 @@ def review_reason(value: Column, confidence: Column, source: Column, critical: C
     )
 
 
-def status_gate(n_required: Column, n_critical: Column, overridden: Column) -> Column:
-    """blocked by fields to be reviewed, which nothing lifts; by critical violations, unless overridden; else open."""
-    return F.when(n_required > 0, "blocked").when((n_critical > 0) & ~overridden, "overridable").otherwise("open")
+def status_gate(n_required: Column, n_critical: Column) -> Column:
+    """Struct (allowed, overridable, blockers): open only without fields to be reviewed and critical violations.
 
+    A shut gate can always be overridden with a reason; each of the two counts is one blocker.
+    """
+    blockers = (n_required > 0).cast("long") + (n_critical > 0).cast("long")
+    return F.struct((blockers == 0).alias("allowed"), F.lit(True).alias("overridable"), blockers.alias("blockers"))
+
+
+def reissue_path(doc: Column, status: Column) -> Column:
+    """An edited bill of lading that has been issued is issued again; anything else is an edit of a draft."""
+    return F.when((doc == "bill_of_lading") & status.isin(ISSUED), "REISSUE").otherwise("DRAFT_EDIT")
+
+
+def needs_amendment(status: Column, touches_credit: Column) -> Column:
+    """Once issued, changing a field that is tied to the credit means changing its terms."""
+    return status.isin(ISSUED) & touches_credit
 
-def reissue_path(doc: Column, status: Column, touches_credit: Column) -> Column:
-    return F.when(touches_credit & (status == "ISSUED"), "amendment").when((doc == "bl") & status.isin("ISSUED", "SURRENDERED"), "reissue").when(status == "DRAFT", "edit").otherwise("correction")
+
+def conditions_of(text: Column) -> Column:
+    """The conditions of a semicolon list, blank ones apart."""
+    return F.filter(F.split(text, ";"), lambda c: F.trim(c) != "")
 
 
 def classify_conditions(text: Column) -> Column:
-    """Counts of a semicolon list's conditions by the words that mark them; a tie can't be verified."""
-    marks = lambda c, ws: F.size(F.filter(s.words(ws), lambda w: F.contains(F.upper(c), w)))
-    kinds = F.transform(F.filter(F.split(text, ";"), lambda c: F.trim(c) != ""), lambda c: F.when(marks(c, DOCUMENTARY) > marks(c, FACTUAL), "documentary").when(marks(c, DOCUMENTARY) < marks(c, FACTUAL), "factual").otherwise("unverifiable"))
-    count = lambda k: F.size(F.filter(kinds, lambda x: x == k)).cast("long").alias(k)
-    return F.struct(count("documentary"), count("factual"), count("unverifiable"))
+    """Struct (verifiable_ratio, n_unverifiable) of a semicolon list's conditions; both null without any.
+
+    A condition counts words of both kinds, a time limit as one more that documents can't show; a tie is unverifiable.
+    """
+
+    def beyond(c: Column) -> Column:
+        marks = lambda ws: F.size(F.filter(s.words(ws), lambda w: F.contains(c, w)))
+        return marks(UNVERIFIABLE) + c.rlike(TIMING).cast("int") >= marks(VERIFIABLE)
+
+    n, bad = F.size(conditions_of(text)), F.size(F.filter(F.transform(conditions_of(text), F.upper), beyond))
+    some = F.when(n > 0, bad)
+    return F.struct(F.round((n - some) / n, 6).alias("verifiable_ratio"), some.cast("long").alias("n_unverifiable"))
 
 
 def unsupported(prose: Column, allowed: Column, pattern: str) -> Column:

@@ -1,7 +1,8 @@
 """Verdicts: the catalog over all shipments, and what is rolled up from it.
 
-All rules are evaluated in one projection of the wide shipment row into an array of outcomes, exploded once, so
-that the catalog costs no join and no shuffle; roll-ups combine on the map side before they shuffle.
+All rules are evaluated in one projection of the wide shipment row into an array of outcomes, so that the catalog
+costs no join and no shuffle.  What is asked of a shipment is folded within its row; only what is asked of a rule,
+or of rules and cross-document checks together, explodes the array and groups its rows.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ HELD = "held"
 HOLD_SHARE = 0.20
 
 
-def facts(shipments: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(shipment_id, rule_id, status, severity, weight, detail): held comes before any check of the rule's fields.
+def judged(shipments: DataFrame, rules: tuple[Rule, ...] = RULES, *more: str) -> DataFrame:
+    """(shipment_id, outcomes, further columns): an array with (rule_id, status, severity, weight, detail) of each rule.
 
-    A format error counts as violated, as a warning of fixed weight.
+    Held comes before any check of the rule's fields; a format error counts as violated, as a warning of fixed weight.
     """
     held = F.split("held", ",")
     rows = []
@@ -30,11 +31,43 @@ def facts(shipments: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             F.lit(r.id).alias("rule_id"), F.when(is_held, HELD).otherwise(got["status"]).alias("raw"), F.when(~is_held, got["detail"]).alias("detail"),
             F.lit(r.severity).alias("severity"), F.lit(r.weight).alias("weight"),
         ))
-    wide = shipments.select("shipment_id", F.explode(F.array(*rows)).alias("r")).select("shipment_id", "r.*")
-    broken = F.col("raw") == checks.FORMAT_ERROR
-    return wide.select(
-        "shipment_id", "rule_id", F.when(broken, checks.VIOLATED).otherwise(F.col("raw")).alias("status"),
-        F.when(broken, "warning").otherwise(F.col("severity")).alias("severity"), F.when(broken, F.lit(FORMAT_ERROR_WEIGHT)).otherwise(F.col("weight")).alias("weight"), "detail",
+
+    def settled(r: Column) -> Column:
+        broken = r["raw"] == checks.FORMAT_ERROR
+        return F.struct(
+            r["rule_id"].alias("rule_id"), F.when(broken, checks.VIOLATED).otherwise(r["raw"]).alias("status"), F.when(broken, "warning").otherwise(r["severity"]).alias("severity"),
+            F.when(broken, F.lit(FORMAT_ERROR_WEIGHT)).otherwise(r["weight"]).alias("weight"), r["detail"].alias("detail"),
+        )
+
+    return shipments.select("shipment_id", F.transform(F.array(*rows), settled).alias("outcomes"), *more)
+
+
+def facts(shipments: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(shipment_id, rule_id, status, severity, weight, detail), a row for each shipment and rule."""
+    return judged(shipments, rules).select("shipment_id", F.explode("outcomes").alias("r")).select("shipment_id", "r.*")
+
+
+def is_bad(r: Column) -> Column:
+    return r["status"] == checks.VIOLATED
+
+
+def number(condition) -> Column:
+    """How many of the row's outcomes meet the condition."""
+    return F.size(F.filter("outcomes", condition)).cast("long")
+
+
+def weight(condition) -> Column:
+    return F.aggregate(F.filter("outcomes", condition), F.lit(0.0), lambda a, r: a + r["weight"])
+
+
+def row_scores(judged: DataFrame) -> DataFrame:
+    """``scores`` of each row's own outcomes, without a shuffle."""
+    low = F.least(F.lit(1.0), weight(is_bad))
+    count = lambda status: number(lambda r: r["status"] == status)
+    of = lambda severity: number(lambda r: is_bad(r) & (r["severity"] == severity)).alias(f"n_{severity}")
+    return judged.select(
+        "shipment_id", count(checks.VIOLATED).alias("n_violated"), count(checks.PASS).alias("n_passed"), count(checks.NOT_EVALUATED).alias("n_skipped"), count(HELD).alias("n_held"),
+        of("critical"), of("warning"), of("info"), F.round(low, 4).alias("score"), F.round(F.least(F.lit(1.0), low + weight(lambda r: r["status"] == HELD)), 4).alias("score_high"),
     )
 
 
@@ -62,11 +95,11 @@ def severity_rank(severity: Column) -> Column:
     return F.when(severity == "critical", 0).when(severity == "warning", 1).otherwise(2)
 
 
-def ordered_violations(fact: DataFrame) -> DataFrame:
-    """Each shipment's violated rules in order of severity, weight (largest first) and id, as one text."""
-    bad = fact.where(F.col("status") == checks.VIOLATED)
-    key = F.struct(severity_rank(F.col("severity")).alias("a"), (-F.col("weight")).alias("b"), F.col("rule_id").alias("id"))
-    return bad.groupBy("shipment_id").agg(F.sort_array(F.collect_list(key)).alias("v")).select("shipment_id", F.array_join(F.transform("v", lambda v: v["id"]), ",").alias("rule_ids"), F.size("v").cast("long").alias("n"))
+def ordered_violations(judged: DataFrame) -> DataFrame:
+    """Each shipment's violated rules in order of severity, weight (largest first) and id, as one text; none without any."""
+    key = lambda r: F.struct(severity_rank(r["severity"]).alias("a"), (-r["weight"]).alias("b"), r["rule_id"].alias("id"))
+    v = judged.select("shipment_id", F.sort_array(F.transform(F.filter("outcomes", is_bad), key)).alias("v")).where(F.size("v") > 0)
+    return v.select("shipment_id", F.array_join(F.transform("v", lambda v: v["id"]), ",").alias("rule_ids"), F.size("v").cast("long").alias("n"))
 
 
 def rule_hits(fact: DataFrame) -> DataFrame:

@@ -59,6 +59,52 @@ VALUES = f"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t
  x AS (SELECT *, CASE WHEN derivation LIKE 'EXEMPT%' THEN NULL WHEN derivation IN ('EXACT', 'SUBSTRING') THEN 'GROUNDED' WHEN derivation IN ('FORMAT', 'SIMILARITY') THEN 'DERIVED' ELSE 'UNGROUNDED' END AS status FROM w5)"""
 
 
+#: Conditions of a credit: three of 20 letters between two marks, seven of 200, none, one of five letters between marks.
+CLAUSES = ["A" * 6 + "; " + "B" * 6 + ";" + "C" * 5, ";".join(["D" * 200] * 7), "", " EEEEE;"]
+SAMPLE = 200
+
+
+def enforced(spark: SparkSession, d: str) -> DataFrame:
+    """A value for each order under each mode: literal cases, whose verdicts are stated by hand in the oracle."""
+    n = len(CASES)
+    case = F.element_at(F.array(*(F.struct(F.lit(v).cast("string").alias("value"), F.lit(k).alias("kind"), F.lit(x).alias("extractor"), F.lit(g).alias("grade"), F.split(F.lit(w).cast("string"), " ").alias("words"), F.lit(a).cast("int").alias("start"), F.lit(b).cast("int").alias("end"), F.lit(box).alias("boxed"), F.lit(al).cast("string").alias("alias")) for v, k, x, g, w, a, b, box, al, *_ in CASES)), (F.col("o_orderkey") % n + 1).cast("int"))
+    rows = table(spark, d, "orders").select("o_orderkey", case.alias("c"), F.explode(F.array(*map(F.lit, MODES))).alias("mode"))
+    c = lambda name: F.col(f"c.{name}")
+    verdict_of = evidence.enforce(c("value"), c("kind"), c("extractor"), c("grade"), c("words"), c("start"), c("end"), c("boxed"), F.array(c("alias")), F.col("mode"))
+    return rows.select("o_orderkey", "mode", verdict_of.alias("v")).select("o_orderkey", "mode", "v.*")
+
+
+MODES = ["P", "E1", "E2", "E3"]
+#: value, kind, extractor, grade, words, start, end, box, alias; then status, derivation, reason in E1, E2 and E3.
+CASES = [
+    ("Busan", "text", "OCR", "CONFIRMED", "PORT BUSAN KOREA", 1, 2, False, None, ("GROUNDED", "NONE", "COORDS_PRESENT"), ("GROUNDED", "EXACT", None), ("GROUNDED", "EXACT", None)),
+    ("busan korea", "text", "OCR", "CONFIRMED", "PORT OF BUSAN, KOREA", 0, 4, False, None, ("GROUNDED", "NONE", "COORDS_PRESENT"), ("GROUNDED", "SUBSTRING", None), ("GROUNDED", "SUBSTRING", None)),
+    ("12", "number", "OCR", "CONFIRMED", "TOTAL 1234 CTNS", 1, 2, False, None, ("GROUNDED", "NONE", "COORDS_PRESENT"), ("UNGROUNDED", None, "CONTENT_MISMATCH"), ("UNGROUNDED", None, "CONTENT_MISMATCH")),
+    ("1234.50", "number", "OCR", "CONFIRMED", "7 PKG 1,234.5 KGS", 0, 4, False, None, ("GROUNDED", "NONE", "COORDS_PRESENT"), ("UNGROUNDED", None, "CONTENT_MISMATCH"), ("DERIVED", "FORMAT", None)),
+    ("2026-08-12", "date", "OCR", "CONFIRMED", "DATE OF ISSUE 12 AUG 2026", 0, 6, False, None, ("GROUNDED", "NONE", "COORDS_PRESENT"), ("UNGROUNDED", None, "CONTENT_MISMATCH"), ("DERIVED", "FORMAT", None)),
+    ("2026-08-12", "date", "OCR", "CONFIRMED", "2026-08-12 EXTRA", 0, 2, False, None, ("GROUNDED", "NONE", "COORDS_PRESENT"), ("UNGROUNDED", None, "CONTENT_MISMATCH"), ("DERIVED", "FORMAT", None)),
+    ("PUSAN", "text", "OCR", "CONFIRMED", "BUSAN PORT", 0, 2, False, "Busan", ("GROUNDED", "NONE", "COORDS_PRESENT"), ("UNGROUNDED", None, "CONTENT_MISMATCH"), ("DERIVED", "GLOSSARY", None)),
+    ("SHANGHAI EAST TRADINGS", "text", "OCR", "CONFIRMED", "SHANGHAI EAST TRADING", 0, 3, False, None, ("GROUNDED", "NONE", "COORDS_PRESENT"), ("UNGROUNDED", None, "CONTENT_MISMATCH"), ("DERIVED", "SIMILARITY", None)),
+    ("Busan", "text", "OCR", "CONFIRMED", "ROTTERDAM", 0, 1, False, None, ("GROUNDED", "NONE", "COORDS_PRESENT"), ("UNGROUNDED", None, "CONTENT_MISMATCH"), ("UNGROUNDED", None, "CONTENT_MISMATCH")),
+    ("Busan", "text", "OCR", "CONFIRMED", "BUSAN", 0, 2, False, None, ("GROUNDED", "NONE", "COORDS_PRESENT"), ("UNGROUNDED", None, "SPAN_NOT_FOUND"), ("UNGROUNDED", None, "SPAN_NOT_FOUND")),
+    ("Busan", "text", "OCR", "CONFIRMED", None, None, None, False, None, ("UNGROUNDED", None, "NO_COORDS"), ("UNGROUNDED", None, "NO_TOKEN_LAYER"), ("UNGROUNDED", None, "NO_TOKEN_LAYER")),
+    ("Busan", "text", "OCR", "CONFIRMED", None, None, None, True, None, ("GROUNDED", "NONE", "COORDS_PRESENT"), ("UNGROUNDED", None, "NO_TOKEN_LAYER"), ("UNGROUNDED", None, "NO_TOKEN_LAYER")),
+    ("...", "text", "OCR", "CONFIRMED", "BUSAN", 0, 1, False, None, ("GROUNDED", "NONE", "COORDS_PRESENT"), ("UNGROUNDED", None, "EMPTY_VALUE"), ("UNGROUNDED", None, "EMPTY_VALUE")),
+    (None, "text", "OCR", "CONFIRMED", "BUSAN", 0, 1, False, None, ("UNGROUNDED", None, "NO_VALUE"), ("UNGROUNDED", None, "NO_VALUE"), ("UNGROUNDED", None, "NO_VALUE")),
+    ("typed", "text", "MANUAL", "CONFIRMED", "BUSAN", None, None, False, None, (None, None, "EXEMPT_MANUAL"), (None, None, "EXEMPT_MANUAL"), (None, None, "EXEMPT_MANUAL")),
+    (None, "text", "OCR", "NOT_FOUND", "BUSAN", None, None, False, None, (None, None, "NOT_FOUND"), (None, None, "NOT_FOUND"), (None, None, "NOT_FOUND")),
+]
+
+
+def _enforced_sql() -> str:
+    text = lambda x: "NULL" if x is None else f"'{x}'"
+    rows = []
+    for i, (_, _, _, grade, *_, e1, e2, e3) in enumerate(CASES):
+        for mode, (status, how, reason) in zip(MODES, ((None, None, None), e1, e2, e3)):
+            rows.append(f"({i}, '{mode}', {text(status)}, {text(how)}, {text(reason)}, '{'REVIEW_REQUIRED' if status == 'UNGROUNDED' else grade}')")
+    return f"SELECT o_orderkey, mode, status, derivation, reason, grade FROM orders JOIN (VALUES {', '.join(rows)}) AS c(k, mode, status, derivation, reason, grade) ON o_orderkey % {len(CASES)} = k"
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events")
 
@@ -71,12 +117,12 @@ def extraction_quality(spark: SparkSession, d: str) -> DataFrame:
 def per_defect_recall(spark: SparkSession, d: str) -> DataFrame:
     """Of the shipments in which each rule is violated, the share that has a critical violation at all."""
     fact = verdict.facts(rule_queries.view(spark, d))
-    caught = verdict.scores(fact).select("shipment_id", (F.col("n_critical") > 0).cast("double").alias("caught"))
+    caught = verdict.row_scores(verdict.judged(rule_queries.view(spark, d))).select("shipment_id", (F.col("n_critical") > 0).cast("double").alias("caught"))
     return fact.where("status = 'violated'").join(caught, "shipment_id").groupBy("rule_id").agg(F.round(F.avg("caught"), 4).alias("recall"), F.count("*").alias("n"))
 
 
 def queries() -> dict:
-    view, fact = rule_queries.view, lambda spark, d: verdict.facts(rule_queries.view(spark, d))
+    view = rule_queries.view
 
     return {
         "history_rates": lambda spark, d: metrics.history_rates(labelled(spark, d), "source", "quality"),
@@ -88,7 +134,7 @@ def queries() -> dict:
         "reliability": lambda spark, d: metrics.reliability(labelled(spark, d), "quality", "p"),
         "brier": lambda spark, d: metrics.brier(labelled(spark, d), "quality", "p"),
         "best_threshold": lambda spark, d: metrics.best_threshold(labelled(spark, d), "quality", "p"),
-        "stratified": lambda spark, d: metrics.stratified(labelled(spark, d), "doc_id", "lang", 0.3),
+        "stratified": lambda spark, d: metrics.stratified(labelled(spark, d), "doc_id", "lang", SAMPLE),
         "balanced": lambda spark, d: metrics.balanced(labelled(spark, d), "doc_id", "quality"),
         "group_split": lambda spark, d: metrics.group_split(table(spark, d, "documents").select("doc_id", "source"), "source"),
         "latest_by": lambda spark, d: metrics.latest(_events(spark, d), "user_id", "ts", "event_id", "event_type").select("user_id", "event_id", "event_type"),
@@ -102,10 +148,11 @@ def queries() -> dict:
         "evidence_chain": lambda spark, d: values(spark, d).select("doc_id", "status", "derivation"),
         "trusted_view": lambda spark, d: evidence.trusted(values(spark, d)).select("doc_id", "derivation"),
         "review_queue": lambda spark, d: evidence.review_queue(values(spark, d)).select("doc_id", "derivation", "grade"),
-        "features_core": lambda spark, d: features.core(fact(spark, d), view(spark, d)),
-        "rv_pivot": lambda spark, d: features.rule_pivot(fact(spark, d)),
+        "evidence_enforced": lambda spark, d: enforced(spark, d),
+        "features_core": lambda spark, d: features.core(view(spark, d)),
+        "rv_pivot": lambda spark, d: features.rule_pivot(verdict.judged(view(spark, d))),
         "features_consistency": lambda spark, d: features.consistency(view(spark, d)),
-        "features_complexity": lambda spark, d: features.complexity(view(spark, d)),
+        "features_complexity": lambda spark, d: features.complexity(table(spark, d, "orders"), "o_orderkey", F.element_at(F.array(*map(F.lit, CLAUSES)), (F.col("o_orderkey") % 4 + 1).cast("int"))),
         "features_time": lambda spark, d: features.time_margin(view(spark, d)),
         "features_extraction": extraction_quality,
         "upload_dedup": lambda spark, d: table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")),
@@ -136,7 +183,7 @@ def oracle_sql() -> dict[str, str]:
         "reliability": lab("SELECT CAST(greatest(1, ceil(p * 10)) AS BIGINT) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(quality), 6) AS rate FROM l GROUP BY 1"),
         "brier": lab("SELECT round(avg((p - quality) * (p - quality)), 6) AS brier FROM l"),
         "best_threshold": lab("SELECT round(t / 100.0, 4)::DOUBLE AS threshold, round(f1, 6) AS f1 FROM (SELECT t, round(2.0 * sum(CASE WHEN floor(p * 100) >= t THEN quality ELSE 0 END)::DOUBLE / (count(*) FILTER (floor(p * 100) >= t) + sum(quality))::DOUBLE, 9) AS f1 FROM l, (SELECT unnest(range(1, 100)) AS t) GROUP BY t) ORDER BY f1 DESC, t = 50 DESC, t LIMIT 1"),
-        "stratified": lab(f"SELECT doc_id, lang FROM l WHERE {place('s', 'doc_id')} / 4294967296.0 < 0.3"),
+        "stratified": lab("SELECT doc_id, lang FROM q JOIN t ON q.lang = t.of WHERE r <= CASE WHEN total <= 200 THEN n WHEN of = last THEN least(n, greatest(0, 200 - coalesce((SELECT sum(k) FROM t WHERE of <> last), 0))) ELSE least(n, k) END", "q AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('s' || CAST(doc_id AS VARCHAR)), doc_id) AS r FROM l), c AS (SELECT lang AS of, count(*) AS n FROM l GROUP BY lang), t AS (SELECT of, n, CAST(round_even(200.0::DOUBLE * n / (SELECT sum(n) FROM c), 0) AS BIGINT) AS k, (SELECT sum(n) FROM c) AS total, (SELECT max(of) FROM c) AS last FROM c WHERE of IS NOT NULL)"),
         "balanced": lab("SELECT doc_id, quality FROM (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('b' || CAST(doc_id AS VARCHAR)), doc_id) AS r FROM l) WHERE r <= (SELECT min(n) FROM (SELECT count(*) AS n FROM l GROUP BY quality))"),
         "group_split": f"SELECT doc_id, source, CASE WHEN {place('g', 'source')} % 100 < 60 THEN 'train' WHEN {place('g', 'source')} % 100 < 80 THEN 'validation' ELSE 'test' END AS split FROM documents",
         "latest_by": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
@@ -144,16 +191,17 @@ def oracle_sql() -> dict[str, str]:
         "line_text": f"WITH {isl} SELECT user_id, line, string_agg(event_type, ' ' ORDER BY y, event_id) AS text FROM i GROUP BY user_id, line",
         "grade_histogram": f"WITH {GRADED} SELECT event_type, " + ", ".join(f"count(*) FILTER (grade = '{g}') AS {g}" for g in GRADES) + " FROM e GROUP BY event_type",
         "grades": f"WITH {GRADED} SELECT * FROM e",
-        "latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS most, count(*) AS n FROM events GROUP BY event_type",
+        "latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(list_sort(list(value))[1 + CAST(round_even(0.95::DOUBLE * (count(*) - 1), 0) AS BIGINT)], 6) AS p95, max(value) AS most, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type",
         "floor_days": "SELECT event_id, CAST(floor(epoch_us(ts) / 86400000000.0 - epoch_us(TIMESTAMP '2024-01-03 12:00:00') / 86400000000.0) AS BIGINT) AS days, CAST(CAST(ts AS DATE) - DATE '2024-01-03' AS INTEGER) AS calendar FROM events",
         "span_text": f"WITH {VALUES} SELECT doc_id, span, \"exists\" FROM x",
+        "evidence_enforced": _enforced_sql(),
         "evidence_chain": f"WITH {VALUES} SELECT doc_id, status, derivation FROM x",
         "trusted_view": f"WITH {VALUES} SELECT doc_id, derivation FROM x WHERE status IS DISTINCT FROM 'UNGROUNDED'",
         "review_queue": f"WITH {VALUES} SELECT doc_id, derivation, grade FROM x WHERE representative AND (coalesce(status = 'UNGROUNDED', false) OR grade = 'required')",
         "features_core": with_query(f"SELECT a.*, missing_ratio, n_credit_terms, days_to_expiry, days_to_latest_shipment, n_held_fields FROM (SELECT shipment_id, count(*) FILTER (status = 'violated' AND severity = 'critical') AS n_critical, count(*) FILTER (status = 'violated' AND severity = 'warning') AS n_warning, {wsum}, round(count(*) FILTER (status = 'not_evaluated') / count(*)::DOUBLE, 6) AS skipped_ratio FROM f GROUP BY shipment_id) a JOIN (SELECT shipment_id, round(({missing}) / {len(features.BL_FIELDS)}::DOUBLE, 6) AS missing_ratio, CAST({terms} AS BIGINT) AS n_credit_terms, coalesce(CAST({sql.day('lc_expiry_date')} - as_of AS DOUBLE), 999.0) AS days_to_expiry, CAST({sql.day('lc_latest_shipment_date')} - {sql.day('on_board_date')} AS DOUBLE) AS days_to_latest_shipment, CAST(len(list_filter(string_split(held, ','), lambda x: x <> '')) AS BIGINT) AS n_held_fields FROM s) b ON a.shipment_id = b.shipment_id", f),
         "rv_pivot": with_query(f"SELECT shipment_id, {pivot}, {wsum} FROM f GROUP BY shipment_id", f),
         "features_consistency": with_query(f"SELECT shipment_id, round(list_max(k), 6) AS edit_max, round(list_sum(k) / nullif(len(k), 0), 6) AS edit_mean, round(dev, 6) AS weight_deviation, dev > 0.15 AS weight_mismatch FROM (SELECT shipment_id, {known} AS k, {dev} AS dev FROM s)"),
-        "features_complexity": with_query("SELECT shipment_id, round(0.5 * least(coalesce(len(string_split(lc_documents, ';')), 0) / 6.0::DOUBLE, 1.0) + 0.5 * least(coalesce(length(nullif(trim(lc_description_of_goods), '')), 0) / 800.0::DOUBLE, 1.0), 6) AS complexity FROM s"),
+        "features_complexity": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 0.2625 WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 ELSE 0.087708 END::DOUBLE AS complexity FROM orders",
         "features_time": with_query(f"SELECT shipment_id, g AS days_since_shipment, CASE WHEN g IS NULL THEN 0.0 ELSE round(greatest(0.0, 1 - g / n::DOUBLE), 6) END AS remaining_ratio, g > 21 AS over_21 FROM (SELECT shipment_id, CAST(as_of - {shipped} AS BIGINT) AS g, lc_presentation_days AS n FROM s)"),
         "features_extraction": "SELECT user_id, round(avg(c), 6) AS mean_c, min(c) AS min_c, count(*) FILTER (c < 0.7) AS low, count(*) FILTER (c >= 0.7 AND c < 0.9) AS middle, count(*) FILTER (c >= 0.9) AS high FROM (SELECT user_id, round(value % 100 / 100, 4) AS c FROM events) GROUP BY user_id",
         "upload_dedup": "SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1",

@@ -22,7 +22,7 @@ TARGET_F1 = 0.85
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
     """(shipment_id, fired, y): whether the rules flag a shipment, and a made-up true outcome."""
-    return outcomes.fired(verdict.facts(rule_queries.view(spark, d))).withColumn("y", F.when(F.col("shipment_id") % 4 == 1, 0).otherwise(1))
+    return outcomes.fired(verdict.judged(rule_queries.view(spark, d))).withColumn("y", F.when(F.col("shipment_id") % 4 == 1, 0).otherwise(1))
 
 
 JUDGED = "j AS (SELECT shipment_id, max(CASE WHEN status = 'violated' AND severity = 'critical' THEN 1 ELSE 0 END) AS fired, CASE WHEN shipment_id % 4 = 1 THEN 0 ELSE 1 END AS y FROM f GROUP BY shipment_id)"
@@ -30,7 +30,7 @@ JUDGED = "j AS (SELECT shipment_id, max(CASE WHEN status = 'violated' AND severi
 
 def sla_gate(spark: SparkSession, d: str) -> DataFrame:
     rows = judged(spark, d)
-    return outcomes.gate(outcomes.binary_metrics(rows), outcomes.false_alarms(rows), per_defect_recall(spark, d), TARGET_F1)
+    return outcomes.gate(outcomes.binary_metrics(rows), outcomes.false_alarms(rows), outcomes.critical_recalls(per_defect_recall(spark, d)), TARGET_F1, least_kinds=4)
 
 
 def edited(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +83,7 @@ def noisy(spark: SparkSession, d: str) -> DataFrame:
 
 def corpus_rollup(spark: SparkSession, d: str) -> DataFrame:
     """One row: shipments, those with a held rule, with any violation, and that are sound as far as evaluated."""
-    per = verdict.scores(verdict.facts(rule_queries.view(spark, d)))
+    per = verdict.row_scores(verdict.judged(rule_queries.view(spark, d)))
     n = lambda c: F.count(F.when(c, 1))
     return per.agg(F.count("*").alias("n"), n(F.col("n_held") > 0).alias("n_with_held"), n(F.col("n_violated") > 0).alias("n_with_violation"), n((F.col("n_violated") == 0) & (F.col("n_held") == 0)).alias("n_sound"), F.round(F.avg("score"), 6).alias("mean_score"))
 
@@ -104,10 +104,10 @@ def calibrated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    fact = lambda spark, d: verdict.facts(rule_queries.view(spark, d))
+    row = lambda spark, d: verdict.judged(rule_queries.view(spark, d))
     return {
-        "verdict_summary": lambda spark, d: outcomes.summary(fact(spark, d)),
-        "passed_rules": lambda spark, d: outcomes.passed_rules(fact(spark, d)),
+        "verdict_summary": lambda spark, d: outcomes.summary(row(spark, d)),
+        "passed_rules": lambda spark, d: outcomes.passed_rules(row(spark, d)),
         "false_alarms": lambda spark, d: outcomes.false_alarms(judged(spark, d)),
         "leakage": lambda spark, d: outcomes.leakage(judged(spark, d)),
         "rule_only_metrics": lambda spark, d: outcomes.binary_metrics(judged(spark, d)),
@@ -156,8 +156,8 @@ def oracle_sql() -> dict[str, str]:
         "false_alarms": on(alarms),
         "leakage": on("SELECT round(corr(y, fired), 6) AS phi, round(avg(y) FILTER (fired = 0), 6) AS defects_if_silent, round(avg(1 - y) FILTER (fired = 1), 6) AS sound_if_fired, count(*) FILTER (fired = 0) AS n_silent, count(*) FILTER (fired = 1) AS n_fired, round(avg(y), 6) AS defect_rate FROM j"),
         "rule_only_metrics": on(f"SELECT round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, 6) AS auc, round((fp + fn) / nullif(n, 0), 6) AS brier, n, round((tp + fn) / nullif(n, 0), 6) AS positive_rate FROM {cells}"),
-        "sla_gate": on(f"SELECT *, meets_f1 AND meets_false_alarms AND meets_recall AS passes FROM (SELECT round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) >= {TARGET_F1} AS meets_f1, (SELECT rate FROM ({alarms})) <= {outcomes.FALSE_ALARMS} AS meets_false_alarms, coalesce((SELECT min(recall) FROM {recall}) >= {outcomes.LEAST_RECALL}, false) AS meets_recall FROM {cells})"),
-        "bootstrap_f1": lab(f"SELECT round(max(f1) FILTER (draw = 0), 6) AS point, round(quantile_cont(f1, 0.025) FILTER (draw > 0), 6) AS low, round(quantile_cont(f1, 0.975) FILTER (draw > 0), 6) AS high FROM (SELECT draw, coalesce(2.0 * sum(k * y * h)::DOUBLE / nullif(sum(k * (y + h)), 0), 0.0) AS f1 FROM (SELECT draw, CAST(quality = 1 AS INTEGER) AS y, CAST(p >= 0.35 AS INTEGER) AS h, CASE WHEN draw = 0 THEN 1 ELSE {weight} END AS k FROM l, (SELECT unnest(range(0, 101)) AS draw)) GROUP BY draw)"),
+        "sla_gate": on(f"SELECT *, meets_f1 AND meets_false_alarms AND meets_recall AS passes FROM (SELECT round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) >= {TARGET_F1} AS meets_f1, (SELECT rate FROM ({alarms})) <= 0.05 AS meets_false_alarms, coalesce((SELECT min(recall) >= 0.95 AND count(DISTINCT CASE WHEN rule_id IN ('D003', 'D004') THEN 'port' ELSE rule_id END) = 4 FROM {recall} WHERE rule_id IN ('D002', 'D003', 'D004', 'D005B', 'D008')), false) AS meets_recall FROM {cells})"),
+        "bootstrap_f1": lab(f"SELECT round(max(f1) FILTER (draw = 0), 6) AS point, round(quantile_cont(f1, 0.025) FILTER (draw > 0), 6) AS low, round(quantile_cont(f1, 0.975) FILTER (draw > 0), 6) AS high FROM (SELECT draw, coalesce(2.0 * sum(k * y * h)::DOUBLE / nullif(sum(k * (y + h)), 0), 0.0) AS f1 FROM (SELECT draw, CAST(quality = 1 AS INTEGER) AS y, CAST(p >= 0.35 AS INTEGER) AS h, CASE WHEN draw = 0 THEN 1 ELSE {weight} END AS k FROM l, (SELECT unnest(range(0, 1001)) AS draw)) GROUP BY draw)"),
         "model_gain": lab(f"SELECT round({hit(rule)}, 6) AS rules, round({hit(both)}, 6) AS combined, round({hit(both)} - {hit(rule)}, 6) AS gain FROM l"),
         "effective_grade": f"WITH {GRADED} SELECT event_id, CASE WHEN event_id % 5 = 1 THEN 'confirmed' ELSE grade END AS grade FROM e",
         "conflict_settled": "SELECT event_id, CASE WHEN event_id % 12 = 0 THEN 'BUSAN' WHEN event_id % 12 = 9 THEN 'INCHEON' ELSE event_type END AS value, CASE WHEN event_id % 12 = 0 THEN 0.9E0 WHEN event_id % 12 = 9 THEN 0.71E0 ELSE 0.5E0 END AS confidence, event_id % 3 = 0 AND event_id % 4 >= 2 AS conflict FROM events",
@@ -173,7 +173,7 @@ def oracle_sql() -> dict[str, str]:
  t AS (SELECT *, {plain("array_to_string(w[st + 1 : st + n], '')")} AS x, {plain('value')} AS y FROM n),
  q AS (SELECT p_partkey, value, st, n, round(coalesce(len(list_intersect({grams('x')}, {grams('y')}))::DOUBLE / nullif(len(list_distinct(list_concat({grams('x')}, {grams('y')}))), 0), 0.0), 9) AS sim FROM t),
  b AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY sim DESC, st, n) AS r FROM q)
- SELECT p_partkey, value, CASE WHEN sim >= 0.6 THEN CAST(st AS INTEGER) END AS start, CASE WHEN sim >= 0.6 THEN CAST(st + n AS INTEGER) END AS "end", CASE WHEN sim >= 0.6 THEN sim END AS sim FROM b WHERE r = 1""",
+ SELECT p_partkey, value, CASE WHEN sim >= 0.8 THEN CAST(st AS INTEGER) END AS start, CASE WHEN sim >= 0.8 THEN CAST(st + n AS INTEGER) END AS "end", CASE WHEN sim >= 0.8 THEN sim END AS sim FROM b WHERE r = 1""",
         "label_noise": f"SELECT doc_id, {at} < 30 AS turned, CAST(CASE WHEN {at} < 30 THEN 1 - quality ELSE quality END AS INTEGER) AS quality FROM labels",
         "corpus_rollup": with_query(f"SELECT count(*) AS n, count(*) FILTER (h > 0) AS n_with_held, count(*) FILTER (v > 0) AS n_with_violation, count(*) FILTER (v = 0 AND h = 0) AS n_sound, round(avg(score), 6) AS mean_score FROM {per}", f),
     }

@@ -36,19 +36,20 @@ def queries() -> dict:
 
     out = {name: one(rules[i]) for name, i in SHOWN.items()} | {name: pair(crosses[i]) for name, i in CROSS_SHOWN.items()}
     fact = lambda spark, d: verdict.facts(view(spark, d))
+    row = lambda spark, d: verdict.judged(view(spark, d))
     return out | {
         "verdict_facts": fact,
-        "verdict_score": lambda spark, d: verdict.scores(fact(spark, d)).withColumn("risk", verdict.risk_level()),
-        "verdict_range": lambda spark, d: verdict.scores(fact(spark, d)).where("n_held > 0").select("shipment_id", "score", "score_high"),
+        "verdict_score": lambda spark, d: verdict.row_scores(row(spark, d)).withColumn("risk", verdict.risk_level()),
+        "verdict_range": lambda spark, d: verdict.row_scores(row(spark, d)).where("n_held > 0").select("shipment_id", "score", "score_high"),
         "severity_counts": lambda spark, d: fact(spark, d).where("status = 'violated'").groupBy("severity").agg(F.count("*").alias("n"), F.countDistinct("shipment_id").alias("n_shipments")),
-        "violation_order": lambda spark, d: verdict.ordered_violations(fact(spark, d)),
+        "violation_order": lambda spark, d: verdict.ordered_violations(row(spark, d)),
         "rule_hits": lambda spark, d: verdict.rule_hits(fact(spark, d)),
         "hold_gate": lambda spark, d: verdict.hold_gate(view(spark, d), N_FIELDS),
         "x_verdict": lambda spark, d: cross.facts(view(spark, d)),
         "merged_verdict": lambda spark, d: verdict.scores(fact(spark, d).drop("detail").unionByName(cross.facts(view(spark, d)))),
         "deadline": lambda spark, d: report.deadline(view(spark, d)),
         "checklist": lambda spark, d: report.checklist(view(spark, d)),
-        "outlook": lambda spark, d: report.outlook(verdict.scores(fact(spark, d)), report.deadline(view(spark, d))),
+        "outlook": lambda spark, d: report.outlook(verdict.row_scores(row(spark, d)), report.deadline(view(spark, d))),
         "recommendations": lambda spark, d: report.recommendations(fact(spark, d)),
         "status_pivot": lambda spark, d: report.status_pivot(fact(spark, d)),
         "impact_edges": lambda spark, d: impact.edges(spark),

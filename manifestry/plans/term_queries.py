@@ -9,6 +9,7 @@ from ..functions import scalars as s
 from ..operators import terms
 from ..sources import mt700
 from . import rules_sql as sql
+from .shipments import spread
 
 #: Texts that name quantities, tariff codes, price terms and parties, by the row's key.
 QUANTITIES = ["1,234.50 KGS", "5 M3", "7 L.", "12ctns", "9 FOO", "no number", "40 Tonnes", "3 P.C.S"]
@@ -31,11 +32,13 @@ def _pick_sql(key: str, values: list[str]) -> str:
     return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
 
 
-MESSAGE = "'{{1:F01BANK}}{{4:' || chr(10) || ':20:LC' || CAST(o_orderkey AS STRING) || chr(10) || ':31D:' || substr(replace(CAST(CAST(o_orderdate AS DATE) AS STRING), '-', ''), 3, 6) || 'SEOUL' || chr(10) || ':32B:' || CASE o_orderkey % 4 WHEN 0 THEN 'USD123456,78' WHEN 1 THEN 'USD 123,456.78' WHEN 2 THEN 'EUR1,000' ELSE 'n/a' END || chr(10) || ':39A:' || CASE o_orderkey % 3 WHEN 0 THEN '10/05' WHEN 1 THEN '5,5' ELSE 'none' END || chr(10) || ':43P:' || CASE o_orderkey % 3 WHEN 0 THEN 'NOT ALLOWED' WHEN 1 THEN 'ALLOWED' ELSE 'CONDITIONAL' END || chr(10) || ':43T:PROHIBITED' || chr(10) || ':44E:BUSAN' || chr(10) || ':44E:INCHEON' || chr(10) || ':44C:' || CASE o_orderkey % 2 WHEN 0 THEN '260631' ELSE '260630' END || chr(10) || ':45A:+SAW MACHINE' || chr(10) || '+SPARE PARTS' || chr(10) || '-}}'".replace("{{", "{").replace("}}", "}")
+MESSAGE = "'{{1:F01BANK}}{{4:' || chr(10) || ':20:LC' || CAST(o_orderkey AS STRING) || chr(10) || ':31D:' || substr(replace(CAST(CAST(o_orderdate AS DATE) AS STRING), '-', ''), 3, 6) || 'SEOUL' || chr(10) || ':32B:' || CASE o_orderkey % 4 WHEN 0 THEN 'USD123456,78' WHEN 1 THEN 'USD 123,456.78' WHEN 2 THEN 'EUR1,000' ELSE 'n/a' END || chr(10) || ':39A:' || CASE o_orderkey % 3 WHEN 0 THEN '10/05' WHEN 1 THEN '5,5' ELSE 'none' END || chr(10) || ':43P:' || CASE o_orderkey % 3 WHEN 0 THEN 'NOT ALLOWED' WHEN 1 THEN 'ALLOWED' ELSE 'CONDITIONAL' END || chr(10) || ':43T:PROHIBITED' || chr(10) || ':44E:BUSAN' || chr(10) || ':44E:INCHEON' || chr(10) || ':44C:' || CASE o_orderkey % 2 WHEN 0 THEN '260631' ELSE '260630' END || chr(10) || ':50:/123456' || chr(10) || 'HANWOO TRADING' || chr(10) || 'SEOUL' || chr(10) || ':59:GAE WOON CO., LTD.' || chr(10) || ':45A:+SAW MACHINE' || chr(10) || '+SPARE PARTS' || CASE o_orderkey % 3 WHEN 0 THEN ' CIF' ELSE '' END || chr(10) || ':46A:+SIGNED INVOICE' || chr(10) || '1) ' || CASE o_orderkey % 4 WHEN 0 THEN 'FULL SET B/L MADE OUT TO ORDER NOTIFY APPLICANT' WHEN 1 THEN 'BILL OF LADING CONSIGNED TO DHHJ BANK.' WHEN 2 THEN 'BILL OF LADING, NOTIFY PARTY: TRY ENERGY.' ELSE 'PACKING LIST' END || chr(10) || ':47A:' || CASE o_orderkey % 4 WHEN 0 THEN '+MAX. GROSS WEIGHT 1,000 KGS' || chr(10) || '+MEASUREMENT NOT EXCEEDING 350 CBM' WHEN 1 THEN '- GROSS WEIGHT MAXIMUM 2 M.TONS FOB' WHEN 2 THEN 'GROSS WEIGHT 900 KG FOB OR CFR' ELSE 'NONE' END || chr(10) || ':48:WITHIN 21 DAYS' || chr(10) || '-}}'".replace("{{", "{").replace("}}", "}")
 
 
 def mt700_fields(spark: SparkSession, d: str) -> DataFrame:
-    return mt700.parse(table(spark, d, "orders").select("o_orderkey", F.expr(MESSAGE).alias("message"))).drop("message")
+    message = F.when(F.col("o_orderkey") % 50 == 49, "no credit at all").otherwise(F.expr(MESSAGE))
+    parsed = mt700.parse(spread(table(spark, d, "orders")).select("o_orderkey", message.alias("message")))
+    return parsed.drop("message").withColumn("documents", F.array_join("documents", "|"))
 
 
 def gram_dice(spark: SparkSession, d: str) -> DataFrame:
@@ -147,10 +150,14 @@ def oracle_sql() -> dict[str, str]:
         "trigram_sim": f"SELECT p_partkey, round(len(list_intersect({tri('lower(a)')}, {tri('lower(b)')}))::DOUBLE / len(list_distinct(list_concat({tri('lower(a)')}, {tri('lower(b)')}))), 6) AS similarity FROM {pairs}",
         "parse_dates": "SELECT o_orderkey, text, " + sql.day("text") + " AS day FROM (SELECT o_orderkey, upper(CASE o_orderkey % 14 " + " ".join(f"WHEN {i} THEN strftime(o_orderdate, '{f}')" for i, f in enumerate(STRFTIME)) + " END) AS text FROM orders)",
         "parse_quantities": f"SELECT l_orderkey, round({sql.quantity('text', 'KG')}, 4) AS kg, round({sql.quantity('text', 'CBM')}, 4) AS cbm, round({sql.amount('text')}, 4) AS amount FROM {case('l_orderkey', QUANTITIES, 'lineitem')}",
-        "mt700_fields": f"""SELECT o_orderkey, {tag('20')} AS lc_no, CAST(try_strptime('20' || {tag('31D', '([0-9]{6})')}, '%Y%m%d') AS DATE) AS expiry_date, CAST(try_strptime('20' || {tag('44C', '([0-9]{6})')}, '%Y%m%d') AS DATE) AS latest_shipment_date,
+        "mt700_fields": f"""SELECT o_orderkey, """ + ", ".join(f"CASE WHEN error IS NULL THEN {c} END AS {c}" for c in ("lc_no", "expiry_date", "latest_shipment_date", "currency", "amount", "tolerance_pct", "partial_shipment", "transhipment", "port_of_loading", "port_of_discharge", "description_of_goods", "applicant", "beneficiary", "documents", "presentation_days", "max_gross_weight_kg", "max_measurement_cbm", "incoterms", "bl_consignment", "consignee", "notify_party")) + f""", error FROM (SELECT o_orderkey, {tag('20')} AS lc_no, CAST(try_strptime('20' || {tag('31D', '([0-9]{6})')}, '%Y%m%d') AS DATE) AS expiry_date, CAST(try_strptime('20' || {tag('44C', '([0-9]{6})')}, '%Y%m%d') AS DATE) AS latest_shipment_date,
  nullif(regexp_extract({amount}, '^([A-Z]{{3}})\\s*[0-9.,]+', 1), '') AS currency,
  TRY_CAST(CASE WHEN {digits} LIKE '%.%' THEN replace({digits}, ',', '') WHEN regexp_matches({digits}, ',[0-9]{{0,2}}$') THEN replace({digits}, ',', '.') ELSE replace({digits}, ',', '') END AS DOUBLE) AS amount,
  CASE {tag('39A')} WHEN '10/05' THEN 5.0 WHEN '5,5' THEN 5.5 END::DOUBLE AS tolerance_pct, CASE {tag('43P')} WHEN 'NOT ALLOWED' THEN 'PROHIBITED' WHEN 'ALLOWED' THEN 'ALLOWED' END AS partial_shipment, 'PROHIBITED' AS transhipment,
- 'BUSAN' AS port_of_loading, CAST(NULL AS VARCHAR) AS port_of_discharge, 'SAW MACHINE SPARE PARTS' AS description_of_goods FROM (SELECT o_orderkey, {MESSAGE} AS m FROM orders)""",
+ 'BUSAN' AS port_of_loading, CAST(NULL AS VARCHAR) AS port_of_discharge, 'SAW MACHINE SPARE PARTS' || CASE WHEN o_orderkey % 3 = 0 THEN ' CIF' ELSE '' END AS description_of_goods,
+ 'HANWOO TRADING' AS applicant, 'GAE WOON CO., LTD.' AS beneficiary, 'SIGNED INVOICE|' || CASE k WHEN 0 THEN 'FULL SET B/L MADE OUT TO ORDER NOTIFY APPLICANT' WHEN 1 THEN 'BILL OF LADING CONSIGNED TO DHHJ BANK.' WHEN 2 THEN 'BILL OF LADING, NOTIFY PARTY: TRY ENERGY.' ELSE 'PACKING LIST' END AS documents,
+ 21 AS presentation_days, CASE k WHEN 0 THEN 1000.0 WHEN 1 THEN 2000.0 END::DOUBLE AS max_gross_weight_kg, CASE k WHEN 0 THEN 350.0 END::DOUBLE AS max_measurement_cbm,
+ CASE WHEN k = 1 THEN 'FOB' WHEN k = 2 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'CIF' END AS incoterms, CASE k WHEN 0 THEN 'TO_ORDER' END AS bl_consignment, CASE k WHEN 1 THEN 'DHHJ BANK' END AS consignee, CASE k WHEN 0 THEN 'HANWOO TRADING' WHEN 2 THEN 'TRY ENERGY' END AS notify_party,
+ CASE WHEN o_orderkey % 50 = 49 THEN 'no tags' END AS error FROM (SELECT o_orderkey, o_orderkey % 4 AS k, {MESSAGE} AS m FROM orders))""",
         "text_numbers": "SELECT doc_id, CAST(len(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?')) AS BIGINT) AS n_numbers FROM documents",
     }

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,11 +39,17 @@ def read_rules(path: str) -> tuple[Rule, ...]:
     return rules
 
 
+def normalized(name: str | None) -> str:
+    """The key of one name: the same as ``scalars.normalize_key`` gives in a query."""
+    text = re.sub("[^A-Z0-9가-힣.]", " ", unicodedata.normalize("NFKC", name or "").upper())
+    return re.sub(" +", " ", text).strip()
+
+
 def read_glossary(spark: SparkSession, path: str, tier: str = "standard") -> DataFrame:
-    """(version, tier, class, key, term, country): a row for each name and alias, keys upper-cased, blank ones dropped."""
+    """(version, tier, class, key, term, country): a row for each name and alias, keys as ``scalars.normalize_key`` makes them, blank ones dropped."""
     data = _load(path)
     rows = []
     for t in data["terms"]:
-        keys = {k.strip().upper() for k in [t["term"], *(t.get("aliases") or [])] if k and k.strip()}
+        keys = {key for k in [t["term"], *(t.get("aliases") or [])] if (key := normalized(k))}
         rows += [(str(data.get("version", "")), tier, t.get("class", ""), k, t["term"], t.get("country")) for k in sorted(keys)]
     return spark.createDataFrame(rows, GLOSSARY)

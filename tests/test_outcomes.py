@@ -21,7 +21,7 @@ def test_platt_is_the_maximum(spark):
 
 def test_reattach_odd_rows(spark):
     rows = [(1, ["Port", "of", "Bu-san", "Korea"], "BUSAN KOREA"), (2, [], "x"), (3, None, "x"), (4, ["a"], None), (5, ["a", "a"], "a"), (6, ["q"] * 2000 + ["needle"], "needles")]
-    got = {r.k: (r.start, r.end) for r in outcomes.reattach(spark.createDataFrame(rows, "k int, words array<string>, value string"), "words", "value").collect()}
+    got = {r.k: (r.start, r.end) for r in outcomes.reattach(spark.createDataFrame(rows, "k int, words array<string>, value string"), "words", "value", theta=0.6).collect()}
     assert got == {1: (2, 4), 2: (None, None), 3: (None, None), 4: (None, None), 5: (0, 1), 6: (2000, 2001)}
 
 
