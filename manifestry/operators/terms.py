@@ -76,6 +76,12 @@ def price_term(text: Column) -> tuple[Column, Column]:
     return F.when(known, code), F.when(known, F.nullif(place, F.lit("")))
 
 
+def format_price_term(code: Column, place: Column) -> Column:
+    """The standard form: the code, the place with a capital after whatever is no letter, and the edition."""
+    parts = F.transform(F.split(F.lower(F.trim(place)), r"(?<=[^\p{L}])"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2))))
+    return F.concat(F.upper(code), F.lit(" "), F.array_join(parts, ""), F.lit(" (Incoterms 2020)"))
+
+
 SUFFIX = "(?:" + "|".join(sorted(SUFFIX_FORMS, key=lambda k: (-len(k), k))) + ")"
 
 
@@ -108,16 +114,29 @@ def resolve(hits: DataFrame, by: list[str]) -> DataFrame:
 def dice_top_k(queries: DataFrame, terms: DataFrame, k: int = TOP_K, floor: float = FLOOR) -> DataFrame:
     """(query, term, score, place): Dice over 3-gram multisets, at or above the floor, the best k of each query.
 
-    Only pairs that share a gram come out of the equi-join on grams; sizes travel with the grams, so the score
-    follows from one aggregate.
+    Two texts at or above the floor share at least floor / (2 - floor) of either one's grams, so they share one of the
+    rarest that are left over (an exact prefix filter).  Only those meet in the equi-join; the pairs that
+    come out of it are then scored by their whole grams.  A repeated gram counts by its number in the text.
     """
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        g = df.select(F.col("text").alias(name), F.explode(s.grams(s.normalize_key(F.col("text")))).alias("gram"), F.size(s.grams(s.normalize_key(F.col("text")))).alias(f"n_{name}"))
-        return g.groupBy(name, f"n_{name}", "gram").agg(F.count("*").alias(f"c_{name}"))
 
-    shared = counted(queries, "query").join(counted(terms, "term"), "gram")
-    scored = shared.groupBy("query", "term", "n_query", "n_term").agg(F.sum(F.least("c_query", "c_term")).alias("common"))
-    scored = scored.select("query", "term", F.round(2.0 * F.col("common") / (F.col("n_query") + F.col("n_term")), 6).alias("score")).where(F.col("score") >= floor)
+    def numbered(df: DataFrame) -> DataFrame:
+        g = s.grams(s.normalize_key(F.col("text")))
+        items = s.bound(g, lambda g: F.transform(g, lambda x, i: F.concat(x, F.lit("#"), F.size(F.filter(F.slice(g, 1, i + 1), lambda y: y == x)).cast("string"))))
+        return df.select("text").distinct().select("text", items.alias("items")).where(F.size("items") > 0)
+
+    left, right = numbered(queries), numbered(terms)
+    common = right.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"))
+    share = floor / (2 - floor)
+
+    def prefix(df: DataFrame, name: str) -> DataFrame:
+        each = df.select("text", F.size("items").alias("n"), F.explode("items").alias("item")).join(common, "item", "left")
+        rarest = F.row_number().over(Window.partitionBy("text").orderBy(F.coalesce("df", F.lit(0)), "item"))
+        return each.withColumn("r", rarest).where(F.col("r") <= F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1).select("item", F.col("text").alias(name), F.col("n").alias(f"n_{name}"))
+
+    met = prefix(left, "query").join(prefix(right, "term"), "item")
+    pairs = met.where((F.col("n_term") >= share * F.col("n_query") - 1e-9) & (F.col("n_query") >= share * F.col("n_term") - 1e-9)).select("query", "term").distinct()
+    whole = pairs.join(left.select(F.col("text").alias("query"), F.col("items").alias("a")), "query").join(right.select(F.col("text").alias("term"), F.col("items").alias("b")), "term")
+    scored = whole.select("query", "term", F.round(2.0 * F.size(F.array_intersect("a", "b")) / (F.size("a") + F.size("b")), 6).alias("score")).where(F.col("score") >= floor)
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "term")).cast("long")).where(F.col("place") <= k)
 
 
