@@ -2,7 +2,9 @@
 
 Each preference pair says that a document of label 1 is better than one of label 0.  The model is a sum over
 features of a step function (quantile bins), learnt by the logistic loss on the difference of both documents.
-Null or empty text has finite features and so a score like any other; an empty table gives an empty result.
+Null or empty text has finite features and so a score like any other, as has a very long one; equal texts have equal
+scores, repeated rows a row each; a score at the cut is accepted.  Without labels of both kinds all texts have the
+score of the cut.  Further columns, of whatever name, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,9 +50,9 @@ class Ranker:
 
 
 def fit_pairs(x: np.ndarray, y: np.ndarray, max_pairs: int = MAX_PAIRS, bins: int = 10, l2: float = 1.0, seed: int = 7) -> Ranker:
-    """Newton steps on the mean logistic loss of drawn pairs. Without both labels all strengths are 0."""
+    """Newton steps on the mean logistic loss of drawn pairs. Without both labels all strengths are 0, as is the cut."""
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) if len(x) else np.zeros(0) for j in range(len(FEATURES))]
-    model = Ranker(cuts, np.zeros(sum(len(c) + 1 for c in cuts)), -np.log(CUT / (1 - CUT)))
+    model = Ranker(cuts, np.zeros(sum(len(c) + 1 for c in cuts)), 0.0)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return model
