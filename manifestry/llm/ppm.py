@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -41,7 +42,9 @@ END = b"\n"
 #: Stands before a text: a space, and before it nothing.
 START = b"\0" * (ORDER - 1) + b" "
 #: Bytes of text in one batch, in one piece of a long text, and in what a task works on at once.
-BATCH_BYTES, PIECE_BYTES, AT_ONCE = 24 << 20, 4 << 20, 2 << 20
+BATCH_BYTES, PIECE_BYTES, AT_ONCE = 16 << 20, 4 << 20, 1 << 19
+#: Words that a task remembers the counts of before it starts afresh.
+REMEMBERED = 100_000
 #: Most tries, and the least share of the training documents that a value needs to have its own.
 MOST_TRIES, LEAST_SHARE = 6, 0.01
 #: Keys of the model in one bucket, and keys asked by all the batches that meet with it in one group.
@@ -61,15 +64,23 @@ def _unpack(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), dtype=kind)
 
 
+def _pack_planes(array: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then their second ones, and so on, so that what they have in common packs well."""
+    width = array.dtype.itemsize
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(array).ravel().view(np.uint8).reshape(-1, width).T).tobytes(), 3)
+
+
+def _unpack_planes(data: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
+
+
 def _pack_sorted(keys: np.ndarray) -> bytes:
-    """By differences, the lowest bytes of all first, so that what they have in common packs well."""
-    steps = np.diff(keys, prepend=0).astype("<i8")
-    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
+    return _pack_planes(np.diff(keys, prepend=0).astype(np.int64))
 
 
 def _unpack_sorted(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(raw.T).view("<i8").ravel())
+    return np.cumsum(_unpack_planes(data, np.int64))
 
 
 # -- documents -> batches of distinct keys ----------------------------------------------------------------
@@ -101,14 +112,32 @@ def grams_of(pieces: list[tuple[bytes, bytes]]) -> np.ndarray:
     return code[place >= ORDER]
 
 
+def key_of(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) & (WORD - 1) | WORD
+
+
 class _Hashes(dict):
     """A word's key."""
 
     def __missing__(self, word: bytes) -> int:
-        key = self[word] = xxhash.xxh3_64_intdigest(word) & (WORD - 1) | WORD
+        key = self[word] = key_of(word)
         return key
 
 
+class _Values(dict):
+    """A word's value, looked up by its key among sorted ones, and remembered for a while."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        super().__init__()
+        self.keys_, self.values_ = keys, values
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) > REMEMBERED:
+            self.clear()
+        value = self[word] = float(self.values_[np.searchsorted(self.keys_, key_of(word))])
+        return value
+
+
 def words_of(spelled: bytes) -> list[bytes]:
     return [*spelled.split(), END] if spelled.endswith(END) else spelled.split()
 
@@ -154,11 +183,17 @@ class _Batch:
             keys, n = _runs(words)
             self.keys.append(keys)
             self.counts.append(n if trie >= 0 else np.zeros_like(n))
+        self.open, self.waiting = {}, 0
+        if sum(map(len, self.keys[1:])) > len(self.keys[0]):  # so that each key is put in order a few times at most
+            self.sum()
+
+    def sum(self) -> None:
         keys, counts = _summed(np.concatenate(self.keys), np.concatenate(self.counts))
-        self.keys, self.counts, self.open, self.waiting = [keys], [counts], {}, 0
+        self.keys, self.counts = [keys], [counts]
 
     def packed(self) -> tuple:
         self.count()
+        self.sum()
         uid, ids, held, before, spelled = zip(*self.rows)
         table = pa.RecordBatch.from_arrays([pa.array(uid), pa.array(ids, type=self.kind), pa.array(held), pa.array(before, type=pa.binary()), pa.array(spelled, type=pa.large_binary())], names=["uid", "doc_id", "held_out", "before", "spelled"])
         sink = pa.BufferOutputStream()
@@ -270,19 +305,19 @@ def _bucket_of(pdf: pd.DataFrame, tries: int) -> pd.DataFrame:
     keys = pdf["key"].to_numpy()
     values = pdf[[f"s{k}" for k in range(tries)]].to_numpy(dtype=np.float64)
     at = int(np.searchsorted(keys, WORD))
-    return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "keys": [_pack_sorted(keys)], "grams": [_pack(values[:at].astype(np.float32))], "words": [_pack(values[at:, 0])]})
+    return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "keys": [_pack_sorted(keys)], "grams": [_pack_planes(values[:at].astype(np.float32))], "words": [_pack_planes(values[at:, 0])]})
 
 
 def _answers(pdf: pd.DataFrame, tries: int) -> pd.DataFrame:
     """One bucket and the questions of some batches to it."""
     model, asked = pdf[pdf["batch"].isna()].iloc[0], pdf[pdf["batch"].notna()]
     keys = _unpack_sorted(model["keys"])
-    grams, words = _unpack(model["grams"], np.float32).reshape(-1, tries), _unpack(model["words"], np.float64)
+    grams, words = _unpack_planes(model["grams"], np.float32).reshape(-1, tries), _unpack_planes(model["words"], np.float64)
     out = []
     for batch, own in zip(asked["batch"], asked["keys"]):
         at = np.searchsorted(keys, _unpack_sorted(own))
         cut = int(np.searchsorted(at, len(grams)))
-        out.append((batch, model["bucket"], _pack(grams[at[:cut]]), _pack(words[at[cut:] - len(grams)])))
+        out.append((batch, model["bucket"], _pack_planes(grams[at[:cut]]), _pack_planes(words[at[cut:] - len(grams)])))
     return pd.DataFrame(out, columns=["batch", "bucket", "grams", "words"])
 
 
@@ -292,29 +327,23 @@ def _score_batch(pdf: pd.DataFrame, buckets: int, tries: int) -> pd.DataFrame:
     answers = pdf[pdf["docs"].isna()].sort_values("bucket")
     keys, _ = _asked(_unpack_sorted(own["keys"]), buckets)
     is_word = keys >= WORD
-    grams, logs = keys[~is_word], np.concatenate([_unpack(x, np.float32) for x in answers["grams"]]).reshape(-1, tries)
+    grams, logs = keys[~is_word], np.concatenate([_unpack_planes(x, np.float32) for x in answers["grams"]]).reshape(-1, tries)
     order = np.argsort(grams)
     grams, logs = grams[order], logs[order]
-    value = dict(zip(keys[is_word].tolist(), np.concatenate([_unpack(x, np.float64) for x in answers["words"]]).tolist()))
-    hashed, out = _Hashes(), []
-    docs = pa.ipc.open_stream(own["docs"]).read_all().to_pydict()
-    pieces = list(zip(docs["before"], docs["spelled"]))
-    start = 0
-    while start < len(pieces):
-        end, size = start, 0
-        while end < len(pieces) and size < AT_ONCE:
-            size += len(pieces[end][1])
-            end += 1
-        some = pieces[start:end]
-        at = np.searchsorted(grams, grams_of(some))
-        lengths = np.fromiter((len(s) for _, s in some), dtype=np.int64, count=len(some))
-        sums = np.column_stack([np.add.reduceat(logs[at, k], np.cumsum(lengths) - lengths, dtype=np.float64) for k in range(tries)])
+    order = np.argsort(keys[is_word])
+    value = _Values(keys[is_word][order], np.concatenate([_unpack_planes(x, np.float64) for x in answers["words"]])[order])
+    docs, out = pa.ipc.open_stream(own["docs"]).read_all(), []
+    lengths = pc.binary_length(docs["spelled"]).to_numpy()
+    starts = np.unique(np.searchsorted(np.cumsum(lengths), np.arange(0, lengths.sum() + AT_ONCE, AT_ONCE), side="right"))
+    for start, end in zip(starts[:-1], starts[1:]):
+        some = list(zip(docs["before"][start:end].to_pylist(), docs["spelled"][start:end].to_pylist()))
+        at, here = np.searchsorted(grams, grams_of(some)), lengths[start:end]
+        sums = np.column_stack([np.add.reduceat(logs[at, k], np.cumsum(here) - here, dtype=np.float64) for k in range(tries)])
         for (_, spelled), total in zip(some, sums.tolist()):
-            known = [value[hashed[word]] for word in words_of(spelled)]
+            known = [value[word] for word in words_of(spelled)]
             out.append((len(known), sum(v > 0 for v in known), sum(known), *total))
-        start = end
     return pd.DataFrame({
-        "uid": docs["uid"], "doc_id": pd.Series(docs["doc_id"], dtype=object), "held_out": docs["held_out"],
+        "uid": docs["uid"].to_pylist(), "doc_id": pd.Series(docs["doc_id"].to_pylist(), dtype=object), "held_out": docs["held_out"].to_pylist(),
         **{name: [r[i] for r in out] for i, name in enumerate(("n_tokens", "n_known", "counted", *(f"s{k}" for k in range(tries))))},
     })
 
