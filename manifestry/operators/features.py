@@ -45,6 +45,41 @@ def core(shipments: DataFrame) -> DataFrame:
     )
 
 
+#: Order of the vector; what follows from rules comes first, so that a model without it is a cut of the columns.
+VECTOR = (
+    "critical_count", "warning_count", "info_count", "violation_weight_sum", "skipped_ratio", "evaluated_count", "field_missing_ratio",
+    "critical_field_missing_count", "low_confidence_ratio", "mean_confidence", "anchor_derived_ratio", "days_to_shipment_deadline", "days_to_expiry", "lc_condition_count",
+)
+CRITICAL_FIELDS = ("bl_no", "consignee", "port_of_loading", "port_of_discharge", "date_of_issue")
+LOW_CONFIDENCE = 0.80
+CONDITIONS = (
+    "port_of_loading", "port_of_discharge", "consignee", "notify_party", "description_of_goods", "latest_shipment_date", "expiry_date", "incoterms",
+    "max_gross_weight_kg", "max_measurement_cbm", "freight_amount", "bl_consignment", "documents",
+)
+
+
+def vector(shipments: DataFrame, confidence: Column, provenance: Column) -> DataFrame:
+    """The 14 features of a shipment, all doubles and never null, within the row.
+
+    ``confidence`` and ``provenance`` are maps by field: without them nothing is uncertain.  No deadline is 999 days.
+    """
+    ratio = lambda a, b: F.when(b > 0, F.round(a / b, 4)).otherwise(F.lit(0.0))
+    empty = lambda names: sum((F.col(f).isNull().cast("int") for f in names), F.lit(0))
+    sure, origin = F.coalesce(F.map_values(confidence), F.array().cast("array<double>")), F.coalesce(F.map_values(provenance), F.array().cast("array<string>"))
+    days = lambda c: F.coalesce(F.datediff(c, "as_of").cast("double"), F.lit(NO_DEADLINE))
+    rows = shipments.select(
+        "*", F.round(empty(BL_FIELDS) / len(BL_FIELDS), 4).alias("v7"), empty(CRITICAL_FIELDS).cast("double").alias("v8"), F.round(F.size(F.filter(sure, lambda c: c < LOW_CONFIDENCE)) / len(BL_FIELDS), 4).alias("v9"),
+        F.when(F.size(sure) > 0, F.round(F.aggregate(sure, F.lit(0.0), lambda a, c: a + c) / F.size(sure), 4)).otherwise(F.lit(1.0)).alias("v10"),
+        ratio(F.size(F.filter(origin, lambda o: o == "anchor")), F.size(origin)).alias("v11"), days("day_lc_latest_shipment_date").alias("v12"), days("day_lc_expiry_date").alias("v13"),
+        sum((F.col("lc_" + c).isNotNull().cast("int") for c in CONDITIONS), F.lit(0)).cast("double").alias("v14"),
+    )
+    bad = lambda severity: verdict.number(lambda r: verdict.is_bad(r) & (r["severity"] == severity)).cast("double")
+    skipped = verdict.number(lambda r: r["status"] == NOT_EVALUATED)
+    evaluated = verdict.number(lambda r: r["status"].isin(PASS, VIOLATED))
+    made = [bad("critical"), bad("warning"), bad("info"), F.round(verdict.weight(verdict.is_bad), 4), ratio(skipped, evaluated + skipped), evaluated.cast("double"), *(F.col(f"v{i}") for i in range(7, 15))]
+    return verdict.judged(rows, RULES, *(f"v{i}" for i in range(7, 15))).select("shipment_id", *(c.alias(n) for c, n in zip(made, VECTOR)))
+
+
 def consistency(shipments: DataFrame) -> DataFrame:
     """Edit distances and deviations between documents."""
     pairs = [("consignee", "inv_buyer"), ("shipper", "inv_seller"), ("description_of_goods", "inv_description_of_goods")]
