@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import layout
+from ..operators import anchors, layout
 from .term_queries import table
 
 WIDTH, HEIGHT = 1654, 2340
@@ -23,21 +23,61 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
 TOKENS = f"k AS (SELECT l_orderkey AS document_id, l_linenumber AS idx, 'W' || CAST(l_partkey AS VARCHAR) AS text, l_partkey * 37 % {WIDTH - 60} AS x_min, l_partkey * 37 % {WIDTH - 60} + 30.0 AS x, l_suppkey * 61 % 30 * 75 + l_linenumber * 9 + 10.0 AS y FROM lineitem)"
 
 
+#: A form: text and x, y of boxes 20 high and 10 a letter wide; the number stands for the order's key.
+FORM = [
+    ("Consignee", 0, 0), ("DHHJ", 200, 2), ("CO.", 260, 0), ("Notify Party:", 400, 0), ("SAME AS CONSIGNEE", 600, 0), ("B/L No.", 0, 100), ("BL#", 10, 130), ("Booking", 0, 160),
+    ("Port of Loading", 0, 200), ("BUSAN", 20, 230), ("Port of Discharge", 0, 260), ("Date of Issue", 0, 300), ("13-14-2024", 200, 300), ("12 AUG 2026", 400, 300), ("Total Measurement 9", 0, 400), ("Measurement", 300, 400), ("12 CBM", 500, 400),
+]
+FOUND = {"consignee": "DHHJ CO.", "notify_party": "SAME AS CONSIGNEE", "bl_no": "BL#", "port_of_loading": "BUSAN", "port_of_discharge": None, "measurement": "12 CBM", "vessel": None}
+
+
+def form(spark: SparkSession, d: str) -> DataFrame:
+    box = lambda t, x, y: F.struct(F.lit(t).alias("text"), F.lit(x).alias("x_min"), F.lit(y).alias("y_min"), F.lit(x + 10 * len(t)).alias("x_max"), F.lit(y + 20).alias("y_max"))
+    every = table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), F.posexplode(F.array(*(box(*b) for b in FORM))).alias("idx", "b")).select("document_id", "idx", "b.*")
+    return anchors.pages(every.withColumn("text", F.when(F.col("text") == "BL#", F.concat("text", F.col("document_id").cast("string"))).otherwise(F.col("text"))))
+
+
+def anchored(spark: SparkSession, d: str) -> DataFrame:
+    stops, boxes = anchors.stop_labels(), F.col("boxes")
+    of = lambda f: anchors.found(boxes, anchors.LABELS[f], stops)
+    dates = (anchors.date_found(boxes, anchors.LABELS[f], stops).alias(f) for f in ("date_of_issue", "on_board_date"))
+    return form(spark, d).select("document_id", *(of(f).alias(f) for f in FOUND), *dates)
+
+
+def ways(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    region, anchor = F.when(k.isin(0, 1), "R").otherwise(" "), F.when(k.isin(0, 2), "A")
+    both = lambda first: anchors.region_or_anchor(region, anchor, F.lit(0.8), first)
+    dates = anchors.dates_of_regions(F.when(k == 0, "ISSUED 01/02/2024 AND 2024-03-04").when(k == 1, "NONE").otherwise("60-55-2708 5 MAY 2024"), F.when(k < 3, "ON BOARD AUG 1, 2023").otherwise(""))
+    return table(spark, d, "orders").select("o_orderkey", both(False).alias("a"), both(True)["value"].alias("anchor_first"), dates.alias("d")).select("o_orderkey", "a.value", F.round("a.confidence", 6).alias("confidence"), "a.method", "anchor_first", "d.*")
+
+
 def queries() -> dict:
     return {
+        "anchor_fields": anchored,
+        "anchor_or_region": ways,
         "region_points": lambda spark, d: tokens(spark, d).select("document_id", "idx", F.explode(layout.regions_of((F.col("x_min") + F.col("x_max")) / 2, (F.col("y_min") + F.col("y_max")) / 2, F.col("width"), F.col("height"))).alias("region")),
         "region_texts": lambda spark, d: layout.region_texts(tokens(spark, d)),
         "document_kind": lambda spark, d: table(spark, d, "documents").select("doc_id", layout.document_kind(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Sea-Waybill / PACKING LIST\n"), "text")).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("Commercial Invoice\n"), "text")).otherwise(F.col("text"))).alias("kind")),
     }
 
 
+def _anchor_sql() -> dict[str, str]:
+    text = lambda v: "CAST(NULL AS VARCHAR)" if v is None else f"'{v}'"
+    fields = ", ".join(f"{'replace(' + text(v) + ', ' + chr(39) + 'BL#' + chr(39) + ', ' + chr(39) + 'BL#' + chr(39) + ' || o_orderkey)' if f == 'bl_no' else text(v)} AS {f}" for f, v in FOUND.items())
+    return {
+        "anchor_fields": f"SELECT o_orderkey AS document_id, {fields}, '12 AUG 2026' AS date_of_issue, '12 AUG 2026' AS on_board_date FROM orders",
+        "anchor_or_region": "SELECT o_orderkey, value, CAST(confidence AS DOUBLE) AS confidence, method, anchor_first, date_of_issue, on_board_date FROM orders JOIN (VALUES (0, 'R', 0.8, 'region', 'A', '2024-03-04', 'AUG 1, 2023'), (1, 'R', 0.8, 'region', 'R', 'AUG 1, 2023', NULL), (2, 'A', 0.68, 'anchor', 'A', '5 MAY 2024', 'AUG 1, 2023'), (3, NULL, 0.8, 'region', NULL, '5 MAY 2024', NULL)) AS c(k, value, confidence, method, anchor_first, date_of_issue, on_board_date) ON o_orderkey % 4 = k",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     boxes = ", ".join(f"('{n}', {a}, {b}, {c}, {e})" for n, (a, b, c, e) in layout.REGIONS.items())
     placed = f"{TOKENS}, b(region, x1, x2, y1, y2) AS (VALUES {boxes}), p AS (SELECT k.*, region FROM k JOIN b ON x BETWEEN x1 * {WIDTH} AND x2 * {WIDTH} AND y BETWEEN y1 * {HEIGHT} AND y2 * {HEIGHT})"
     lines = "i0 AS (SELECT *, lag(y) OVER w AS before FROM p WINDOW w AS (PARTITION BY document_id, region ORDER BY y, x_min)), i AS (SELECT *, sum(CASE WHEN y - before <= 15 THEN 0 ELSE 1 END) OVER (PARTITION BY document_id, region ORDER BY y, x_min) AS line FROM i0)"
     head = "regexp_replace(upper(array_to_string((string_split(CASE doc_id % 4 WHEN 0 THEN 'Sea-Waybill / PACKING LIST' || chr(10) || text WHEN 1 THEN 'Commercial Invoice' || chr(10) || text ELSE text END, chr(10)))[1:12], chr(10))), '[^A-Z0-9가-힣 ]', ' ', 'g')"
     ordered = sorted(((k, t) for k, ts in layout.TITLES.items() for t in ts), key=lambda p: -len(p[1]))
-    return {
+    return _anchor_sql() | {
         "region_points": f"WITH {placed} SELECT document_id, idx, region FROM p",
         "region_texts": f"WITH {placed}, {lines}, t AS (SELECT document_id, region, line, string_agg(text, ' ' ORDER BY x_min, idx) AS text FROM i GROUP BY ALL) SELECT document_id, region, string_agg(text, chr(10) ORDER BY line) AS text FROM t GROUP BY ALL",
         "document_kind": f"SELECT doc_id, CASE {' '.join(f'''WHEN contains(h, '{t}') THEN '{k}' ''' for k, t in ordered)} ELSE 'unknown' END AS kind FROM (SELECT doc_id, {head} AS h FROM documents)",
