@@ -42,7 +42,7 @@ END = b"\n"
 #: Stands before a text: a space, and before it nothing.
 START = b"\0" * (ORDER - 1) + b" "
 #: Bytes of text in one batch, in one piece of a long text, and in what a task works on at once.
-BATCH_BYTES, PIECE_BYTES, AT_ONCE = 16 << 20, 4 << 20, 1 << 19
+BATCH_BYTES, PIECE_BYTES, AT_ONCE = 32 << 20, 4 << 20, 1 << 19
 #: Words that a task remembers the counts of before it starts afresh.
 REMEMBERED = 100_000
 #: Most tries, and the least share of the training documents that a value needs to have its own.
@@ -251,7 +251,7 @@ def log_probabilities(grams: DataFrame, tries: int) -> DataFrame:
 
     def in_context(df: DataFrame, more: list[Column]) -> DataFrame:
         """With t and d of the context, and further sums over it."""
-        over = Window.partitionBy(F.shiftright("gram", 8))
+        over = Window.partitionBy(*(["mid"] if "mid" in df.columns else []), F.shiftright("gram", 8))
         return df.select("*", *(F.sum(f"n{k}").over(over).alias(f"t{k}") for k in range(tries)), *(F.sum((n(k) > 0).cast("bigint")).over(over).alias(f"d{k}") for k in range(tries)), *(F.sum(c).over(over).alias(name) for c, name in more))
 
     # the empty context, of at most 256 symbols; all others are alike
@@ -260,9 +260,14 @@ def log_probabilities(grams: DataFrame, tries: int) -> DataFrame:
     now = now.select("*", *per(lambda k: (F.when(t(k) == 0, w(k)).when(n(k) > 0, F.log10((n(k) - 0.5) / t(k))).otherwise(F.log10(d(k) / 2 / t(k)) + w(k)).alias(f"s{k}"),)))
     for order in range(1, ORDER + 1):
         below = now.select(F.col("gram").alias("below"), *per(lambda k: (F.col(f"{x}{k}").alias(f"b{x}{k}") for x in "ntdsw")))
+        own = F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1))
         if order <= 2:  # at most 256 and 65,536 rows
-            below = F.broadcast(below)
-        joined = summed(order).join(below, F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)) == F.col("below"))
+            joined = summed(order).join(F.broadcast(below), own == F.col("below"))
+        else:
+            # dealt by what the gram's context and the shorter gram's have in common, of which at most 256 of these
+            # hang, so that the window over the context finds its rows together and they are not dealt again
+            mid = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))
+            joined = summed(order).withColumn("mid", mid).join(below.withColumn("below_mid", F.shiftright("below", 8)), (F.col("mid") == F.col("below_mid")) & (own.bitwiseXOR(F.col("below")) < 1))
         now = in_context(joined, [(F.when(n(k) > 0, F.col(f"bn{k}")).otherwise(0), f"off{k}") for k in range(tries)])
 
         def escaped(k: int) -> Column:
