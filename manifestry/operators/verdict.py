@@ -39,7 +39,9 @@ def judged(shipments: DataFrame, rules: tuple[Rule, ...] = RULES, *more: str) ->
             F.when(broken, F.lit(FORMAT_ERROR_WEIGHT)).otherwise(r["weight"]).alias("weight"), r["detail"].alias("detail"),
         )
 
-    return shipments.select("shipment_id", F.transform(F.array(*rows), settled).alias("outcomes"), *more)
+    # read twice, so that the checks keep a projection of their own, whose code is generated, and are not drawn into the lambda
+    raw = shipments.select("shipment_id", F.array(*rows).alias("raw"), *more)
+    return raw.select("shipment_id", F.when(F.size("raw") > 0, F.transform("raw", settled)).alias("outcomes"), *more)
 
 
 def facts(shipments: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
