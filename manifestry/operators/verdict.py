@@ -17,11 +17,8 @@ HELD = "held"
 HOLD_SHARE = 0.20
 
 
-def judged(shipments: DataFrame, rules: tuple[Rule, ...] = RULES, *more: str) -> DataFrame:
-    """(shipment_id, outcomes, further columns): an array with (rule_id, status, severity, weight, detail) of each rule.
-
-    Held comes before any check of the rule's fields; a format error counts as violated, as a warning of fixed weight.
-    """
+def _evaluated(rules: tuple[Rule, ...]) -> Column:
+    """Array of (rule_id, raw, detail, severity, weight): held comes before any check of the rule's fields."""
     held = F.split("held", ",")
     rows = []
     for r in rules:
@@ -31,22 +28,27 @@ def judged(shipments: DataFrame, rules: tuple[Rule, ...] = RULES, *more: str) ->
             F.lit(r.id).alias("rule_id"), F.when(is_held, HELD).otherwise(got["status"]).alias("raw"), F.when(~is_held, got["detail"]).alias("detail"),
             F.lit(r.severity).alias("severity"), F.lit(r.weight).alias("weight"),
         ))
+    return F.array(*rows)
+
+
+def _settled(r: Column) -> Column:
+    """A format error counts as violated, as a warning of fixed weight."""
+    broken = r["raw"] == checks.FORMAT_ERROR
+    return F.struct(
+        r["rule_id"].alias("rule_id"), F.when(broken, checks.VIOLATED).otherwise(r["raw"]).alias("status"), F.when(broken, "warning").otherwise(r["severity"]).alias("severity"),
+        F.when(broken, F.lit(FORMAT_ERROR_WEIGHT)).otherwise(r["weight"]).alias("weight"), r["detail"].alias("detail"),
+    )
 
-    def settled(r: Column) -> Column:
-        broken = r["raw"] == checks.FORMAT_ERROR
-        return F.struct(
-            r["rule_id"].alias("rule_id"), F.when(broken, checks.VIOLATED).otherwise(r["raw"]).alias("status"), F.when(broken, "warning").otherwise(r["severity"]).alias("severity"),
-            F.when(broken, F.lit(FORMAT_ERROR_WEIGHT)).otherwise(r["weight"]).alias("weight"), r["detail"].alias("detail"),
-        )
 
-    # read twice, so that the checks keep a projection of their own, whose code is generated, and are not drawn into the lambda
-    raw = shipments.select("shipment_id", F.array(*rows).alias("raw"), *more)
-    return raw.select("shipment_id", F.when(F.size("raw") > 0, F.transform("raw", settled)).alias("outcomes"), *more)
+def judged(shipments: DataFrame, rules: tuple[Rule, ...] = RULES, *more: str) -> DataFrame:
+    """(shipment_id, outcomes, further columns): an array with (rule_id, status, severity, weight, detail) of each rule."""
+    return shipments.select("shipment_id", F.transform(_evaluated(rules), _settled).alias("outcomes"), *more)
 
 
 def facts(shipments: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(shipment_id, rule_id, status, severity, weight, detail), a row for each shipment and rule."""
-    return judged(shipments, rules).select("shipment_id", F.explode("outcomes").alias("r")).select("shipment_id", "r.*")
+    wide = shipments.select("shipment_id", F.explode(_evaluated(rules)).alias("r"))
+    return wide.select("shipment_id", _settled(F.col("r")).alias("r")).select("shipment_id", "r.*")
 
 
 def is_bad(r: Column) -> Column:
