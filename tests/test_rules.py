@@ -90,3 +90,14 @@ def test_overlaps(spark, cases):
 
     got = terms.resolve_overlaps(spark.createDataFrame([(1, a, b) for a, b in cases], "group bigint, start bigint, end bigint")).collect()
     assert {(r.start, r.end) for r in got} == {(0, 10), (12, 20)}
+
+
+def test_what_is_asked_of_a_shipment_needs_no_exchange(spark):
+    from manifestry.operators import features, outcomes
+
+    rows = frame(spark, {}, {"bl_no": None})
+    judged = verdict.judged(rows)
+    for df in (verdict.row_scores(judged), verdict.ordered_violations(judged), outcomes.passed_rules(judged), outcomes.summary(judged), features.rule_pivot(judged), features.core(rows)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    by_row = {r.shipment_id: r for r in verdict.row_scores(judged).collect()}
+    assert by_row == {r.shipment_id: r for r in verdict.scores(verdict.facts(rows)).collect()}
