@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_crf, langid, media, mixing, pairwise, ppm, pseudonym, quality_rules, simhash
+from . import audit, bpe, centroids, html_crf, langid, media, minhash, mixing, pairwise, ppm, pseudonym, quality_rules, simhash
 from .common import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -74,6 +74,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.sort_means(read(spark, sf_dir, "embeddings"))
+
+
+def op12_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edits(read(spark, sf_dir, "documents"))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,10 +93,43 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_quality_rules, op2_simhash_dedup, op3_byte_bpe, op4_media_columns, op5_quality_classifier, op6_html_extraction, op7_source_mixing, op8_pii_pseudonyms, op9_language_id, op10_lm_scoring, pipeline)
+    ops = (op1_quality_rules, op2_simhash_dedup, op3_byte_bpe, op4_media_columns, op5_quality_classifier, op6_html_extraction, op7_source_mixing, op8_pii_pseudonyms, op9_language_id, op10_lm_scoring, op11_centroid_clusters, op12_minhash_fingerprints, op13_filter_interactions, pipeline)
     return {f.__name__: f for f in ops}
 
 
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), first AS (SELECT t, min(doc_id) AS first_id FROM docs GROUP BY t
+), marked AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), failing AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+     regexp_matches(t, '[#$%&*|]'), coalesce(docs.doc_id > first_id, false)] AS f
+  FROM docs JOIN first USING (t) LEFT JOIN marked ON marked.doc_id = docs.doc_id
+), kinds AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic, len(list_filter(f, lambda x: x)) AS fails FROM failing GROUP BY part, f
+), letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c
+), orders AS (
+  SELECT a.c || b.c || d.c || e.c || g.c AS filter_order FROM letter a, letter b, letter d, letter e, letter g
+  WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5
+), steps AS (SELECT filter_order, step, filter_order[step] AS letter, ascii(filter_order[step]) - 64 AS k FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), asked AS (
+  SELECT kinds.*, steps.*, f[k] AS fails_here, len(list_filter([1, 2, 3, 4, 5], lambda i: i < step AND f[ascii(filter_order[i]) - 64])) > 0 AS gone FROM kinds, steps
+), counted AS (
+  SELECT part, filter_order, step, letter, sum(n) FILTER (NOT fails_here AND NOT gone) AS kept, sum(n) FILTER (fails_here AND NOT gone) AS removed,
+    sum(n) FILTER (fails_here AND gone) AS redundant, sum(n) FILTER (fails_here AND fails = 1) AS unique_fails,
+    sum(good) FILTER (fails_here AND NOT gone) AS good_lost, sum(toxic) FILTER (fails_here AND NOT gone) AS toxic_lost
+  FROM asked GROUP BY part, filter_order, step, letter
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None of them: models, keyed networks, XXH64 and BPE have no SQL form; tests hold them against brute force."""
-    return {}
+    """The audit alone: models, keyed networks, XXH64 and BPE have no SQL form, nor has clustering whose start follows
+    from digests of ids in rounds; tests hold these against brute force."""
+    return {"op13_filter_interactions": OP13_SQL}
