@@ -41,4 +41,5 @@ def test_stages(spark, tmp_path):
 
 
 def test_registered():
-    assert sorted(queries.queries()) == sorted([*(f"op{i}_{n}" for i, n in enumerate("quality_rules simhash_dedup byte_bpe media_columns quality_classifier html_extraction source_mixing pii_pseudonyms language_id lm_scoring".split(), 1)), "pipeline"])
+    names = "quality_rules simhash_dedup byte_bpe media_columns quality_classifier html_extraction source_mixing pii_pseudonyms language_id lm_scoring centroid_clusters minhash_fingerprints filter_interactions"
+    assert sorted(queries.queries()) == sorted([*(f"op{i}_{n}" for i, n in enumerate(names.split(), 1)), "pipeline"])
