@@ -172,7 +172,8 @@ def compatible(c: Column) -> Column:
     as keys keep them; letters and marks that stand apart are put together to one that keys drop.  Only texts that
     hold such a character are taken apart; all others cost one test of a pattern."""
     some, forms = _compatible()
-    table = F.create_map(*(F.lit(x) for pair in forms.items() for x in pair))
+    # one literal for the whole table, so that a plan stays small however often a key is made
+    table = F.str_to_map(F.lit("\x01".join(f"{ch}\x02{form}" for ch, form in forms.items())), F.lit("\x01"), F.lit("\x02"))
     spelled = F.array_join(F.transform(F.split(c, ""), lambda ch: F.when(ch.rlike(some), F.element_at(table, ch)).otherwise(ch)), "")
     return F.regexp_replace(F.when(c.rlike(some), spelled).otherwise(c), r"[A-Za-z][\u0300-\u036F]+", "\u00C0")
 

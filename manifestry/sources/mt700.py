@@ -15,7 +15,7 @@ def tags(message: Column) -> Column:
 
     def paired(text: Column) -> Column:
         # the text between two tags is cut once; each piece begins with its own tag
-        return F.transform(F.slice(F.split(text, r"(?m)^\s*(?=:[0-9]{2}[A-Z]?:)"), 1, 1000), lambda p: F.struct(F.regexp_extract(p, "^:([0-9]{2}[A-Z]?):", 1).alias("tag"), F.regexp_replace(p, r"^:[0-9]{2}[A-Z]?:\s*|\s+$", "").alias("value")))
+        return F.transform(F.split(text, r"(?m)^\s*(?=:[0-9]{2}[A-Z]?:)"), lambda p: F.struct(F.regexp_extract(p, "^:([0-9]{2}[A-Z]?):", 1).alias("tag"), F.regexp_replace(p, r"^:[0-9]{2}[A-Z]?:\s*|\s+$", "").alias("value")))
 
     def first(pairs: Column) -> Column:
         return s.bound(F.transform(pairs, lambda p: p["tag"]), lambda heads: F.filter(pairs, lambda p, i: (p["tag"] != "") & (F.array_position(heads, p["tag"]) == i + 1)))
