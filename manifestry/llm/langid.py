@@ -212,21 +212,23 @@ def decide(identifier: Identifier, entropies: np.ndarray) -> tuple[list[str], np
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, max_total: int = MAX_TOTAL) -> Identifier:
     """Models from rows outside fold 0 of 5 that have a language.
 
-    Of each language about ``max_rows`` are taken, by a hash of the id below a share of its range, all if there
-    are fewer; of a longer text than ``max_chars`` the characters before that are learnt from.  These, and a
+    Of each language about ``max_rows`` are taken, by a hash of id and text below a share of its range, all if there
+    are fewer; rows equal in both count once, rows that only share an id each for itself. Of a longer text than ``max_chars`` the characters before that are learnt from.  These, and a
     row for each language, are what reaches the driver: about ``max_total`` characters, unless the languages are
     so many that LEAST_ROWS of LEAST_CHARS each are more.  Every language with a letter in a training row is learnt.
     """
     train = docs.where(~is_fold("doc_id", 5, 0) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    hashed = F.xxhash64(F.lit("langid"), "doc_id", "text")
+    sizes = {r.lang: r.n for r in train.select("lang", hashed.alias("hash")).distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not sizes:
         return Identifier([], [])
     max_rows = int(max(min(max_rows, max_total / len(sizes) / max_chars), min(max_rows, LEAST_ROWS)))
     max_chars = int(max(min(max_chars, max_total / len(sizes) / max_rows), min(max_chars, LEAST_CHARS)))
-    place = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "doc_id"), 11) / float(1 << 53)
+    place = F.shiftrightunsigned(hashed, 11) / float(1 << 53)
     # each language's share of the range stands in the filter itself, so texts are neither joined nor shuffled
     cut = F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_rows / n)))), F.col("lang"))
-    rows = train.where(place < cut).select("lang", F.substring("text", 1, max_chars).alias("text"), place.alias("place"), "doc_id").collect()
+    some = train.where(place < cut).select("lang", F.substring("text", 1, max_chars).alias("text"), place.alias("place"), "doc_id")
+    rows = some.dropDuplicates(["lang", "place", "doc_id"]).collect()
     texts: dict = {}
     for r in sorted(rows, key=lambda r: (r.place, r.doc_id, r.text)):
         texts.setdefault(r.lang, []).append(r.text)

@@ -160,10 +160,11 @@ def tracks(media: bytes) -> list[Track]:
             fragments[-1][1].append([])
         elif b"traf" in path and fragments and fragments[-1][1]:
             fragments[-1][1][-1].append((kind, (a, b)))
+    runs = _runs(media, fragments, defaults)
     out = []
     for boxes in found:
         try:
-            out.append(_track(media, boxes, fragments, defaults))
+            out.append(_track(media, boxes, runs))
         except _Damaged:
             continue
     return [t for t in out if t is not None]
@@ -176,24 +177,22 @@ def _number(media: bytes, at: tuple[int, int], place: int) -> int | None:
         return None
 
 
-def _track(media: bytes, boxes: dict, fragments: list, defaults: dict) -> Track | None:
-    if not {b"mdhd", b"stsd", b"stsc", b"stsz"} <= boxes.keys() or not boxes.keys() & {b"stco", b"co64"}:
+def _track(media: bytes, boxes: dict, runs: dict) -> Track | None:
+    if not {b"mdhd", b"stsd", b"stsc"} <= boxes.keys() or not boxes.keys() & {b"stsz", b"stz2"} or not boxes.keys() & {b"stco", b"co64"}:
         return None
     of = {k: _Box(media, v) for k, v in boxes.items()}
     head = of[b"mdhd"]
     timescale, duration = (head.number(20), head.number(24, ">Q")) if head.version == 1 else (head.number(12), head.number(16))
     codec = bytes(of[b"stsd"].array(12, 4, ">u1").astype(np.uint8)).decode("latin-1")
-    same, n = of[b"stsz"].number(4), of[b"stsz"].number(8)
-    if same and n * same > len(media):
-        raise _Damaged
-    sizes = np.full(n, same, dtype=np.int64) if same else of[b"stsz"].array(12, n)
+    sizes = _sizes(media, of)
+    n = len(sizes)
     chunks = of[b"co64"] if b"co64" in of else of[b"stco"]
     chunk_at = chunks.array(8, chunks.number(4), ">u8" if b"co64" in of else ">u4")
-    runs = of[b"stsc"].array(8, 3 * of[b"stsc"].number(4)).reshape(-1, 3)
-    chunks_of = np.diff(np.append(runs[:, 0], len(chunk_at) + 1))
-    if len(runs) and (runs[0, 0] != 1 or (chunks_of < 0).any() or (runs[:, 1] * chunks_of).sum() < n) or not len(runs) and n:
+    filled = of[b"stsc"].array(8, 3 * of[b"stsc"].number(4)).reshape(-1, 3)
+    chunks_of = np.diff(np.append(filled[:, 0], len(chunk_at) + 1))
+    if len(filled) and (filled[0, 0] != 1 or (chunks_of < 0).any() or (filled[:, 1] * chunks_of).sum() < n) or not len(filled) and n:
         raise _Damaged
-    per_chunk = np.minimum(np.repeat(runs[:, 1], chunks_of), n)
+    per_chunk = np.minimum(np.repeat(filled[:, 1], chunks_of), n)
     first = np.minimum(np.cumsum(per_chunk) - per_chunk, n)
     chunk = np.repeat(np.arange(len(per_chunk)), np.minimum(per_chunk, n - first))
     before = np.append(np.cumsum(sizes) - sizes, sizes.sum())
@@ -204,46 +203,98 @@ def _track(media: bytes, boxes: dict, fragments: list, defaults: dict) -> Track
     name = None
     if b"tkhd" in of:
         name = of[b"tkhd"].number(20 if of[b"tkhd"].version == 1 else 12)
-    more = [_fragment(media, start, boxes, defaults.get(name)) for start, pieces in fragments for boxes in pieces if name is not None and _owner(media, boxes) == name]
-    for o, s, k in more:
-        keys = np.concatenate([keys, k + len(offsets)])
-        offsets, sizes = np.concatenate([offsets, o]), np.concatenate([sizes, s])
+    for run in runs.get(name, ()) if name is not None else ():
+        if run is None:
+            raise _Damaged
+        keys = np.concatenate([keys, run.keys + len(offsets)])
+        offsets, sizes = np.concatenate([offsets, run.offsets]), np.concatenate([sizes, run.sizes])
+        duration += run.duration
     if len(offsets) and (offsets.min() < 0 or sizes.sum() > len(media) or (offsets > len(media) - sizes).any()):
         raise _Damaged
     return Track(codec, timescale, duration, offsets, sizes, keys)
 
 
-def _owner(media: bytes, boxes: list) -> int | None:
-    return next((_number(media, at, 4) for kind, at in boxes if kind == b"tfhd"), None)
+def _sizes(media: bytes, of: dict[bytes, _Box]) -> np.ndarray:
+    """Each sample's size: one for all, a table of four bytes each (``stsz``), or a compact one of 4, 8 or 16 bits (``stz2``)."""
+    if b"stsz" in of:
+        same, n = of[b"stsz"].number(4), of[b"stsz"].number(8)
+        if same and n * same > len(media):
+            raise _Damaged
+        return np.full(n, same, dtype=np.int64) if same else of[b"stsz"].array(12, n)
+    bits, n = of[b"stz2"].number(4) & 0xFF, of[b"stz2"].number(8)
+    if bits == 4:
+        pairs = of[b"stz2"].array(12, -(-n // 2), ">u1")
+        return np.column_stack([pairs >> 4, pairs & 15]).reshape(-1)[:n]
+    if bits not in (8, 16):
+        raise _Damaged
+    return of[b"stz2"].array(12, n, f">u{bits // 8}")
 
 
-def _fragment(media: bytes, start: int, boxes: list, default: tuple[int, int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets and sizes of the samples of one ``traf``, and which are keyframes (not marked as depending on others).
+@dataclass(frozen=True)
+class Run:
+    """The samples of one ``traf``."""
 
-    Places count from the base that ``tfhd`` states or else from the ``moof``; a run without one goes on where the
-    one before ended.  Sizes and flags not in the run are those of ``tfhd``, or else of ``trex``.
+    offsets: np.ndarray
+    sizes: np.ndarray
+    keys: np.ndarray
+    duration: int
+    end: int  # where its data ends
+
+
+def _runs(media: bytes, fragments: list, defaults: dict) -> dict[int, list[Run | None]]:
+    """By track the samples of its fragments in order; None stands for a damaged one.
+
+    Places count from what ``tfhd`` states; or else from the ``moof``, if it says so or is the first of its moof; or
+    else from where the data of the ``traf`` before it ends, whichever track that belongs to.
+    """
+    out: dict = {}
+    for start, pieces in fragments:
+        end: int | None = start
+        for boxes in pieces:
+            owner = next((_number(media, at, 4) for kind, at in boxes if kind == b"tfhd"), None)
+            try:
+                run = _run(media, start, end, boxes, defaults.get(owner))
+                end = run.end
+            except _Damaged:
+                run, end = None, None
+            if owner is not None:
+                out.setdefault(owner, []).append(run)
+    return out
+
+
+def _run(media: bytes, start: int, before: int | None, boxes: list, default: tuple[int, int] | None) -> Run:
+    """Offsets, sizes and durations of the samples of one ``traf``, and which are keyframes (not marked as depending on others).
+
+    A run without a place goes on where the one before it ended.  What is not in the run is that of ``tfhd``, or else
+    of ``trex``.
     """
-    size, flags, base = 0, 0, start
+    length, size, flags, base = 0, 0, 0, before
     if default is not None:
-        size, flags = _Box(media, default).number(16), _Box(media, default).number(20)
-    offsets, sizes, keys, seen = [_none()], [_none()], [_none()], 0
+        length, size, flags = (_Box(media, default).number(p) for p in (12, 16, 20))
+    offsets, sizes, keys, seen, duration = [_none()], [_none()], [_none()], 0, 0
     at = base
     for kind, place in boxes:
         box = _Box(media, place)
         if kind == b"tfhd":
             p = 8
+            if box.flags & 0x20000:
+                base = at = start
             for bit, name, width in ((0x1, "base", 8), (0x2, "entry", 4), (0x8, "length", 4), (0x10, "size", 4), (0x20, "flags", 4)):
                 if box.flags & bit:
                     value = box.number(p, ">Q" if width == 8 else ">I")
                     p += width
                     if name == "base":
                         base = at = value
+                    elif name == "length":
+                        length = value
                     elif name == "size":
                         size = value
                     elif name == "flags":
                         flags = value
         elif kind == b"trun":
             n, p = box.number(4), 8
+            if base is None:
+                raise _Damaged
             if box.flags & 0x1:
                 at = base + box.number(p, ">i")
                 p += 4
@@ -262,9 +313,10 @@ def _fragment(media: bytes, start: int, boxes: list, default: tuple[int, int] |
             offsets.append(at + np.cumsum(s) - s)
             sizes.append(s)
             keys.append(seen + np.flatnonzero(f & 0x10000 == 0))
+            duration += int(table[:, fields.index(0x100)].sum()) if 0x100 in fields else n * length
             seen += n
             at += int(s.sum())
-    return np.concatenate(offsets), np.concatenate(sizes), np.concatenate(keys)
+    return Run(np.concatenate(offsets), np.concatenate(sizes), np.concatenate(keys), duration, start if at is None else at)
 
 
 def payload_of(media: bytes, track: Track) -> bytes:
@@ -293,7 +345,8 @@ def store(docs: DataFrame) -> DataFrame:
 
 def describe(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes and, from the stored bytes: codec, timescale, duration, samples, keyframes (offset and size
-    of each), the payload's size, hash and tail checksum, and the file's own size and hash."""
+    of each), the payload's size, hash and tail checksum, all of the first track, the file's own size and hash, and
+    ``tracks``, all of them by codec, timescale, duration, samples and keyframes."""
     kind = media.schema["doc_id"].dataType.simpleString()
 
     def work(batch):
@@ -302,11 +355,14 @@ def describe(media: DataFrame) -> DataFrame:
             found = tracks(m or b"")
             t = found[0] if found else Track("", 0, 0, _none(), _none(), _none())
             p = payload_of(m, t)
-            rows.append((t.codec, t.timescale, t.duration, len(t.sizes), [{"offset": a, "size": b} for a, b in keyframe_ranges(t)], len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m or b""), hashlib.sha256(m or b"").hexdigest()))
-        return [batch["doc_id"], batch["n_bytes"], *([r[k] for r in rows] for k in range(10))]
+            seen = [{"codec": x.codec, "timescale": x.timescale, "duration": x.duration, "samples": len(x.sizes), "keyframes": [{"offset": a, "size": b} for a, b in keyframe_ranges(x)]} for x in found]
+            first = seen[0]["keyframes"] if seen else []
+            rows.append((t.codec, t.timescale, t.duration, len(t.sizes), first, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m or b""), hashlib.sha256(m or b"").hexdigest(), seen))
+        return [batch["doc_id"], batch["n_bytes"], *([r[k] for r in rows] for k in range(11))]
 
     return map_batches(
         media,
-        f"doc_id {kind}, n_bytes bigint, codec string, timescale bigint, duration bigint, samples bigint, keyframes array<struct<offset: bigint, size: bigint>>, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string",
+        f"doc_id {kind}, n_bytes bigint, codec string, timescale bigint, duration bigint, samples bigint, keyframes array<struct<offset: bigint, size: bigint>>, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, "
+        "tracks array<struct<codec: string, timescale: bigint, duration: bigint, samples: bigint, keyframes: array<struct<offset: bigint, size: bigint>>>>",
         work,
     )

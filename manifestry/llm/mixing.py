@@ -20,7 +20,7 @@ from .common import checkpoint, fresh, map_batches, row_hash
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST_REPEATS, SEED = 1.5, 2, 17
-#: Words up to which a budget that the proportional share missed is met anew; below it the nearest sum is found.
+#: Words up to which a budget that the proportional share missed is met anew (64 MB for the steps); below it the nearest sum is found.
 MOST_WINDOW = 1 << 24
 #: Parts of the hash range into which the documents of one source and length are dealt.
 PARTS = 1024
@@ -107,26 +107,37 @@ def choose_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.nd
 
 def _knapsack(lengths: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
     """Bounded knapsack: how many of each length come nearest to ``rest`` from below, by a bit set of the reachable
-    sums after each step (1, 2, 4, ... copies of a length)."""
+    sums and, for each of them, the step (1, 2, 4, ... copies of a length) that reached it first."""
     take = np.zeros_like(counts)
     mask, reach, steps = (1 << (rest + 1)) - 1, 1, []
+    first = np.full(rest + 1, -1, dtype=np.int32)
     for i in np.argsort(-lengths, kind="stable"):
         if reach >> rest & 1:
             break
         left, part = (min(int(counts[i]), rest // int(lengths[i])) if lengths[i] > 0 else 0), 1
         while left > 0:
             piece = min(part, left)
-            steps.append((i, piece, reach))
-            reach |= reach << (piece * int(lengths[i])) & mask
+            new = (reach << (piece * int(lengths[i])) & mask) & ~reach
+            first[_bits(new)] = len(steps)
+            steps.append((i, piece))
+            reach |= new
             left, part = left - piece, part * 2
     at = reach.bit_length() - 1
-    for i, piece, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += piece
-            at -= piece * int(lengths[i])
+    while at > 0:  # what is left was reached by an earlier step, so no step is taken twice
+        i, piece = steps[first[at]]
+        take[i] += piece
+        at -= piece * int(lengths[i])
     return take
 
 
+def _bits(of: int) -> np.ndarray:
+    """Places of the bits that are set; only the words that hold some are taken apart."""
+    words = np.frombuffer(of.to_bytes(-(-of.bit_length() // 64) * 8, "little"), dtype="<u8")
+    some = np.flatnonzero(words)
+    at, bit = np.nonzero(np.unpackbits(words[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return some[at] * 64 + bit
+
+
 def _choose(group: pd.DataFrame) -> pd.DataFrame:
     """One source: its lengths and their counts, at most as many rows as the square root of twice its words."""
     size, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])

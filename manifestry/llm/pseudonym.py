@@ -41,6 +41,10 @@ ANY = "|".join((EMAIL, IP, IPV6, DATE, SSN, PHONE, SECRET, CARD.replace(r"\1", "
 _LETTERS, _BASE26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
 #: Days of the 400-year cycle of the calendar, as a product of two factors for an uneven Feistel network.
 CYCLE, FACTORS = 146_097, (27, 5_411)
+#: Days from the first of year 0 to that of 1970, and of year 0.
+YEAR_ZERO, LEAP = 719_528, 366
+# Fixed value: the codes of countries in the numbering plan, those of one or two digits before those of three.
+COUNTRY_CODE = "^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Ranges of letters outside ASCII: the first code point, and two factors of how many follow from it.
 SCRIPTS = (
     (0x4E00, 128, 164), (0xAC00, 98, 114),  # Han, Hangul
@@ -158,25 +162,31 @@ def _day(value: Column, form: str) -> Column:
     return F.unix_date(F.to_date(F.try_to_timestamp(value, F.lit(form))))
 
 
+#: Turns after which a walk has left the days up to the 12th: of all days of the cycle none needs as many but by a chance of 1e-16.
+_WALK = 48
+
+
+#: The same for the days of one year in 400.
+_LEAVE = 7
+
+
 def _cycled(day: Column, key: str, kind: str) -> Column:
-    """The day permuted among all of its 400 years."""
+    """The day permuted among the 400 years that it lies in; they are counted from year 0, so that years of four digits stay
+    years of four digits. A day of year 0, which dates do not have, is permuted on."""
 
     def moved(day: Column) -> Column:
-        at = F.pmod(day, F.lit(CYCLE))
+        at = F.pmod(day + YEAR_ZERO, F.lit(CYCLE))
         new = _network(F.floor(at / FACTORS[1]), at % FACTORS[1], F.lit(FACTORS[0]), F.lit(FACTORS[1]), key, F.lit(kind))
         return F.element_at(F.transform(F.array(new), lambda o: day - at + o["l"] * FACTORS[1] + o["r"]), 1)
 
-    return F.element_at(F.transform(F.array(day.cast("bigint")), moved), 1)  # the day is worked out once
+    again = lambda d, turn: (turn == 0) | (d < LEAP - YEAR_ZERO)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_LEAVE)), day.cast("bigint"), lambda d, turn: F.when(again(d, turn) & d.isNotNull(), moved(d)).otherwise(d))
 
 
 def _of_month(day: Column) -> Column:
     return F.dayofmonth(F.date_from_unix_date(day.cast("int")))
 
 
-#: Turns after which a walk has left the days up to the 12th: of all days of the cycle none needs as many but by a chance of 1e-16.
-_WALK = 48
-
-
 def _walked(day: Column, key: str, kind: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), day, lambda d, turn: F.when(d.isNull() | (_of_month(d) > 12), d).otherwise(_cycled(d, key, kind)))
 
@@ -249,10 +259,12 @@ def _ip(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    """The country's digits after a + stay."""
-    country = F.regexp_extract(value, r"^\+([0-9]{1,3})", 1)
-    rest = F.substr(_digits(value), F.length(country) + 1)
-    return _refill(value, F.concat(country, _permute(rest, 10, key, F.concat(F.lit("phone"), country))), F.lit(""))
+    """The digits of the country's code after a + stay. Numbers are the same however they are parted, and one without a + is
+    taken as one of country 1, whose form it has."""
+    digits = _digits(value)
+    country = F.when(value.startswith("+"), F.regexp_extract(digits, COUNTRY_CODE, 1)).otherwise(F.lit(""))
+    tweak = F.concat(F.lit("phone"), F.when(country == "", F.lit("1")).otherwise(country))
+    return _refill(value, F.concat(country, _permute(F.substr(digits, F.length(country) + 1), 10, key, tweak)), F.lit(""))
 
 
 def _email(value: Column, key: str) -> Column:

@@ -121,8 +121,8 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, max_rows:
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
     rows = map_batches(
         docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("raw")).join(F.broadcast(some), "doc_id").select("doc_id", "raw", "y"),
-        "doc_id bigint, x array<double>, y double",
-        lambda b: [b["doc_id"].cast(pa.int64()), [features(raw) for raw in b["raw"].to_pylist()], b["y"]],
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>, y double",
+        lambda b: [b["doc_id"], [features(raw) for raw in b["raw"].to_pylist()], b["y"]],
     ).orderBy(F.xxhash64("doc_id"), "doc_id", "x", "y").limit(max_rows).collect()
     return np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.array([r.y for r in rows])
 
