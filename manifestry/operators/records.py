@@ -168,7 +168,7 @@ def glossary_match(values: DataFrame, names: DataFrame) -> DataFrame:
 def spans_in_boxes(values: DataFrame, tokens: DataFrame) -> DataFrame:
     """(value_id, start, end): from the first to behind the last token whose middle lies in the value's box on its page."""
     x, y = (F.col("t.x_min") + F.col("t.x_max")) / 2, (F.col("t.y_min") + F.col("t.y_max")) / 2
-    inside = (F.col("v.document_id") == F.col("t.document_id")) & x.between(F.col("v.x1"), F.col("v.x2")) & y.between(F.col("v.y1"), F.col("v.y2"))
+    inside = (F.col("v.document_id") == F.col("t.document_id")) & (F.col("v.page") == F.col("t.page")) & x.between(F.col("v.x1"), F.col("v.x2")) & y.between(F.col("v.y1"), F.col("v.y2"))
     return values.alias("v").join(tokens.alias("t"), inside).groupBy("v.value_id").agg(F.min("t.idx").alias("start"), (F.max("t.idx") + 1).alias("end"))
 
 

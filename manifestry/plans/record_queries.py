@@ -70,8 +70,8 @@ def matched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
-    values = orders(spark, d).select(F.col(KEY).alias("value_id"), F.col(KEY).alias("document_id"), F.lit(200).alias("x1"), F.lit(900).alias("x2"), F.lit(300).alias("y1"), F.lit(1500).alias("y2"))
-    return records.spans_in_boxes(values, tokens(spark, d))
+    values = orders(spark, d).select(F.col(KEY).alias("value_id"), F.col(KEY).alias("document_id"), F.lit(200).alias("x1"), F.lit(900).alias("x2"), F.lit(300).alias("y1"), F.lit(1500).alias("y2"), F.lit(1).alias("page"))
+    return records.spans_in_boxes(values, tokens(spark, d).withColumn("page", F.lit(1)))
 
 
 def explained(spark: SparkSession, d: str) -> DataFrame:
