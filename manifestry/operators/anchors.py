@@ -50,8 +50,10 @@ def _norm(c: Column) -> Column:
 
 
 def pages(tokens: DataFrame) -> DataFrame:
-    """(document_id, boxes): each document's boxes in reading order, with their plain text and middle."""
-    box = F.struct(*BOX, _norm(F.col("text")).alias("norm"), ((F.col("y_min") + F.col("y_max")) / 2).alias("y"))
+    """(document_id, boxes): each document's boxes in reading order, with their plain text, middle and confidence (1 where
+    the tokens say none)."""
+    sure = F.col("confidence") if "confidence" in tokens.columns else F.lit(1.0)
+    box = F.struct(*BOX, _norm(F.col("text")).alias("norm"), ((F.col("y_min") + F.col("y_max")) / 2).alias("y"), sure.cast("double").alias("confidence"))
     return tokens.groupBy("document_id").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
 
 
@@ -78,10 +80,10 @@ def is_label(norm: Column, stops: list[str]) -> Column:
     return (norm != "") & F.exists(s.words(stops), lambda w: norm.startswith(w) & (F.length(norm) <= F.length(w) + SLACK))
 
 
-def found(boxes: Column, labels: list[str], stops: list[str], same_line: bool = False) -> Column:
-    """The text of the boxes that belong to the label: to its right, then (unless ``same_line``) below, each up to the next label.
+def picked(boxes: Column, labels: list[str], stops: list[str], same_line: bool = False) -> Column:
+    """The boxes that belong to the label: to its right, then (unless ``same_line``) below, each up to the next label.
 
-    Distances are measured in the label's own height, so that they hold at every scale.  Null without a label or a box.
+    Distances are measured in the label's own height, so that they hold at every scale.  Null without a label.
     """
 
     def until_label(seq: Column) -> Column:
@@ -99,11 +101,26 @@ def found(boxes: Column, labels: list[str], stops: list[str], same_line: bool =
         if not same_line:
             under = F.filter(boxes, lambda b: (b["y"] > anchor["y"] + height * 0.3) & (b["y"] < anchor["y"] + height * 2.5) & (b["x_min"] >= anchor["x_min"] - height) & (b["x_min"] <= anchor["x_max"] + height * 4))
             parts.append(s.bound(ordered(under, "y", "x_min"), until_label))
-        return F.nullif(F.trim(F.array_join(F.transform(F.slice(F.concat(*parts), 1, MOST_BOXES), lambda b: b["text"]), " ")), F.lit(""))
+        return F.slice(F.concat(*parts), 1, MOST_BOXES)
 
     return s.bound(located(boxes, labels), lambda anchor: F.when(anchor.isNotNull(), of(anchor)))
 
 
+def _text(some: Column) -> Column:
+    return F.nullif(F.trim(F.array_join(F.transform(some, lambda b: b["text"]), " ")), F.lit(""))
+
+
+def found(boxes: Column, labels: list[str], stops: list[str], same_line: bool = False) -> Column:
+    """The text of the boxes that belong to the label; null without a label or a box."""
+    return _text(picked(boxes, labels, stops, same_line))
+
+
+def found_surely(boxes: Column, labels: list[str], stops: list[str], same_line: bool = False) -> Column:
+    """Struct (value, confidence): the text, and the mean confidence of its boxes, less what finding it by a label costs."""
+    mean = lambda some: F.aggregate(some, F.lit(0.0), lambda acc, b: acc + b["confidence"]) / F.size(some)
+    return s.bound(picked(boxes, labels, stops, same_line), lambda some: F.struct(_text(some).alias("value"), F.when(F.size(some) > 0, mean(some) * FACTOR).alias("confidence")))
+
+
 def dates_in(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(DATE), 1), plausible_date)
 
@@ -115,10 +132,11 @@ def date_found(boxes: Column, labels: list[str], stops: list[str]) -> Column:
     return F.when(located(boxes, labels).isNotNull(), last(found(boxes, labels, stops))).otherwise(last(whole))
 
 
-def region_or_anchor(region: Column, anchor: Column, region_confidence: Column, anchor_first: bool = False) -> Column:
-    """Struct (value, confidence, method): the first way that gives a value; none is null with the region's confidence."""
+def region_or_anchor(region: Column, anchor: Column, region_confidence: Column, anchor_confidence: Column, anchor_first: bool = False) -> Column:
+    """Struct (value, confidence, method): the first way that gives a value, with its own confidence (``found_surely`` has the
+    anchor's); none is null with the region's confidence."""
     by = lambda value, confidence, method: F.when(s.present(value).isNotNull(), F.struct(value.alias("value"), confidence.alias("confidence"), F.lit(method).alias("method")))
-    tries = [by(region, region_confidence, "region"), by(anchor, region_confidence * FACTOR, "anchor")]
+    tries = [by(region, region_confidence, "region"), by(anchor, anchor_confidence, "anchor")]
     none = F.struct(F.lit(None).cast("string").alias("value"), region_confidence.alias("confidence"), F.lit("region").alias("method"))
     return F.coalesce(*(reversed(tries) if anchor_first else tries), none)
 

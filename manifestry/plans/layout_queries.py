@@ -47,7 +47,7 @@ def anchored(spark: SparkSession, d: str) -> DataFrame:
 def ways(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey") % 4
     region, anchor = F.when(k.isin(0, 1), "R").otherwise(" "), F.when(k.isin(0, 2), "A")
-    both = lambda first: anchors.region_or_anchor(region, anchor, F.lit(0.8), first)
+    both = lambda first: anchors.region_or_anchor(region, anchor, F.lit(0.8), F.lit(0.8 * anchors.FACTOR), first)
     dates = anchors.dates_of_regions(F.when(k == 0, "ISSUED 01/02/2024 AND 2024-03-04").when(k == 1, "NONE").otherwise("60-55-2708 5 MAY 2024"), F.when(k < 3, "ON BOARD AUG 1, 2023").otherwise(""))
     return table(spark, d, "orders").select("o_orderkey", both(False).alias("a"), both(True)["value"].alias("anchor_first"), dates.alias("d")).select("o_orderkey", "a.value", F.round("a.confidence", 6).alias("confidence"), "a.method", "anchor_first", "d.*")
 
