@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaners
+from ..operators import papers
 from .term_queries import table
 
 #: Regions of an order's bill by its key modulo 5, and what is to come out of them ({name}, {nation}, {key}: of the order).
@@ -50,8 +51,58 @@ def cleaned(spark: SparkSession, d: str) -> DataFrame:
     return regions(spark, d).select("o_orderkey", *cleaners.fields(F.col("regions"))).select("o_orderkey", *SHOWN)
 
 
+#: Two lay-outs of each kind by the order's key: text, x and y of boxes 20 high and 10 a letter wide. {key} and {name} are the order's.
+PAPERS = {
+    "commercial_invoice": [
+        [("COMMERCIAL INVOICE", 300, 0), ("Invoice No.", 0, 50), (": INV-{key}", 150, 48), ("Invoice Date", 400, 50), ("2026-01-02", 560, 50), ("SELLER", 0, 100), ("{name}", 0, 122), ("CO., LTD.", 0, 138), ("BUYER", 400, 160), ("PACIFIC", 400, 190), ("GMBH", 480, 190),
+         ("SANTOS EXPRESS", 0, 230), ("Total Amount", 0, 290), ("USD 1,000.00", 200, 290), ("L/C No", 400, 290), ("LC-{key}", 500, 290)],
+        # one heading for two columns; a label of two letters; labels that lie apart
+        [("INVOICE NO INVOICE DATE", 0, 0), ("INV-{key}", 0, 30), ("TO", 0, 100), ("ACME", 40, 100), ("QTY", 0, 200), ("27", 0, 230), ("PKG", 30, 230), ("AMOUNT", 300, 215), ("$5", 310, 245), ("PRICE TERM", 500, 230), ("FOB", 500, 260), ("BUSAN;", 540, 260)],
+    ],
+    "packing_list": [
+        [("PACKING LIST", 300, 0), ("DATE", 0, 50), ("2026-01-02", 60, 50), ("GROSS WEIGHT", 0, 100), ("884 KG", 130, 100), ("NET WEIGHT", 250, 100), ("800 KG", 370, 100), ("CBM", 480, 100), ("3.5", 540, 100), ("SHIPPING MARKS", 0, 200), ("{name}", 0, 230), ("PUSAN", 0, 245), ("NUMBER OF PACKAGES", 400, 220), ("{key} CTNS", 640, 220)],
+        # a short label counts as a word only, one of two letters that are no word not at all, and a label next to another has no value
+        [("UPDATED", 0, 0), ("1 MAY", 100, 0), ("G/W", 0, 100), ("884 KG", 60, 100), ("SELLER", 0, 200), ("BUYER", 300, 200), ("ACME", 300, 230)],
+    ],
+}
+PARSED = {
+    "commercial_invoice": [
+        {"invoice_no": "INV-{key}", "invoice_date": "2026-01-02", "seller": "{name} CO., LTD.", "buyer": "PACIFIC GMBH", "total_amount": "USD 1,000.00", "lc_no": "LC-{key}"},
+        {"invoice_no": "INV-{key}", "invoice_date": "INV-{key}", "buyer": "ACME", "quantity": "27 PKG", "total_amount": "$5", "incoterms": "FOB BUSAN"},
+    ],
+    "packing_list": [{"packing_date": "2026-01-02", "gross_weight": "884 KG", "net_weight": "800 KG", "measurement": "3.5", "marks": "{name} PUSAN", "package_count": "{key} CTNS"}, {"buyer": "ACME"}],
+}
+
+
+def paper_tokens(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    box = lambda t, x, y: F.struct(F.lit(t).alias("text"), F.lit(x).alias("x_min"), F.lit(y).alias("y_min"), F.lit(x + 10 * len(t.replace("{key}", "0000000").replace("{name}", "CUSTOMER#000000000"))).alias("x_max"), F.lit(y + 20).alias("y_max"))
+    forms = [F.array(*(box(*b) for b in form)) for form in PAPERS[kind]]
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 2 == 0, forms[0]).otherwise(forms[1]).alias("form"))
+    who = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.upper("c_name").alias("name"))
+    each = rows.join(who, "o_custkey").select(F.col("o_orderkey").alias("document_id"), "name", F.posexplode("form").alias("idx", "b")).select("document_id", "name", "idx", "b.*")
+    text = _filled(F.col("text"), F.col("document_id"), F.col("name"), F.lit(""))
+    return each.withColumn("text", text).withColumn("confidence", F.when(F.col("idx") % 2 == 0, 0.9).otherwise(0.8)).drop("name")
+
+
+def papered(kind: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        parsed = papers.parse(papers.pages(paper_tokens(spark, d, kind)), kind)
+        sure = F.round(F.col("buyer" if kind == "commercial_invoice" else "marks")["confidence"], 6)
+        return parsed.select("document_id", *(F.col(f)["value"].alias(f) for f in papers.LABELS[kind]), sure.alias("confidence"))
+
+    return run
+
+
+def _paper_sql(kind: str, sure: str) -> str:
+    fields = list(papers.LABELS[kind])
+    text = lambda v: "CAST(NULL AS VARCHAR)" if v is None else "'" + v + "'"
+    values = ", ".join(f"({i}, {', '.join(text(out.get(f)) for f in fields)})" for i, out in enumerate(PARSED[kind]))
+    filled = lambda f: f"replace(replace({f}, '{{key}}', lpad(CAST(o_orderkey AS VARCHAR), 7, '0')), '{{name}}', upper(c_name)) AS {f}"
+    return f"SELECT o_orderkey AS document_id, {', '.join(map(filled, fields))}, CAST({sure} AS DOUBLE) AS confidence FROM orders JOIN customer ON c_custkey = o_custkey JOIN (VALUES {values}) AS c(k, {', '.join(fields)}) ON k = o_orderkey % 2"
+
+
 def queries() -> dict:
-    return {"cleaned_fields": cleaned}
+    return {"cleaned_fields": cleaned, "invoice_fields": papered("commercial_invoice"), "packing_fields": papered("packing_list")}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -60,6 +111,8 @@ def oracle_sql() -> dict[str, str]:
     values = ", ".join(f"({i}, {', '.join(text(out.get(f)) for f in stated)})" for i, (_, out) in enumerate(CASES))
     filled = lambda f: f"replace(replace(replace({f}, '{{key}}', lpad(CAST(o_orderkey AS VARCHAR), 7, '0')), '{{name}}', upper(c_name)), '{{nation}}', n_name) AS {f}"
     return {
+        "invoice_fields": _paper_sql("commercial_invoice", "CASE o_orderkey % 2 WHEN 0 THEN round((0.8 + 0.9) / 2 * 0.85, 6) ELSE 0.68 END"),
+        "packing_fields": _paper_sql("packing_list", "CASE o_orderkey % 2 WHEN 0 THEN round((0.9 + 0.8) / 2 * 0.85, 6) END"),
         "cleaned_fields": f"""WITH i AS (SELECT l_orderkey, l_linenumber, l_partkey, p_name, CAST(l_quantity AS INTEGER) AS n FROM lineitem JOIN part ON p_partkey = l_partkey),
  u AS (SELECT l_orderkey, p_name, min((l_linenumber, l_partkey)) AS place FROM i GROUP BY ALL), g AS (SELECT l_orderkey, substr(string_agg(p_name, ' / ' ORDER BY place), 1, 200) AS goods FROM u GROUP BY 1),
  w AS (SELECT l_orderkey, arg_max(n || '0 KG', (l_linenumber, l_partkey)) AS weight FROM i GROUP BY 1)
