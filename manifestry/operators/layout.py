@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import islands
+from ..functions import scalars as s
 
 # Regions of the form as shares of the page's width and height (x from, to; y from, to).
 REGIONS = {
@@ -43,15 +43,20 @@ def regions_of(x: Column, y: Column, width: Column, height: Column) -> Column:
 def region_texts(tokens: DataFrame) -> DataFrame:
     """(document_id, region, text) of tokens (document_id, idx, text, x_min, y_min, x_max, y_max, width, height).
 
-    Thirteen regions are conditions of one projection, not a join; lines are islands of the token's centres.
+    Thirteen regions are conditions of one projection, not a join; a region's tokens stand in one array, which is cut where
+    their centres part, so that one exchange does for all.
     """
     x, y = (F.col("x_min") + F.col("x_max")) / 2, (F.col("y_min") + F.col("y_max")) / 2
-    placed = tokens.withColumn("y", y).withColumn("region", F.explode(regions_of(x, F.col("y"), F.col("width"), F.col("height")))).withColumn("group", F.struct("document_id", "region"))
-    lined = islands(placed, "group", "y", "x_min", LINE_GAP)
-    lines = lined.groupBy("document_id", "region", "line").agg(F.array_sort(F.collect_list(F.struct("x_min", "idx", "text"))).alias("t"))
-    lines = lines.select("document_id", "region", "line", F.array_join(F.transform("t", lambda t: t["text"]), " ").alias("text"))
-    texts = lines.groupBy("document_id", "region").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("t"))
-    return texts.select("document_id", "region", F.array_join(F.transform("t", lambda t: t["text"]), "\n").alias("text"))
+    placed = tokens.withColumn("y", y).withColumn("region", F.explode(regions_of(x, F.col("y"), F.col("width"), F.col("height"))))
+    boxes = placed.groupBy("document_id", "region").agg(F.array_sort(F.collect_list(F.struct("y", "x_min", "idx", "text"))).alias("t"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i)["y"] - F.get("t", i - 1)["y"] > LINE_GAP))
+
+    def lines(starts: Column) -> Column:
+        cut = F.transform(starts, lambda a, k: F.slice("t", a + 1, F.coalesce(F.get(starts, k + 1), F.size("t")) - a))
+        across = lambda line: F.array_sort(F.transform(line, lambda b: F.struct(b["x_min"], b["idx"], b["text"].alias("text"))))
+        return F.transform(cut, lambda line: F.array_join(F.transform(across(line), lambda b: b["text"]), " "))
+
+    return boxes.select("document_id", "region", F.array_join(s.bound(begins, lines), "\n").alias("text"))
 
 
 def document_kind(text: Column) -> Column:

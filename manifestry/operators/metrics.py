@@ -5,6 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpointed
+
+
+def running(rows: DataFrame, by: list[str], order: list[str], *columns: str) -> DataFrame:
+    """rows with ``before_c`` for each of the columns: its sum over the rows before, in the order within each ``by`` (which may be
+    empty: over all); the order tells rows of a group apart.
+
+    No group is put in order in one task: the rows are parted by range, summed up within their part, and begin where the
+    parts before end.  The parts are written once, so that both steps see the same ones.
+    """
+    parts = checkpointed(rows.repartitionByRange(*by, *order).withColumn("part", F.spark_partition_id()))
+    # one row for each group and part
+    totals = parts.groupBy(*by, "part").agg(*(F.sum(c).alias(c) for c in columns))
+    upto = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*(F.col(c).alias(f"of_{c}") for c in (*by, "part")), *(F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"offset_{c}") for c in columns))
+    own = Window.partitionBy(*by, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = parts.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(own), F.lit(0)) for c in columns})
+    same = F.lit(True)
+    for c in (*by, "part"):
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    met = inner.join(offsets, same)
+    return met.withColumns({f"before_{c}": F.col(f"before_{c}") + F.col(f"offset_{c}") for c in columns}).select(*rows.columns, *(f"before_{c}" for c in columns))
+
 
 def history_rates(rows: DataFrame, by: str, outcome: str) -> DataFrame:
     """Mean outcome and count for each value of ``by``."""

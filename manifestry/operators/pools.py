@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cleaners as c
 from ..functions import scalars as s
+from .metrics import running
 
 # Patterns and lengths of what is taken into the pools.
 QUANTITY_WORD = rf"(?i)^[0-9]+\s*(?:{c.PACKED})\b"
@@ -87,13 +88,8 @@ def pools(rows: DataFrame, key: str) -> DataFrame:
 
 
 def placed(rows: DataFrame, by: str, *order: str) -> DataFrame:
-    """rows with ``place``, from 0 in the order within each ``by``; keys and orders are not null. Parts of the order are numbered in
-    their own tasks and begin where those before end; one count for each part and group is summed up."""
-    parts = rows.repartitionByRange(by, *order).withColumn("part", F.spark_partition_id())
-    here = parts.groupBy(by, "part").agg(F.count("*").alias("here"))
-    before = here.select(by, "part", F.coalesce(F.sum("here").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy(by, "part").orderBy(*order)) - 1
-    return parts.withColumn("own", own).join(before, [by, "part"]).withColumn("place", F.col("own") + F.col("before")).drop("own", "before", "part")
+    """rows with ``place``, from 0 in the order within each ``by``."""
+    return running(rows.withColumn("one", F.lit(1)), [by], list(order), "one").withColumn("place", F.col("before_one")).drop("one", "before_one")
 
 
 # The days a credit leaves for shipment and presentation, and how much above the weight its limit lies.

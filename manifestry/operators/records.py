@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from . import metrics
 
 # Words in a value that try to instruct a model, how long a value may be, and the day for texts without dates.
 INJECTION_MARKERS = ["ignore previous", "disregard", "system:", "assistant:", "무시하", "당신은 이제", "```", "<|", "\u202e"]
@@ -179,9 +180,8 @@ def explanation_metrics(rows: DataFrame) -> DataFrame:
     share = lambda a: F.round(F.coalesce(F.try_divide(a.cast("double"), F.count("*")), F.lit(0.0)), 6)
     counts = rows.agg(F.count("*").alias("n"), first.alias("llm_first"), retry.alias("llm_retry"), n(F.col("outcome") == "template").alias("template"), share(n(F.col("integrity_ok"))).alias("integrity_rate"), share(first + retry).alias("llm_rate"), F.coalesce(F.max("seconds"), F.lit(0.0)).alias("longest"))
     # the value at place n // 2 in order, by the numbers of rows of each duration
-    upto = Window.orderBy("seconds").rowsBetween(Window.unboundedPreceding, 0)
-    per = rows.groupBy(F.round("seconds", 6).alias("seconds")).agg(F.count("*").alias("here")).withColumn("upto", F.sum("here").over(upto))
-    middle = per.crossJoin(F.broadcast(counts.select("n"))).where(F.col("upto") > F.floor(F.col("n") / 2)).agg(F.min("seconds").alias("p50"))
+    per = metrics.running(rows.groupBy(F.round("seconds", 6).alias("seconds")).agg(F.count("*").alias("here")), [], ["seconds"], "here")
+    middle = per.crossJoin(F.broadcast(counts.select("n"))).where(F.col("before_here") + F.col("here") > F.floor(F.col("n") / 2)).agg(F.min("seconds").alias("p50"))
     return counts.crossJoin(F.broadcast(middle)).withColumn("p50", F.coalesce("p50", F.lit(0.0)))
 
 
@@ -189,12 +189,11 @@ def separability(rows: DataFrame, key: str, y: str, features: list[str], least:
     """One row: the feature that tells y = 1 from y = 0 best, its area under the curve (whichever way it points), and
     whether both classes' ranges of it overlap.  Null features with fewer than ``least`` known rows of a class don't take part.
 
-    Ranks follow from the number of rows of each value of a feature, which are fewer than the rows.
+    Ranks follow from the numbers of rows of each value, summed up part by part, as a feature may have as many values as rows.
     """
     long = rows.select(F.col(y).alias("y"), F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features))).alias("x")).select("y", "x.*").where("v IS NOT NULL")
     per = long.groupBy("feature", "v").agg(F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.sum((F.col("y") == 0).cast("long")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy("feature").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    ranked = metrics.running(per, ["feature"], ["v"], "neg").withColumn("won", F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))
     edge = lambda f, c: f(F.when(F.col(c) > 0, F.col("v")))
     each = ranked.groupBy("feature").agg(F.sum("won").alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.count("*").alias("kinds"), edge(F.min, "pos").alias("pl"), edge(F.max, "pos").alias("ph"), edge(F.min, "neg").alias("nl"), edge(F.max, "neg").alias("nh"))
     auc = F.col("won") / (F.col("p") * F.col("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from itertools import chain
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..sources.tables import checkpointed
 
 # Unit codes and their other names, company forms and how they are written.
 UNITS = {
@@ -143,32 +145,54 @@ def dice_top_k(queries: DataFrame, terms: DataFrame, k: int = TOP_K, floor: floa
 def runs(spans: DataFrame) -> DataFrame:
     """(group, run, start, end): the distinct spans that aren't empty, a group's cut about every MOST_SPANS.
 
-    A cut is made only where no span reaches across, so spans of different runs never overlap.
+    A cut is made only where no span reaches across, so spans of different runs never overlap.  A group is looked through in
+    parts of its order: each part knows how far and how many the parts before it reach.
     """
-    w = Window.partitionBy("group").orderBy("start", "end")
-    reached = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.when(F.col("start") < F.col("reached"), None).otherwise(F.col("place"))
-    placed = spans.select("group", "start", "end").where("start < end").distinct().withColumn("reached", reached).withColumn("place", F.row_number().over(w) - 1)
-    return placed.withColumn("run", F.floor(F.max(apart).over(w) / MOST_SPANS)).select("group", "run", "start", "end")
+    some = spans.select("group", "start", "end").where("start < end").distinct()
+    parts = checkpointed(some.repartitionByRange("group", "start", "end").withColumn("part", F.spark_partition_id()))
+    own = Window.partitionBy("group", "part").orderBy("start", "end")
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each group and part
+    upto = Window.partitionBy("of").orderBy("in").rowsBetween(Window.unboundedPreceding, -1)
+    ends = parts.groupBy(F.col("group").alias("of"), F.col("part").alias("in")).agg(F.max("end").alias("far"), F.count("*").alias("n"))
+    ends = ends.select("of", "in", F.max("far").over(upto).alias("far"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("n"))
+    here = F.col("group").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in"))
+    met = parts.withColumn("reached", F.max("end").over(before)).withColumn("place", F.row_number().over(own) - 1).join(ends, here)
+    met = met.withColumn("reached", F.greatest("reached", "far")).withColumn("place", F.col("place") + F.col("n")).drop("of", "in", "far", "n")
+    apart = F.when(F.col("reached").isNull() | (F.col("start") >= F.col("reached")), F.col("place"))
+    cut = met.withColumn("apart", apart).withColumn("cut", F.max("apart").over(own))
+    last = met.withColumn("apart", apart).groupBy(F.col("group").alias("of"), F.col("part").alias("in")).agg(F.max("apart").alias("cut_before"))
+    last = last.select("of", "in", F.max("cut_before").over(upto).alias("cut_before"))
+    return cut.join(last, here).select("group", F.floor(F.coalesce("cut", "cut_before") / MOST_SPANS).alias("run"), "start", "end")
 
 
 def resolve_overlaps(spans: DataFrame) -> DataFrame:
     """(group, start, end) that stay when overlapping ones are settled: longest first, then leftmost.
 
     The choice depends on what was chosen before, so it is made for each run of a group (one field's spans) in a
-    small Python function; runs are independent and spread by Spark.
+    small Python function, which asks only two neighbours of what it has taken; runs are independent and spread by Spark.
     """
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         order = pdf.assign(size=pdf["start"] - pdf["end"]).sort_values(["size", "start", "end"]).drop_duplicates(["start", "end"])
-        taken: list[tuple] = []
-        for row in order.itertuples():
-            if row.start < row.end and all(row.end <= a or row.start >= b for a, b in taken):
-                taken.append((row.start, row.end))
-        return pd.DataFrame({"group": pdf["group"].iloc[0], "start": [a for a, _ in taken], "end": [b for _, b in taken]})
+        taken = order.iloc[choose(order["start"].tolist(), order["end"].tolist())]
+        return pd.DataFrame({"group": pdf["group"].iloc[0], "start": taken["start"], "end": taken["end"]})
 
     return runs(spans).groupBy("group", "run").applyInPandas(keep, "group bigint, start bigint, end bigint")
 
 
+def choose(starts: list[int], ends: list[int]) -> list[int]:
+    """Places, in their order, that overlap none chosen before.  What is taken is kept sorted and apart, so each asks
+    only its two neighbours; an empty place overlaps what it lies within, not what it touches."""
+    taken: list[tuple[int, int]] = []
+    out = []
+    for i, (a, b) in enumerate(zip(starts, ends)):
+        at = bisect_left(taken, (a, b))
+        if not any(a < d and c < b for c, d in taken[max(0, at - 1) : at + 1]):
+            taken.insert(at, (a, b))
+            out.append(i)
+    return out
+
+
 def apply_spans(text: Column, spans: Column) -> Column:
     """The text with each span (start, end, new), none overlapping, replaced from right to left."""
     ordered = F.reverse(F.array_sort(spans))

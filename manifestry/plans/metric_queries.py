@@ -126,7 +126,7 @@ def queries() -> dict:
 
     return {
         "history_rates": lambda spark, d: metrics.history_rates(labelled(spark, d), "source", "quality"),
-        "history_join": lambda spark, d: metrics.with_history(table(spark, d, "documents").select("doc_id", "source"), metrics.history_rates(labelled(spark, d).where("doc_id % 3 = 0"), "source", "quality"), "source"),
+        "history_join": lambda spark, d: metrics.with_history(table(spark, d, "documents").select("doc_id", "source"), metrics.history_rates(labelled(spark, d), "source", "quality"), "source"),
         "confusion": lambda spark, d: metrics.confusion(labelled(spark, d), F.col("quality"), F.col("p") >= 0.35),
         "per_defect_recall": per_defect_recall,
         "phi": lambda spark, d: labelled(spark, d).agg(F.round(F.corr("quality", "toxic"), 6).alias("phi"), F.round(F.avg(F.when(F.col("toxic") == 1, F.col("quality"))), 6).alias("if_toxic"), F.round(F.avg(F.when(F.col("toxic") == 0, F.col("quality"))), 6).alias("if_clean")),
@@ -175,7 +175,7 @@ def oracle_sql() -> dict[str, str]:
     place = lambda seed, key: f"CAST(('0x' || substr(md5('{seed}' || CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT)"
     return {
         "history_rates": lab("SELECT source, round(avg(quality), 6) AS rate, count(*) AS n FROM l GROUP BY source"),
-        "history_join": lab("SELECT d.source, doc_id, rate, coalesce(n, 0) AS n FROM documents d LEFT JOIN (SELECT source, round(avg(quality), 6) AS rate, count(*) AS n FROM l WHERE doc_id % 3 = 0 GROUP BY source) r ON d.source = r.source"),
+        "history_join": lab("SELECT d.source, doc_id, rate, coalesce(n, 0) AS n FROM documents d LEFT JOIN (SELECT source, round(avg(quality), 6) AS rate, count(*) AS n FROM l GROUP BY source) r ON d.source = r.source"),
         "confusion": lab("SELECT tp, fp, tn, fn, round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2.0 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round((tp + tn)::DOUBLE / (tp + fp + tn + fn), 6) AS accuracy FROM (SELECT count(*) FILTER (quality = 1 AND p >= 0.35) AS tp, count(*) FILTER (quality = 0 AND p >= 0.35) AS fp, count(*) FILTER (quality = 0 AND p < 0.35) AS tn, count(*) FILTER (quality = 1 AND p < 0.35) AS fn FROM l)"),
         "per_defect_recall": with_query("SELECT rule_id, round(avg(c), 4) AS recall, count(*) AS n FROM f JOIN (SELECT shipment_id, CASE WHEN count(*) FILTER (status = 'violated' AND severity = 'critical') > 0 THEN 1.0 ELSE 0.0 END AS c FROM f GROUP BY shipment_id) q ON f.shipment_id = q.shipment_id WHERE status = 'violated' GROUP BY rule_id", f),
         "phi": lab("SELECT round(corr(quality, toxic), 6) AS phi, round(avg(quality) FILTER (toxic = 1), 6) AS if_toxic, round(avg(quality) FILTER (toxic = 0), 6) AS if_clean FROM l"),
