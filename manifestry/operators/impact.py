@@ -29,8 +29,8 @@ def edges_sql() -> str:
 
 
 def impacted(graph: DataFrame, changed: DataFrame) -> DataFrame:
-    """(doc, field) of ``changed`` to the fields next to them; each rule once."""
-    return changed.join(graph, ["doc", "field"]).dropDuplicates(["doc", "field", "to_doc", "to_field", "rule_id"])
+    """(doc, field, further columns such as the shipment) of ``changed`` to the fields next to them; each rule once."""
+    return changed.join(graph, ["doc", "field"]).dropDuplicates([*changed.columns, "to_doc", "to_field", "rule_id"])
 
 
 def exposed(graph: DataFrame, fact: DataFrame) -> DataFrame:

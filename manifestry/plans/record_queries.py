@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, records
+from ..operators import features, records, verdict
+from ..operators.catalog import RULES
 from . import rule_queries, rules_sql as sql
 from .layout_queries import tokens
 from .metric_queries import LABELLED, labelled
@@ -80,9 +81,14 @@ def explained(spark: SparkSession, d: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
-    rules = spark.createDataFrame([(f"R{i}", t, i % 3, None if i % 2 else i % 4 == 0) for i, t in enumerate(SOURCES)], "rule_id string, source string, rank int, verified boolean")
-    left = records.unverified(rules).agg(F.count("*").alias("n_unverified"))
-    return records.by_article(rules).crossJoin(F.broadcast(left))
+    """Violations of all shipments by the article that the violated rule rests on, and how many rest on rules that nobody verified."""
+    ids = [r.id for r in RULES]
+    source = F.create_map(*(x for i, r in enumerate(ids) for x in (F.lit(r), F.lit(SOURCES[i % len(SOURCES)]))))
+    verified = F.create_map(*(x for i, r in enumerate(ids) for x in (F.lit(r), F.lit(None if i % 2 else i % 4 == 0).cast("boolean"))))
+    bad = verdict.facts(rule_queries.view(spark, d)).where("status = 'violated'")
+    rows = bad.select("rule_id", F.element_at(source, F.col("rule_id")).alias("source"), verdict.severity_rank(F.col("severity")).alias("rank"), F.element_at(verified, F.col("rule_id")).alias("verified"))
+    left = records.unverified(rows).agg(F.count("*").alias("n_unverified"))
+    return records.by_article(rows).crossJoin(F.broadcast(left))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -115,6 +121,15 @@ def queries() -> dict:
     }
 
 
+def _articles_sql() -> str:
+    """Of each source what is cited: what stands before its first dash, by hand."""
+    cited = {x: x.split(" — ")[0].split(" - ")[0].split(" – ")[0].strip() if x else "" for x in SOURCES}
+    rows = ", ".join(f"('{r.id}', '{cited[SOURCES[i % len(SOURCES)]] or '(none)'}', {'NULL' if i % 2 else i % 4 == 0})" for i, r in enumerate(RULES))
+    rank = "CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END"
+    return with_query(f"""SELECT a.*, n_unverified FROM (SELECT *, row_number() OVER (ORDER BY worst, n DESC, article) AS place FROM (SELECT article, count(*) AS n, CAST(min({rank}) AS INTEGER) AS worst FROM f JOIN r USING (rule_id) WHERE status = 'violated' GROUP BY article)) a,
+ (SELECT count(*) AS n_unverified FROM f JOIN r USING (rule_id) WHERE status = 'violated' AND verified IS DISTINCT FROM true)""", sql.facts_cte() + f", r(rule_id, article, verified) AS (VALUES {rows})")
+
+
 def oracle_sql() -> dict[str, str]:
     text = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
     of = lambda rows, names: f"(VALUES {', '.join('(' + ', '.join([str(i), *map(text, r)]) + ')' for i, r in enumerate(rows))}) AS c(k, {names}) ON o_orderkey % {len(rows)} = k"
@@ -142,7 +157,7 @@ def oracle_sql() -> dict[str, str]:
         "glossary_match": "SELECT o_orderkey FROM orders WHERE o_orderkey % 5 IN (0, 2)",
         "box_spans": "SELECT o_orderkey AS value_id, min(i) AS start, max(i) + 1 AS \"end\" FROM orders JOIN (SELECT l_orderkey, l_linenumber AS i, CAST(l_partkey * 37 % 1594 AS INTEGER) AS x, CAST(l_suppkey * 61 % 30 * 75 + l_linenumber * 9 AS INTEGER) AS y FROM lineitem) ON l_orderkey = o_orderkey WHERE (x + x + 60) / 2.0 BETWEEN 200 AND 900 AND (y + y + 20) / 2.0 BETWEEN 300 AND 1500 GROUP BY o_orderkey",
         "explanation_metrics": "SELECT count(*) AS n, count(*) FILTER (event_id % 5 > 1) AS llm_first, count(*) FILTER (event_id % 5 = 1) AS llm_retry, count(*) FILTER (event_id % 5 = 0) AS template, round(count(*) FILTER (event_id % 7 <> 0) / count(*)::DOUBLE, 6) AS integrity_rate, round(count(*) FILTER (event_id % 5 > 0) / count(*)::DOUBLE, 6) AS llm_rate, max(round(value % 10, 6)) AS longest, list_sort(list(round(value % 10, 6)))[1 + count(*) // 2] AS p50 FROM events",
-        "article_groups": "SELECT * FROM (VALUES ('UCP 600 20(a)', 2, 0, 1), ('(none)', 1, 0, 2), ('UCP 600 14(c)', 1, 1, 3), ('ISBP 821 E4', 2, 2, 4)) AS a(article, n, worst, place), (SELECT 4 AS n_unverified)",
+        "article_groups": _articles_sql(),
         "owned_fields": "SELECT event_id, CASE event_type WHEN 'click' THEN 'BL_CLICK' ELSE 'BL_VIEW' END AS code FROM events WHERE user_id % 3 = 1 AND event_type IN ('click', 'view')",
         "unevaluated": "SELECT event_type AS stage, count(DISTINCT user_id % 4) AS n FROM events GROUP BY event_type",
         "separability": f"WITH {LABELLED} SELECT feature, auc, overlap FROM ({one}) ORDER BY auc DESC, i LIMIT 1",

@@ -25,6 +25,11 @@ def view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.prepare(with_as_of(shipments(spark, sf_dir)))
 
 
+def held(spark: SparkSession, d: str) -> DataFrame:
+    """(shipment_id, doc, field): the fields of each bill that are held, and so may change."""
+    return view(spark, d).select("shipment_id", F.lit("bl").alias("doc"), F.explode(F.split("held", ",")).alias("field")).where("field <> ''")
+
+
 def queries() -> dict:
     rules, crosses = {r.id: r for r in RULES}, {r.id: r for r in CROSS_RULES}
 
@@ -52,7 +57,8 @@ def queries() -> dict:
         "outlook": lambda spark, d: report.outlook(verdict.row_scores(row(spark, d)), report.deadline(view(spark, d))),
         "recommendations": lambda spark, d: report.recommendations(fact(spark, d)),
         "status_pivot": lambda spark, d: report.status_pivot(fact(spark, d)),
-        "impact_edges": lambda spark, d: impact.edges(spark),
+        "impact_edges": lambda spark, d: impact.edges(spark).join(held(spark, d).groupBy("doc", "field").agg(F.count("*").alias("n_held")), ["doc", "field"], "left").fillna(0, ["n_held"]),
+        "impacted_fields": lambda spark, d: impact.impacted(impact.edges(spark), held(spark, d)),
         "impact_neighbors": lambda spark, d: impact.exposed(impact.edges(spark), verdict.facts(view(spark, d))),
         "clean_base": lambda spark, d: report.clean_base(view(spark, d)),
     }
@@ -68,6 +74,9 @@ DEADLINE = f"""SELECT shipment_id, due, expiry, least(coalesce(due, expiry), coa
  FROM (SELECT shipment_id, as_of, CAST({sql.day(sql.first(("on_board_date", "date_of_issue")))} + lc_presentation_days AS DATE) AS due, {sql.day("lc_expiry_date")} AS expiry FROM s)"""
 
 
+HELD = "h AS (SELECT shipment_id, field FROM (SELECT shipment_id, unnest(string_split(held, ',')) AS field FROM s) WHERE field <> '')"
+
+
 def oracle_sql() -> dict[str, str]:
     rules, crosses = {r.id: r for r in RULES}, {r.id: r for r in CROSS_RULES}
     f, scores = sql.facts_cte(), SCORES.format(f="f")
@@ -90,7 +99,8 @@ def oracle_sql() -> dict[str, str]:
         "outlook": with_query(f"SELECT v.shipment_id, CASE WHEN days_left < 0 THEN 'overdue' WHEN n_critical > 0 THEN 'critical' WHEN n_warning > 0 THEN 'warning' ELSE 'clean' END AS outlook, days_left FROM ({scores}) v LEFT JOIN ({DEADLINE}) d ON v.shipment_id = d.shipment_id", f),
         "recommendations": with_query("SELECT shipment_id, rule_id, row_number() OVER (PARTITION BY shipment_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, weight DESC, rule_id) AS place FROM f WHERE status = 'violated'", f),
         "status_pivot": with_query("SELECT rule_id, severity, " + ", ".join(f"count(*) FILTER (status = '{x}') AS \"{x}\"" for x in ("pass", "violated", "not_evaluated", "held")) + " FROM f GROUP BY rule_id, severity", f),
-        "impact_edges": edges,
+        "impact_edges": with_query(f"SELECT e.*, coalesce(n, 0) AS n_held FROM ({edges}) e LEFT JOIN (SELECT 'bl' AS doc, field, count(*) AS n FROM h GROUP BY field) USING (doc, field)", HELD),
+        "impacted_fields": with_query(f"SELECT shipment_id, e.* FROM h JOIN ({edges}) e ON e.doc = 'bl' AND e.field = h.field", HELD),
         "impact_neighbors": with_query(f"SELECT e.doc, e.field, e.to_doc, e.to_field, e.rule_id, count(*) FILTER (f.status = 'violated') AS n_violated FROM ({edges}) e JOIN f ON e.rule_id = f.rule_id GROUP BY ALL", f),
         "clean_base": with_query(report.clean_base_sql()),
     }
