@@ -144,6 +144,8 @@ def oracle_sql() -> dict[str, str]:
  z AS (SELECT query, term, round(2.0 * CAST(common AS DOUBLE) / CAST(x.n + y.n AS DOUBLE), 6) AS score FROM j JOIN t x ON x.text = query JOIN t y ON y.text = term)
  SELECT * FROM (SELECT query, term, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, term) AS place FROM z WHERE score >= 0.55) WHERE place <= 5""",
         "phrase_scan": "SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\\b(idiot|clown|pathetic|worthless)\\b')) AS BIGINT) AS n_whole, CAST((length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 AS BIGINT) AS n_part FROM documents",
+        "span_overlap": """WITH s AS (SELECT DISTINCT user_id AS g, CAST(event_id * 7 % 400 AS BIGINT) AS a, CAST(event_id * 7 % 400 + event_id * 3 % 23 AS BIGINT) AS b FROM events), l AS (SELECT g, list({'a': a, 'b': b} ORDER BY a - b, a, b) AS f FROM s WHERE a < b GROUP BY g),
+ k AS (SELECT g, unnest(list_reduce(f, lambda acc, x: CASE WHEN len(list_filter(acc, lambda t: t.a < x.b AND x.a < t.b)) = 0 THEN list_append(acc, x) ELSE acc END, f[1:0])) AS x FROM l) SELECT g AS "group", x.a AS "start", x.b AS "end" FROM k""",
         "apply_spans": "SELECT p_partkey, '<X>' || substr(p_name, instr(p_name, ' '), length(p_name) - instr(p_name, ' ')) || '!' AS text FROM part",
         "token_jaccard": f"SELECT p_partkey, round(len(list_intersect({x}, {y}))::DOUBLE / len({both}), 6) AS jaccard, round(len(list_intersect({x}, {y}))::DOUBLE / least(len({x}), len({y})), 6) AS overlap FROM {pairs}",
         "levenshtein_ratio": f"SELECT p_partkey, round(CASE WHEN a = b THEN 0.0 ELSE levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END, 6) AS ratio FROM {pairs}",
