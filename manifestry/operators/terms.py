@@ -114,7 +114,13 @@ def resolve(hits: DataFrame, by: list[str]) -> DataFrame:
 
 
 def dice_top_k(queries: DataFrame, terms: DataFrame, k: int = TOP_K, floor: float = FLOOR) -> DataFrame:
-    """(query, term, score, place): Dice over 3-gram multisets, at or above the floor, the best k of each query.
+    """(query, term, score, place): the best k terms of each query, at or above the floor."""
+    scored = dice_pairs(queries, terms, floor)
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "term")).cast("long")).where(F.col("place") <= k)
+
+
+def dice_pairs(queries: DataFrame, terms: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """(query, term, score): Dice over 3-gram multisets of the different texts (text) of both sides, at or above the floor.
 
     Two texts at or above the floor share at least floor / (2 - floor) of either one's grams, so they share one of the
     rarest that are left over (an exact prefix filter).  Only those meet in the equi-join; the pairs that
@@ -138,8 +144,7 @@ def dice_top_k(queries: DataFrame, terms: DataFrame, k: int = TOP_K, floor: floa
     met = prefix(left, "query").join(prefix(right, "term"), "item")
     pairs = met.where((F.col("n_term") >= share * F.col("n_query") - 1e-9) & (F.col("n_query") >= share * F.col("n_term") - 1e-9)).select("query", "term").distinct()
     whole = pairs.join(left.select(F.col("text").alias("query"), F.col("items").alias("a")), "query").join(right.select(F.col("text").alias("term"), F.col("items").alias("b")), "term")
-    scored = whole.select("query", "term", F.round(2.0 * F.size(F.array_intersect("a", "b")) / (F.size("a") + F.size("b")), 6).alias("score")).where(F.col("score") >= floor)
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "term")).cast("long")).where(F.col("place") <= k)
+    return whole.select("query", "term", F.round(2.0 * F.size(F.array_intersect("a", "b")) / (F.size("a") + F.size("b")), 6).alias("score")).where(F.col("score") >= floor)
 
 
 def runs(spans: DataFrame) -> DataFrame:
