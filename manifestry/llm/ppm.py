@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, id_and_bytes, is_fold
+from .common import checkpoint, id_and_bytes, is_fold, spread
 
 ORDER = 5
 #: The end symbol: a byte that no word can hold.
@@ -259,15 +259,21 @@ def log_probabilities(grams: DataFrame, tries: int) -> DataFrame:
     now = now.select("gram", *per(lambda k: (n(k), t(k), d(k), (-F.log10(least(256 - d(k)))).alias(f"w{k}"))))
     now = now.select("*", *per(lambda k: (F.when(t(k) == 0, w(k)).when(n(k) > 0, F.log10((n(k) - 0.5) / t(k))).otherwise(F.log10(d(k) / 2 / t(k)) + w(k)).alias(f"s{k}"),)))
     for order in range(1, ORDER + 1):
-        below = now.select(F.col("gram").alias("below"), *per(lambda k: (F.col(f"{x}{k}").alias(f"b{x}{k}") for x in "ntdsw")))
         own = F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1))
         if order <= 2:  # at most 256 and 65,536 rows
+            below = now.select(F.col("gram").alias("below"), *per(lambda k: (F.col(f"{x}{k}").alias(f"b{x}{k}") for x in "ntdsw")))
             joined = summed(order).join(F.broadcast(below), own == F.col("below"))
         else:
-            # dealt by what the gram's context and the shorter gram's have in common, of which at most 256 of these
-            # hang, so that the window over the context finds its rows together and they are not dealt again
+            # the shorter grams of one context, at most 256, stand in one row of arrays, so that each gram meets one row; the join
+            # deals both sides by the shorter context, so that the window over the context finds its rows together
+            symbol = F.col("gram").bitwiseAND(F.lit(255)).cast("int")
+            each = F.struct(symbol.alias("symbol"), *per(lambda k: (F.col(f"{x}{k}") for x in "nsw")))
+            kinds = now.groupBy(F.shiftright("gram", 8).alias("mid")).agg(F.collect_list(each).alias("all"), *per(lambda k: (F.first(f"{x}{k}").alias(f"b{x}{k}") for x in "td")))
+            part = lambda name: F.transform("all", lambda x: x[name])
+            below = kinds.select("mid", part("symbol").alias("symbols"), *per(lambda k: (part(f"{x}{k}").alias(f"all_{x}{k}") for x in "nsw")), *per(lambda k: (F.col(f"b{x}{k}") for x in "td")))
             mid = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))
-            joined = summed(order).withColumn("mid", mid).join(below.withColumn("below_mid", F.shiftright("below", 8)), (F.col("mid") == F.col("below_mid")) & (own.bitwiseXOR(F.col("below")) < 1))
+            met = summed(order).withColumn("mid", mid).join(below, "mid").withColumn("at", F.array_position("symbols", symbol).cast("int"))
+            joined = met.select("mid", "gram", *per(lambda k: (n(k), F.col(f"bt{k}"), F.col(f"bd{k}"), *(F.element_at(f"all_{x}{k}", F.col("at")).alias(f"b{x}{k}") for x in "nsw"))))
         now = in_context(joined, [(F.when(n(k) > 0, F.col(f"bn{k}")).otherwise(0), f"off{k}") for k in range(tries)])
 
         def escaped(k: int) -> Column:
@@ -375,7 +381,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, kinds
         trie = F.when(F.col(kinds).eqNullSafe(F.lit(value)), F.lit(k)).otherwise(trie)
     trie = F.when(held, F.lit(-1)).otherwise(trie).alias("trie")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    packed = checkpoint(id_and_bytes(docs, "doc_id", "text", held.alias("held_out"), trie).mapInArrow(_batches, _BATCH))
+    packed = checkpoint(spread(id_and_bytes(docs, "doc_id", "text", held.alias("held_out"), trie)).mapInArrow(_batches, _BATCH))
     counted = checkpoint(packed.select("keys", "counts").mapInArrow(_counts, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
     words = counted.where(F.col("key") >= WORD)
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
