@@ -348,8 +348,10 @@ def _score_batch(pdf: pd.DataFrame, buckets: int, tries: int) -> pd.DataFrame:
     starts = np.unique(np.searchsorted(np.cumsum(lengths), np.arange(0, lengths.sum() + AT_ONCE, AT_ONCE), side="right"))
     for start, end in zip(starts[:-1], starts[1:]):
         some = list(zip(docs["before"][start:end].to_pylist(), docs["spelled"][start:end].to_pylist()))
-        at, here = np.searchsorted(grams, grams_of(some)), lengths[start:end]
-        sums = np.column_stack([np.add.reduceat(logs[at, k], np.cumsum(here) - here, dtype=np.float64) for k in range(tries)])
+        # each different gram is looked up once, in order, and the bytes then read from a table that stays in the cache
+        kinds, place = np.unique(grams_of(some), return_inverse=True)
+        found, here = logs[np.searchsorted(grams, kinds)], lengths[start:end]
+        sums = np.column_stack([np.add.reduceat(np.ascontiguousarray(found[:, k])[place], np.cumsum(here) - here, dtype=np.float64) for k in range(tries)])
         for (_, spelled), total in zip(some, sums.tolist()):
             known = [value[word] for word in words_of(spelled)]
             out.append((len(known), sum(v > 0 for v in known), sum(known), *total))
