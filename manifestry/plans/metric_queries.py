@@ -41,7 +41,7 @@ def values(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id") % 8
     return docs.select(
         "doc_id", span.alias("span"), (F.size("words") >= F.col("end")).alias("exists"),
-        F.when(k == 0, F.upper(span)).when(k == 1, F.element_at(F.split(span, " "), 1)).when(k == 2, "12.5").when(k == 3, " ").when(k == 4, F.concat(span, F.lit("s"))).otherwise(span).alias("value"),
+        F.when(k == 0, evidence.upper(span)).when(k == 1, F.element_at(F.split(span, " "), 1)).when(k == 2, "12.5").when(k == 3, " ").when(k == 4, F.concat(span, F.lit("s"))).otherwise(span).alias("value"),
         F.when(k == 5, "MANUAL").when(k == 6, "JSON").otherwise("OCR").alias("extractor"), (k % 2 == 0).alias("representative"), F.when(k == 4, "required").otherwise("confirmed").alias("grade"),
     ).withColumn("o", evidence.chain(F.col("value"), F.col("span"), F.col("exists"), F.col("extractor"))).select("*", "o.status", "o.derivation").drop("o")
 
