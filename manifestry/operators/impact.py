@@ -29,8 +29,12 @@ def edges_sql() -> str:
 
 
 def impacted(graph: DataFrame, changed: DataFrame) -> DataFrame:
-    """(doc, field, further columns such as the shipment) of ``changed`` to the fields next to them; each rule once."""
-    return changed.join(graph, ["doc", "field"]).dropDuplicates([*changed.columns, "to_doc", "to_field", "rule_id"])
+    """(doc, field, further columns such as the shipment) of ``changed`` to the fields next to them; each rule once.
+
+    The graph, a row for each pair of fields that a catalog's rule ties together, goes to every task: by field, of which
+    there are few, a shuffle would bring all shipments to a few tasks.
+    """
+    return changed.join(F.broadcast(graph), ["doc", "field"]).dropDuplicates([*changed.columns, "to_doc", "to_field", "rule_id"])
 
 
 def exposed(graph: DataFrame, fact: DataFrame) -> DataFrame:
