@@ -126,3 +126,12 @@ def test_impacts_do_not_meet_by_field(spark):
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     edges = [e for e in impact.pairs() if e[:2] == ("bl", "consignee")]
     assert out.count() == 200 * len(edges) and edges
+
+
+def test_recalls_join_nothing(spark):
+    """Each shipment is judged once, in its row: one join in the plan (orders and customers), no shuffle of outcomes."""
+    from manifestry.plans import metric_queries
+
+    plan = metric_queries.per_defect_recall(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line.lstrip(" :+-") for line in plan.splitlines()]
+    assert sum(line.startswith("Join ") for line in lines) == 1 and not any(line.startswith("Generate explode") for line in lines)
