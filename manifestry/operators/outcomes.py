@@ -167,12 +167,15 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def same_values(fields: DataFrame) -> DataFrame:
-    """(shipment_id, field, value) with the other fields of the shipment that say the same, by loose key, in order."""
-    keyed = fields.withColumn("key", s.loose_key(F.col("value"))).where("key <> ''")
-    group = keyed.groupBy("shipment_id", "key").agg(F.array_sort(F.collect_list("field")).alias("all"))
-    others = F.array_except("all", F.array("field"))
-    return keyed.join(group, ["shipment_id", "key"]).where(F.size("all") > 1).select("shipment_id", "field", F.array_join(others, ",").alias("others"))
+def same_values(shipments: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(shipment_id, field, others): the other fields of the shipment that say the same, by loose key, in order.
+
+    A shipment's fields stand in its row and are compared there; nothing is shuffled or joined.
+    """
+    keyed = shipments.select("shipment_id", *(s.loose_key(F.col(f)).alias(f) for f in fields))
+    others = lambda f: F.concat_ws(",", *(F.when((F.col(f) != "") & (F.col(f) == F.col(o)), F.lit(o)) for o in sorted(fields) if o != f))
+    each = keyed.select("shipment_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), others(f).alias("others")) for f in fields))).alias("x"))
+    return each.select("shipment_id", "x.*").where("others <> ''")
 
 
 def render(shipments: DataFrame, fields: tuple[str, ...]) -> DataFrame:

@@ -61,12 +61,6 @@ def merged_glossary(spark: SparkSession, d: str) -> DataFrame:
     return outcomes.upsert(old, new)
 
 
-def party_fields(spark: SparkSession, d: str) -> DataFrame:
-    view = rule_queries.view(spark, d)
-    pairs = F.explode(F.array(*(F.struct(F.lit(p).alias("field"), F.col(p).alias("value")) for p in PARTIES)))
-    return view.select("shipment_id", pairs.alias("x")).select("shipment_id", "x.field", "x.value")
-
-
 def reattached(spark: SparkSession, d: str) -> DataFrame:
     """Part names as documents; the value is two of the words, changed in different ways."""
     w, k = F.split("p_name", " "), F.col("p_partkey") % 4
@@ -120,7 +114,7 @@ def queries() -> dict:
         "unknown_types": lambda spark, d: table(spark, d, "events").where(~F.col("event_type").isin(*KNOWN_TYPES)).groupBy("event_type").agg(F.count("*").alias("n")),
         "tier_divergence": divergence,
         "glossary_upsert": merged_glossary,
-        "same_values": lambda spark, d: outcomes.same_values(party_fields(spark, d)),
+        "same_values": lambda spark, d: outcomes.same_values(rule_queries.view(spark, d), PARTIES),
         "rendered": lambda spark, d: outcomes.render(rule_queries.view(spark, d), features.BL_FIELDS),
         "readiness": lambda spark, d: outcomes.readiness(graded(spark, d).withColumnRenamed("event_type", "field"), "user_id", CRITICAL_FIELDS),
         "bbox_union": lambda spark, d: tokens(spark, d).groupBy("document_id").agg(F.min("x_min").alias("x_min"), F.min("y_min").alias("y_min"), F.max("x_max").alias("x_max"), F.max("y_max").alias("y_max")),
