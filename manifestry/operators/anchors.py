@@ -1,7 +1,8 @@
 """Values by their printed labels: the boxes to the right of a label and below it, up to the next label.
 
 A page's boxes, some hundreds, stand in one array of its row, so that all fields are looked up in one projection
-without a join; the array is put together by one aggregate over the tokens.
+without a join. Where a document's boxes come as rows, one aggregate over the tokens puts the array together (``pages``);
+where they stand in its row already, nothing is shuffled (``page``).
 """
 
 from __future__ import annotations
@@ -57,17 +58,37 @@ def pages(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("document_id").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
 
 
-def located(boxes: Column, labels: list[str]) -> Column:
-    """The first box that is, or else holds, the first label that any box has."""
-    return F.coalesce(*(t for label in map(plain, labels) if label for t in (_is(boxes, label), _has(boxes, label))))
+def page(boxes: Column) -> Column:
+    """As ``boxes`` of ``pages``, from an array of one document's boxes (idx, text, x_min, y_min, x_max, y_max)."""
+    box = lambda b: F.struct(*(b[c].alias(c) for c in BOX), _norm(b["text"]).alias("norm"), ((b["y_min"] + b["y_max"]) / 2).alias("y"), F.lit(1.0).alias("confidence"))
+    return F.sort_array(F.transform(boxes, box))
 
 
-def _is(boxes: Column, label: str) -> Column:
-    return F.get(F.filter(boxes, lambda b: b["norm"] == label), F.lit(0))
+def lines(boxes: Column) -> Column:
+    """The boxes' plain texts, each between line ends: a label is looked for in all of them at once."""
+    return F.concat(F.lit("\n"), F.array_join(F.transform(boxes, lambda b: F.coalesce(b["norm"], F.lit(""))), "\n"), F.lit("\n"))
 
 
-def _has(boxes: Column, label: str) -> Column:
-    return F.get(F.filter(boxes, lambda b: F.contains(b["norm"], F.lit(label))), F.lit(0))
+def first_label(text: Column, labels: list[str]) -> Column:
+    """Where in the boxes' ``lines`` the first label that any box has stands: as a box of its own, or else within one."""
+    found = None
+    for label in filter(None, map(plain, labels)):
+        whole, part = F.instr(text, f"\n{label}\n"), F.instr(text, label)
+        found = (F if found is None else found).when(part > 0, F.when(whole > 0, whole).otherwise(part))
+    return found
+
+
+def place(text: Column, position: Column) -> Column:
+    """Which box holds the position in the ``lines``, from 0; null without one."""
+    upto = F.substring(text, F.lit(1), position)
+    return F.length(upto) - F.length(F.replace(upto, F.lit("\n"), F.lit(""))) - 1
+
+
+def located(boxes: Column, labels: list[str], at: Column | None = None) -> Column:
+    """The first box that is, or else holds, the first label that any box has (``at``: its ``place``, if that is a column already)."""
+    if at is None:
+        at = s.bound(lines(boxes), lambda text: s.bound(first_label(text, labels), lambda position: place(text, position)))
+    return F.get(boxes, at)
 
 
 def stop_labels(labels: dict = LABELS, more: tuple[str, ...] = ()) -> list[str]:
@@ -77,10 +98,10 @@ def stop_labels(labels: dict = LABELS, more: tuple[str, ...] = ()) -> list[str]:
 
 def is_label(norm: Column, stops: list[str]) -> Column:
     """Does the text begin with a label and go on for little more?"""
-    return (norm != "") & F.exists(s.words(stops), lambda w: norm.startswith(w) & (F.length(norm) <= F.length(w) + SLACK))
+    return (norm != "") & norm.rlike(f"^(?:{'|'.join(stops)}).{{0,{SLACK}}}$")
 
 
-def picked(boxes: Column, labels: list[str], stops: list[str], same_line: bool = False) -> Column:
+def picked(boxes: Column, labels: list[str], stops: list[str], same_line: bool = False, at: Column | None = None) -> Column:
     """The boxes that belong to the label: to its right, then (unless ``same_line``) below, each up to the next label.
 
     Distances are measured in the label's own height, so that they hold at every scale.  Null without a label.
@@ -92,27 +113,35 @@ def picked(boxes: Column, labels: list[str], stops: list[str], same_line: bool =
 
     def ordered(seq: Column, *by: str) -> Column:
         keyed = F.transform(seq, lambda b: F.struct(*(b[c] for c in (*by, "idx")), b.alias("box")))
-        return F.transform(F.array_sort(keyed), lambda k: k["box"])
+        return F.transform(F.sort_array(keyed), lambda k: k["box"])
 
-    def of(anchor: Column) -> Column:
-        height = F.greatest(anchor["y_max"] - anchor["y_min"], F.lit(1.0))
-        right = ordered(F.filter(boxes, lambda b: (F.abs(b["y"] - anchor["y"]) <= height * 0.7) & (b["x_min"] > anchor["x_max"])), "x_min")
+    def among(anchor: Column, near: Column) -> Column:
+        height = anchor["height"]
+        right = ordered(F.filter(near, lambda b: (F.abs(b["y"] - anchor["y"]) <= height * 0.7) & (b["x_min"] > anchor["x_max"])), "x_min")
         parts = [s.bound(right, until_label)]
         if not same_line:
-            under = F.filter(boxes, lambda b: (b["y"] > anchor["y"] + height * 0.3) & (b["y"] < anchor["y"] + height * 2.5) & (b["x_min"] >= anchor["x_min"] - height) & (b["x_min"] <= anchor["x_max"] + height * 4))
+            under = F.filter(near, lambda b: (b["y"] > anchor["y"] + height * 0.3) & (b["y"] < anchor["y"] + height * 2.5) & (b["x_min"] >= anchor["x_min"] - height) & (b["x_min"] <= anchor["x_max"] + height * 4))
             parts.append(s.bound(ordered(under, "y", "x_min"), until_label))
         return F.slice(F.concat(*parts), 1, MOST_BOXES)
 
-    return s.bound(located(boxes, labels), lambda anchor: F.when(anchor.isNotNull(), of(anchor)))
+    def of(anchor: Column) -> Column:
+        near = F.filter(boxes, lambda b: (b["y"] >= anchor["above"]) & (b["y"] <= anchor["below"]))  # a little more than is asked for
+        return s.bound(near, lambda some: among(anchor, some))
+
+    def measured(box: Column) -> Column:
+        height = F.greatest(box["y_max"] - box["y_min"], F.lit(1.0))
+        return F.struct(*(box[c].alias(c) for c in ("y", "x_min", "x_max")), height.alias("height"), (box["y"] - height).alias("above"), (box["y"] + height * 3).alias("below"))
+
+    return s.bound(located(boxes, labels, at), lambda box: F.when(box.isNotNull(), s.bound(measured(box), of)))
 
 
 def _text(some: Column) -> Column:
-    return F.nullif(F.trim(F.array_join(F.transform(some, lambda b: b["text"]), " ")), F.lit(""))
+    return s.bound(F.trim(F.array_join(F.transform(some, lambda b: b["text"]), " ")), lambda t: F.when(t != "", t))
 
 
-def found(boxes: Column, labels: list[str], stops: list[str], same_line: bool = False) -> Column:
+def found(boxes: Column, labels: list[str], stops: list[str], same_line: bool = False, at: Column | None = None) -> Column:
     """The text of the boxes that belong to the label; null without a label or a box."""
-    return _text(picked(boxes, labels, stops, same_line))
+    return _text(picked(boxes, labels, stops, same_line, at))
 
 
 def found_surely(boxes: Column, labels: list[str], stops: list[str], same_line: bool = False) -> Column:
@@ -125,11 +154,11 @@ def dates_in(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(DATE), 1), plausible_date)
 
 
-def date_found(boxes: Column, labels: list[str], stops: list[str]) -> Column:
+def date_found(boxes: Column, labels: list[str], stops: list[str], at: Column | None = None) -> Column:
     """The last date of the label's own boxes; only a document without the label is read as a whole."""
     whole = F.array_join(F.transform(F.array_sort(F.transform(boxes, lambda b: F.struct(b["y"], b["idx"], b["text"].alias("text")))), lambda b: b["text"]), " ")
-    last = lambda text: F.try_element_at(dates_in(text), F.lit(-1))
-    return F.when(located(boxes, labels).isNotNull(), last(found(boxes, labels, stops))).otherwise(last(whole))
+    last = lambda words: F.try_element_at(dates_in(words), F.lit(-1))
+    return s.bound(picked(boxes, labels, stops, at=at), lambda some: F.when(some.isNotNull(), last(_text(some))).otherwise(last(whole)))
 
 
 def region_or_anchor(region: Column, anchor: Column, region_confidence: Column, anchor_confidence: Column, anchor_first: bool = False) -> Column:

@@ -1,5 +1,8 @@
 """What is asked of a row stays in its row: plans without the shuffles that grew faster than the tables."""
 
+from pyspark.sql import functions as F
+
+from manifestry.operators import anchors
 from manifestry.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -13,3 +16,20 @@ def test_same_values_are_found_in_the_row(spark):
     p = plan(catalog.queries()["same_values"](spark, DATA))
     assert "Aggregate" not in p and p.count("Join") <= 4  # the orders' customers alone are joined
     assert "hashpartitioning(shipment_id" not in p
+
+
+def test_anchors_are_looked_up_in_the_row(spark):
+    p = plan(catalog.queries()["anchor_fields"](spark, DATA))
+    assert "Aggregate" not in p and "Generate" not in p
+
+
+def test_boxes_in_a_row_are_the_boxes_of_its_tokens(spark):
+    rows = [(2, "Notify Party", 0, 0, 120, 20), (0, "Port of Loading / POL", 0, 50, 150, 70), (1, "POL", 0, 90, 30, 110), (3, "BUSAN", 40, 90, 90, 110), (4, None, 0, 0, 1, 1)]
+    tokens = spark.createDataFrame(rows, "idx int, text string, x_min int, y_min int, x_max int, y_max int").withColumn("document_id", F.lit(1))
+    both = anchors.pages(tokens), tokens.groupBy("document_id").agg(F.collect_list(F.struct(*anchors.BOX)).alias("b")).select("document_id", anchors.page(F.col("b")).alias("boxes"))
+    assert both[0].collect() == both[1].collect()
+    boxes, stops = F.col("boxes"), anchors.stop_labels()
+    of = lambda labels: anchors.located(boxes, labels)["idx"]
+    # the first label counts before the first box; a box that is the label before one that holds it
+    r = both[0].select(of(["POL"]).alias("whole"), of(["LOADING", "POL"]).alias("part"), of(["VESSEL"]).alias("none"), anchors.found(boxes, ["POL"], stops).alias("value")).first()
+    assert tuple(r) == (1, 0, None, "BUSAN")
