@@ -139,12 +139,12 @@ def split_source(source: Column) -> Column:
 
 
 def by_article(rules: DataFrame) -> DataFrame:
-    """(article, n, worst, place) of rules (source, rank of severity): the worst first, then the larger, then by name.
+    """(article, n, worst, place) of rules (source, rank of severity, how many of them): the worst first, then the larger, then by name.
 
     A catalog's articles are few, so the places are given in one task.
     """
     article = F.coalesce(F.nullif(split_source(F.coalesce("source", F.lit("")))["article"], F.lit("")), F.lit("(none)"))
-    per = rules.groupBy(article.alias("article")).agg(F.count("*").alias("n"), F.min("rank").alias("worst"))
+    per = rules.groupBy(article.alias("article")).agg(F.sum("n").alias("n"), F.min("rank").alias("worst"))
     return per.withColumn("place", F.row_number().over(Window.orderBy("worst", F.desc("n"), "article")).cast("long"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from manifestry.operators import anchors
+from manifestry.operators import anchors, records
 from manifestry.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -33,3 +33,8 @@ def test_boxes_in_a_row_are_the_boxes_of_its_tokens(spark):
     # the first label counts before the first box; a box that is the label before one that holds it
     r = both[0].select(of(["POL"]).alias("whole"), of(["LOADING", "POL"]).alias("part"), of(["VESSEL"]).alias("none"), anchors.found(boxes, ["POL"], stops).alias("value")).first()
     assert tuple(r) == (1, 0, None, "BUSAN")
+
+
+def test_articles_add_up_counted_rules(spark):
+    rows = spark.createDataFrame([("A - x", 1, 3), ("A - y", 0, 2), ("", 2, 7)], "source string, rank int, n bigint")
+    assert [tuple(r) for r in records.by_article(rows).orderBy("place").collect()] == [("A", 5, 0, 1), ("(none)", 7, 2, 2)]
