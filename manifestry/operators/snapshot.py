@@ -40,7 +40,7 @@ def _rules() -> dict[str, Column]:
     """1 violated, 0 passed, NaN skipped or held; then counts, weights and the fields that violations name."""
     at = {r.id: F.get("outcomes", F.lit(i)) for i, r in enumerate(RULE_FEATURES)}
     skipped = lambda r: r["status"].isin(NOT_EVALUATED, HELD)
-    bad = F.filter("outcomes", is_bad)
+    bad = F.col("bad")
     of = lambda severity: F.size(F.filter(bad, lambda r: r["severity"] == severity)).cast("double")
     fields = F.array(*(F.when(is_bad(at[r.id]), F.array(*map(F.lit, r.fields)) if r.fields else F.array().cast("array<string>")) for r in RULE_FEATURES))
     total = lambda seq, value: F.aggregate(seq, F.lit(0.0), lambda a, r: a + value(r))
@@ -53,9 +53,8 @@ def _rules() -> dict[str, Column]:
 
 
 def _documents() -> dict[str, Column]:
-    pairs = F.filter("party_pairs", lambda p: p["a"].isNotNull() & p["b"].isNotNull())
-    ratios = F.transform(pairs, lambda p: s.levenshtein_ratio(F.upper(F.trim(p["a"])), F.upper(F.trim(p["b"]))))
-    mean = s.bound(ratios, lambda r: F.try_divide(F.aggregate(r, F.lit(0.0), lambda a, x: a + x), F.size(r)))
+    ratios = F.col("ratios")
+    mean = F.try_divide(F.aggregate(ratios, F.lit(0.0), lambda a, x: a + x), F.size(ratios))
     apart = lambda a, b: _or_nan(s.deviation_ratio(F.col(a), F.col(b)))
     return {
         "dc_max_edit_distance_ratio": _or_nan(F.array_max(ratios)), "dc_mean_edit_distance_ratio": _or_nan(mean), "dc_qty_deviation_ratio": apart("bl_qty", "packing_qty"), "dc_weight_deviation_ratio": apart("bl_weight", "packing_weight"),
@@ -63,6 +62,15 @@ def _documents() -> dict[str, Column]:
     }
 
 
+def _ratios() -> Column:
+    pairs = F.filter("party_pairs", lambda p: p["a"].isNotNull() & p["b"].isNotNull())
+    return F.transform(pairs, lambda p: s.levenshtein_ratio(F.upper(F.trim(p["a"])), F.upper(F.trim(p["b"]))))
+
+
+#: What several features of a group read: worked out once, in columns of their own.
+SHARED = {"RULE_VIOLATION": {"bad": lambda: F.filter("outcomes", is_bad)}, "DOC_CONSISTENCY": {"ratios": _ratios}}
+
+
 def _extraction() -> dict[str, Column]:
     sure = F.coalesce(F.map_values("confidences"), F.array().cast("array<double>"))
     some = lambda c: F.size(F.filter(sure, c)).cast("double")
@@ -147,7 +155,8 @@ def features(rows: DataFrame, groups: tuple[str, ...] = tuple(GROUPS)) -> DataFr
     semantic (struct, null without one).
     """
     made = {name: c for g in groups for name, c in GROUPS[g]().items()}
-    return rows.select("shipment_id", *(made[n].alias(n) for n in NAMES if n in made))
+    shared = {name: c() for g in groups for name, c in SHARED.get(g, {}).items()}
+    return rows.withColumns(shared).select("shipment_id", *(made[n].alias(n) for n in NAMES if n in made))
 
 
 def vectorized(rows: DataFrame, groups: tuple[str, ...] = tuple(GROUPS)) -> DataFrame:
@@ -167,17 +176,22 @@ def semantic(rows: DataFrame) -> DataFrame:
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.upper(text(c)), F.lit("([A-Z0-9]+)"), 1))
     known = lambda a, b, c: F.when((text(a) != "") | (text(b) != ""), c)
     both = lambda a, b: F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.coalesce(s.overlap_share(a, b), F.lit(0.0)))
-    goods = known("bl_goods", "invoice_goods", s.jaccard(words("bl_goods"), words("invoice_goods")))
-    share = known("bl_goods", "invoice_goods", both(words("bl_goods"), words("invoice_goods")))
-    party = known("bl_consignee", "invoice_consignee", s.jaccard(words("bl_consignee"), words("invoice_consignee")))
     apart = lambda a, b: F.coalesce((s.deviation_ratio(F.col(a), F.col(b)) > CONFLICT_ABOVE).cast("int"), F.lit(0))
     low = lambda c: F.coalesce((c < ALIKE_FROM).cast("int"), F.lit(0))
-    conflicts = low(goods) + low(party) + apart("bl_qty", "packing_qty") + apart("bl_weight", "packing_weight") + apart("invoice_amount", "computed_amount")
+    # the texts' words and what is read more than once stand in columns of their own, each worked out once
+    texts = ("bl_goods", "invoice_goods", "bl_consignee", "invoice_consignee")
+    w = {c: F.col(f"words_{c}") for c in texts}
     terms = F.coalesce(F.col("credit")["conditions_47a"], F.lit(""))
+    told = rows.withColumns({f"words_{c}": words(c) for c in texts} | {"kinds": F.when(F.col("credit").isNotNull(), classify_conditions(terms))})
+    told = told.withColumns({
+        "alike_goods": known("bl_goods", "invoice_goods", s.jaccard(w["bl_goods"], w["invoice_goods"])), "alike_party": known("bl_consignee", "invoice_consignee", s.jaccard(w["bl_consignee"], w["invoice_consignee"])),
+    })
+    goods, party, kinds = F.col("alike_goods"), F.col("alike_party"), F.col("kinds")
+    share = known("bl_goods", "invoice_goods", both(w["bl_goods"], w["invoice_goods"]))
+    conflicts = low(goods) + low(party) + apart("bl_qty", "packing_qty") + apart("bl_weight", "packing_weight") + apart("invoice_amount", "computed_amount")
     n = F.size(F.filter(F.split(terms, ";"), lambda c: F.trim(c) != ""))
     complexity = F.when(F.col("credit").isNotNull(), 0.5 * F.least(n / 6, F.lit(1.0)) + 0.5 * F.least(F.length(terms) / 800, F.lit(1.0)))
-    kinds = F.when(F.col("credit").isNotNull(), classify_conditions(terms))
-    return rows.withColumn("semantic", F.struct(
+    return told.withColumn("semantic", F.struct(
         kinds["verifiable_ratio"].alias("verifiable_ratio"), kinds["n_unverifiable"].alias("unverifiable_count"), goods.alias("goods"), share.alias("goods_invoice"), party.alias("party_min"),
         conflicts.alias("conflicts"), complexity.alias("complexity"),
-    ))
+    )).drop(*(f"words_{c}" for c in texts), "kinds", "alike_goods", "alike_party")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from manifestry.operators import anchors, records
+from manifestry.operators import anchors, records, snapshot
 from manifestry.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -38,3 +38,13 @@ def test_boxes_in_a_row_are_the_boxes_of_its_tokens(spark):
 def test_articles_add_up_counted_rules(spark):
     rows = spark.createDataFrame([("A - x", 1, 3), ("A - y", 0, 2), ("", 2, 7)], "source string, rank int, n bigint")
     assert [tuple(r) for r in records.by_article(rows).orderBy("place").collect()] == [("A", 5, 0, 1), ("(none)", 7, 2, 2)]
+
+
+def test_edit_distances_are_worked_out_once(spark):
+    names = ("bl_qty", "packing_qty", "bl_weight", "packing_weight", "invoice_amount", "computed_amount")
+    pairs = "array(named_struct('a', concat('AB', id), 'b', concat('AC', id)), named_struct('a', 'X', 'b', IF(id >= 0, NULL, 'X'))) AS party_pairs"
+    rows = spark.range(2).selectExpr("id AS shipment_id", pairs, "id AS conflict_fields", *(f"double(id) AS {n}" for n in names))
+    df = snapshot.features(rows, ("DOC_CONSISTENCY",))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("levenshtein(") == 1
+    r = df.orderBy("shipment_id").first()
+    assert (round(r.dc_max_edit_distance_ratio, 6), round(r.dc_mean_edit_distance_ratio, 6), r.dc_party_name_mismatch_count) == (0.333333, 0.333333, 1.0)
